@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anisotropic, chat, packing, quality, sentencepieces, threshold_topk, toxicity, warc
+from . import anisotropic, chat, packing, quality, sentencepieces, sharding, threshold_topk, toxicity, warc
 from .folds import remainder
 from .ngram_jaccard import near_duplicates
 from .scoring import score
@@ -14,12 +14,19 @@ from .shared import Scratch, new_path, table
 
 #: Label 1 is predicted from this score on.
 CUT = 0.3
+#: Shards that documents are dealt to.
+SHARDS = 256
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=75, k=5)
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return sharding.place(docs, "doc_id", sharding.names(SHARDS))
+
+
 def op3_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threshold_topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20, scale=64)
 
@@ -74,7 +81,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_ngram_jaccard_join, op3_threshold_topk, op4_anisotropic_ann, op5_chat_formatting, op6_warc, op7_sentencepiece, op8_quality_classifier, op9_toxicity, op10_best_fit_packing,
+    op1_ngram_jaccard_join, op2_sharding, op3_threshold_topk, op4_anisotropic_ann, op5_chat_formatting, op6_warc, op7_sentencepiece, op8_quality_classifier, op9_toxicity, op10_best_fit_packing,
 )}
 
 #: DuckDB SQL where SQL can express the result.
