@@ -20,8 +20,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .folds import labelled_sample
+from .shared import Scratch
 
 #: Labelled documents to learn from, at most.
 SAMPLE = 12_000
@@ -35,6 +37,8 @@ _LETTER = np.zeros(256, bool)
 _LETTER[[*range(ord("a"), ord("z") + 1), *range(128, 256)]] = True
 _CHUNK = 1_000_000
 _PATTERNS = 4
+#: A stem counts from so many texts on.
+_RARE = 3
 
 
 def stems(text: str | None) -> np.ndarray:
@@ -149,44 +153,43 @@ def _covering(candidates: np.ndarray, texts: list[np.ndarray], labels: np.ndarra
     return np.array(out, np.int64)
 
 
-def train(sets: list[np.ndarray], forms: np.ndarray, labels: np.ndarray) -> tuple[Model, LabelModel | None]:
-    """sets: stems of each text; forms: votes of its patterns."""
-    n = len(labels)
-    toxic = int(labels.sum())
-    if not 0 < toxic < n:
-        prior = (toxic + 0.5) / (n + 1)
-        return Model(np.empty(0, np.uint64), np.empty(0), float(np.log(prior / (1 - prior)))), None
-    every = np.concatenate(sets)
-    own = np.repeat(np.arange(n), [len(s) for s in sets])
-    vocabulary, place = np.unique(every, return_inverse=True)
-    a = np.bincount(place, labels[own].astype(float), len(vocabulary))
-    total = np.bincount(place, minlength=len(vocabulary))
+def choose(stem: np.ndarray, total: np.ndarray, a: np.ndarray, n: int, toxic: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stems that may be lexicon voters, best first, and the classifier's, from counts in all and in toxic texts."""
+    order = np.argsort(stem)
+    stem, total, a = stem[order], total[order].astype(float), a[order].astype(float)
     b = total - a
     odds = np.log((a + 0.2) / (toxic + 1)) - np.log((b + 0.2) / (n - toxic + 1))
     sure = odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))  # in standard errors, so that a small sample ties few stems
-    voters = np.flatnonzero((a >= 3) & (odds > 2) & (sure > 2.5))
+    voters = np.flatnonzero((a >= _RARE) & (odds > 2) & (sure > 2.5))
     voters = voters[np.argsort(-odds[voters] * np.sqrt(a[voters]), kind="stable")]
-    by_stem = np.argsort(place, kind="stable")
-    bounds = np.searchsorted(place[by_stem], [voters, voters + 1])
-    voters = _covering(voters, [own[by_stem[i:j]] for i, j in bounds.T], labels)
-    telling = np.flatnonzero((total >= 3) & (np.abs(sure) > 2.5))
+    telling = np.flatnonzero((total >= _RARE) & (np.abs(sure) > 2.5))
     telling = telling[np.argsort(-np.abs(sure[telling]), kind="stable")][:FEATURES]
+    return stem[voters], stem[telling]
+
 
-    def incidence(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        number = np.full(len(vocabulary), -1)
-        number[chosen] = np.arange(len(chosen))
-        col = number[place]
-        return own[col >= 0], col[col >= 0]
+def train(candidates: np.ndarray, telling: np.ndarray, hits: list[np.ndarray], forms: np.ndarray, labels: np.ndarray) -> tuple[Model, LabelModel | None]:
+    """hits: for each text the places in ``candidates`` followed by ``telling`` of the stems it has; forms: votes of its patterns."""
+    n = len(labels)
+    toxic = int(labels.sum())
+    if not 0 < toxic < n:
+        prior = (toxic + 0.5) / (n + 1)
+        return Model(np.empty(0, np.uint64), np.empty(0), float(np.log(prior / (1 - prior)))), None
+    own = np.repeat(np.arange(n, dtype=np.int32), [len(h) for h in hits])
+    place = np.concatenate(hits)
+    lexical = place < len(candidates)
+    by_stem = np.argsort(place[lexical], kind="stable")
+    texts = np.split(own[lexical][by_stem], np.cumsum(np.bincount(place[lexical], minlength=len(candidates)))[:-1]) if len(candidates) else []
+    voters = _covering(np.arange(len(candidates)), texts, labels)
 
     votes = np.zeros((n, len(voters) + _PATTERNS + 2), bool)
-    r, c = incidence(voters)
-    votes[r, c] = True
-    hits = votes[:, : len(voters)].sum(axis=1)
+    for i, v in enumerate(voters):
+        votes[texts[v], i] = True
+    fired = votes[:, : len(voters)].sum(axis=1)
     votes[:, len(voters) : len(voters) + _PATTERNS] = forms
-    votes[:, -2], votes[:, -1] = hits >= 2, hits == 0
+    votes[:, -2], votes[:, -1] = fired >= 2, fired == 0
     model, target = label_model(votes, labels)
 
-    row, col = incidence(telling)
+    row, col = own[~lexical], place[~lexical] - len(candidates)
     w, bias = np.zeros(len(telling)), float(np.log(toxic / (n - toxic)))
     seen, seen_b = np.full(len(telling), 1e-8), 1e-8
     for _ in range(300):
@@ -197,8 +200,8 @@ def train(sets: list[np.ndarray], forms: np.ndarray, labels: np.ndarray) -> tupl
         seen_b += g.sum() ** 2
         w -= 0.3 * grad / np.sqrt(seen)
         bias -= 0.3 * g.sum() / np.sqrt(seen_b)
-    order = np.argsort(vocabulary[telling])
-    return Model(vocabulary[telling][order], w[order], float(bias)), model
+    order = np.argsort(telling)
+    return Model(telling[order], w[order], float(bias)), model
 
 
 def _featurize(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,8 +212,45 @@ def _featurize(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in it:
+        sets = [np.frombuffer(s, np.uint64) for s in b.column("stems").to_pylist()]
+        if not sets:
+            continue
+        stem, place = np.unique(np.concatenate(sets), return_inverse=True)
+        label = np.repeat(b.column("label").to_numpy(), [len(s) for s in sets])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(stem.view(np.int64)), pa.array(np.bincount(place, minlength=len(stem))), pa.array(np.bincount(place, label, len(stem)).astype(np.int64))], ["stem", "n", "toxic"]
+        )
+
+
+def _finder(candidates: np.ndarray, telling: np.ndarray):
+    every = np.concatenate([candidates, telling])
+    order = np.argsort(every, kind="stable")
+    ranked = every[order]
+
+    def find(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            out = []
+            for raw in b.column("stems").to_pylist():
+                s = np.frombuffer(raw, np.uint64)
+                at = np.minimum(np.searchsorted(s, ranked), max(0, len(s) - 1))
+                out.append(np.sort(order[s[at] == ranked]).astype(np.int32).tobytes() if len(s) else b"")
+            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(out, pa.binary()), b.column("forms")], ["label", "hits", "forms"])
+
+    return find
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn, most: int = SAMPLE) -> Model:
-    sample = labelled_sample(docs, labels, "toxic", learn, most).mapInArrow(_featurize, "label int, stems binary, forms binary").toArrow()
-    rows = sorted(zip(sample.column("label").to_pylist(), sample.column("stems").to_pylist(), sample.column("forms").to_pylist(), strict=True))  # as arrival order varies
+    """Learn from at most ``most`` labelled documents. Their stems are counted on the executors; those in very few texts don't reach the driver."""
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    sample = scratch.keep(labelled_sample(docs, labels, "toxic", learn, most).mapInArrow(_featurize, "label int, stems binary, forms binary"), "sample")
+    n, toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
+    counts = sample.mapInArrow(_count, "stem long, n long, toxic long").groupBy("stem").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).where(F.col("n") >= _RARE).toArrow()
+    stem, total, a = (counts.column(c).to_numpy() for c in ("stem", "n", "toxic"))
+    candidates, telling = choose(stem.view(np.uint64), total, a, n, toxic) if 0 < toxic < n else (np.empty(0, np.uint64), np.empty(0, np.uint64))
+    found = sample.mapInArrow(_finder(candidates, telling), "label int, hits binary, forms binary").toArrow()
+    rows = sorted(zip(found.column("label").to_pylist(), found.column("hits").to_pylist(), found.column("forms").to_pylist(), strict=True))  # as arrival order varies
+    scratch.drop("sample")
     forms = np.array([np.frombuffer(f, bool) for _, _, f in rows]).reshape(len(rows), _PATTERNS)
-    return train([np.frombuffer(s, np.uint64) for _, s, _ in rows], forms, np.array([y for y, _, _ in rows], np.int64))[0]
+    return train(candidates, telling, [np.frombuffer(h, np.int32) for _, h, _ in rows], forms, np.array([y for y, _, _ in rows], np.int64))[0]
