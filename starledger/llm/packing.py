@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import bisect
 import math
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
@@ -24,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words remembered by a worker, in each of two generations.
-_REMEMBERED = 400_000
+_REMEMBERED = 600_000
+_COMBINING = re.compile("[\u0300-\u036f]")
 _BATCH_CHARS = 3_000_000
 #: Pieces that are packed together.
 GROUP = 20_000
@@ -35,43 +38,62 @@ _TRIES, _MOVES = 64, 400
 class WordIds:
     """Ids of whole texts as bytes (little-endian unsigned 32-bit), the library called once for each new word.
 
-    The tokenizer drops white space and no token spans it, so a text's ids are those of its words in turn.
-    New words go to the library together, parted by a special token whose id parts the result again; words
-    that hold a special token go alone.
+    The tokenizer drops white space and no token spans it, so a text's ids are those of its words in turn. It also
+    drops case, so A-Z are lowered first (unless combining marks follow letters, as they compose by case).
+    New words go to the library together: those of letters, and those of letters and one stop, are parted again by
+    the ids that end a word, any others by a symbol of one id between them; what holds that symbol or a special token goes alone.
     """
 
-    def __init__(self, path: str, special: str = "<|endoftext|>"):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.special, self.special_id = special, self.lib.token_to_id(special)
+        # a symbol of one id: case and composition don't make or change it
+        vocabulary = self.lib.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        symbols = (chr(c) for c in range(0x2190, 0x1FB00) if unicodedata.category(chr(c)) == "So")
+        self.mark, self.mark_id = next((c, ids[0]) for c in symbols if len(ids := self.lib.encode(f" {c} ", add_special_tokens=False).ids) == 1)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def _alone(self, word: str) -> bytes:
+        return np.array(self.lib.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
     def _learn(self, words: set[str]) -> None:
         old, young = self.old, self.young
-        new = []
+        letters, stopped, new = [], [], []
         for w in words:
             known = old.get(w)
             if known is not None:
                 young[w] = known
-            elif "<|" in w or not w:
-                young[w] = np.array(self.lib.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+            elif "<|" in w or not w or self.mark in w or "İ" in w:
+                young[w] = self._alone(w)
+            elif w.isalpha():
+                letters.append(w)
+            elif w[-1] in ".,;:!?" and w[:-1].isalpha():
+                stopped.append(w)
             else:
                 new.append(w)
-        for i in range(0, len(new), 400):
-            part = new[i : i + 400]
-            ids = np.array(self.lib.encode_batch_fast([self.special.join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == self.special_id)
-            starts, ends = np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(ids)]])
-            if len(starts) != len(part):
-                raise ValueError("the tokenizer doesn't part texts at its special token")
+        self._together(letters, " ", lambda ids: np.flatnonzero(self.ends[ids]) + 1)
+        self._together(stopped, " ", lambda ids: np.flatnonzero(self.ends[ids])[1::2] + 1)
+        self._together(new, f" {self.mark} ", lambda ids: np.append(np.flatnonzero(ids == self.mark_id), len(ids)), 1)
+
+    def _together(self, words: list[str], between: str, cuts, skipped: int = 0) -> None:
+        """``cuts(ids)``: where each word's ids end; so many ids stand between two words."""
+        for i in range(0, len(words), 2000):
+            part = words[i : i + 2000]
+            ids = np.array(self.lib.encode_batch_fast([between.join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = cuts(ids)
+            if len(ends) != len(part) or ends[-1] != len(ids):
+                raise ValueError("the tokenizer doesn't part texts as expected")
+            starts = np.append(0, ends[:-1] + skipped)
             raw = ids.tobytes()
-            for w, a, b in zip(part, starts.tolist(), ends.tolist(), strict=True):
-                young[w] = raw[4 * a : 4 * b]
+            for w, a, b in zip(part, (4 * starts).tolist(), (4 * ends).tolist(), strict=True):
+                self.young[w] = raw[a:b]
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        split = [(t if _COMBINING.search(t) else t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")).replace("\n", " ").split(" ") for t in texts]
         if len(self.young) > _REMEMBERED:
             self.old, self.young = self.young, {}
         needed = set().union(*split) if split else set()
