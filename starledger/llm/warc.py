@@ -1,6 +1,6 @@
 """WARC archives of pages: written with an index, read through it.
 
-``write`` puts a record for each page into archives in the shared folder, one archive for each task attempt, and
+``write`` puts a record for each page, compressed on its own as usual for .warc.gz, into archives in the shared folder, one archive for each task attempt, and
 returns an index row for every record: archive, offset, length, URL, digest. Only rows of attempts that succeed
 are in the index, so an archive of a lost attempt is never read. ``read`` takes selected index rows, deals them by
 archive and stretch, sorts them by offset and joins neighbouring byte ranges into one read.
@@ -8,7 +8,9 @@ archive and stretch, sorts them by offset and joins neighbouring byte ranges int
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import math
 import uuid
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 REVISIT_BYTES = 100
 #: Ranges closer than _GAP are read together, up to _STRETCH at once.
 _GAP, _STRETCH = 1 << 16, 1 << 23
+#: Bytes of archives that one task reads, on average.
+_TASK_BYTES = 1 << 27
 _DATE = "1970-01-01T00:00:00Z"
 
 INDEX = "page_id long, archive string, offset long, length long, url string, digest string, record_type string"
@@ -78,7 +82,7 @@ def write(planned: DataFrame, folder: str) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
         c = TaskContext.get()
-        name = f"part-{c.partitionId():05d}-{c.taskAttemptId()}-{uuid.uuid4().hex[:8]}.warc"
+        name = f"part-{c.partitionId():05d}-{c.taskAttemptId()}-{uuid.uuid4().hex[:8]}.warc.gz"
         out, at = None, 0
         try:
             for b in it:
@@ -86,8 +90,8 @@ def write(planned: DataFrame, folder: str) -> DataFrame:
                 for r in b.to_pylist():
                     if out is None:
                         system.create_dir(path, recursive=True)
-                        out = system.open_output_stream(f"{path}/{name}", buffer_size=1 << 20)
-                    raw = record(r["page_id"], r["url"], r["html"].encode("utf-8", "surrogatepass"), r["digest"], r["record_type"], r["refers_to"])
+                        out = system.open_output_stream(f"{path}/{name}", compression=None, buffer_size=1 << 20)
+                    raw = gzip.compress(record(r["page_id"], r["url"], r["html"].encode("utf-8", "surrogatepass"), r["digest"], r["record_type"], r["refers_to"]), 1, mtime=0)
                     out.write(raw)
                     rows.append((r["page_id"], name, at, len(raw), r["url"], r["digest"], r["record_type"]))
                     at += len(raw)
@@ -133,7 +137,7 @@ def read(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
                 raw = opened[archive].read_at(length, start)
                 out = []
                 for offset, n in records:
-                    fields, payload = parse(raw[offset - start : offset - start + n])
+                    fields, payload = parse(gzip.decompress(raw[offset - start : offset - start + n]))
                     revisit = fields["WARC-Type"] == "revisit"
                     out.append((
                         int(fields["X-Page-ID"]) if fields["X-Page-ID"] else None, fields["WARC-Type"], int(fields["X-Refers-To-Page"]) if revisit else None, int(fields["X-Payload-Bytes"]),
@@ -144,5 +148,8 @@ def read(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
             f.close()
 
     stretch = (F.col("offset") / _STRETCH).cast("long").alias("stretch")
-    dealt = index.select("archive", "offset", "length", stretch).repartition("archive", "stretch").sortWithinPartitions("archive", "offset")
+    # index rows are few bytes for what they make a task read, so their number of tasks is not left to their size
+    size = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, math.ceil(size / _TASK_BYTES))
+    dealt = index.select("archive", "offset", "length", stretch).repartition(tasks, "archive", "stretch").sortWithinPartitions("archive", "offset")
     return dealt.mapInArrow(run, "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, url string, payload binary")
