@@ -10,13 +10,16 @@ each a Spark job over all documents:
 2. ``regions``. Every shingle is a pivot whose Voronoi region holds the sets for which it is the nearest
    singleton set, rare pivots first. A set within the threshold of another misses at most ``|s| - ceil(t |s|)``
    of its shingles there, so the triangle inequality bounds how far a set reaches beyond its home region: it
-   is copied to the regions of its first ``|s| - ceil(t |s|) + 1`` shingles, and any two linked sets meet.
+   is copied to the regions of its first ``|s| - ceil(t |s|) + 1`` shingles, and any two linked sets meet. The
+   smaller of two needs fewer, its homes: a partner that is no smaller shares at least ``2 t / (1 + t)`` of it.
    Shingles of common passages come last in that order and rarely make a region.
 3. ``split``. Inside a region document pivots take over, again and again: every member is measured against
    them, members in a pivot's ball link to it, and of a ball only the boundary that the triangle inequality
    can't part from an outsider goes on. Regions whose members are connected are done, so a group of
    thousands of near copies costs one comparison each, not one for each pair.
-4. What is left after ``rounds`` splits is compared pair by pair, if sizes and distances to the common pivot allow.
+4. What is left after ``rounds`` splits gathers in cells of document pivots, cut into blocks of bounded size. Two
+   blocks meet in one task, which counts common shingles of all their sets at once and returns only as many links as
+   connect the components. This part grows with the square of what no pivot settles, but sends no pairs around.
 
 Exact copies of a set are one member throughout, so copies never meet each other.
 """
@@ -33,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from ..operators.components import components
 from .shared import Scratch
 from .shingles import Shingler
 
@@ -52,6 +55,11 @@ def _need(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     return (percent * n + 99) // 100
 
 
+def _need_of_equal(n: np.ndarray | int, percent: int) -> np.ndarray | int:
+    """Fewest shingles that a set of n shares with a partner that is no smaller."""
+    return -(-2 * percent * n // (100 + percent))
+
+
 def _bucketed(tokens: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket, and 32 more bits that tell tokens of a bucket apart. Two tokens that fall together only weaken a filter."""
     t = tokens * _SPREAD
@@ -258,21 +266,25 @@ def _router(percent: int, buckets: int):
         for i, n in enumerate(sizes):
             s, d = every[start : start + n], df[place[start : start + n]]
             start += n
-            reach = n - int(_need(n, percent)) + 1
-            first = np.lexsort((s, d))[:reach]
-            home = s[first[d[first] > 1]]
-            out.append({"key": keys[16 * i : 16 * i + 16], "n": int(n), "toks": s.tobytes(), "regions": home.view(np.int64).tolist()})
-        return pa.Table.from_pylist(out, schema=pa.schema([("key", pa.binary()), ("n", pa.int32()), ("toks", pa.binary()), ("regions", pa.list_(pa.int64()))]))
+            lone = int((d == 1).sum())
+            first = np.lexsort((s, d))[lone : n - int(_need(n, percent)) + 1]
+            homes = max(0, int(n - _need_of_equal(n, percent)) + 1 - lone)
+            out.append({"key": keys[16 * i : 16 * i + 16], "n": int(n), "c": int(n) - lone, "toks": s.tobytes(), "regions": s[first].view(np.int64).tolist(), "homes": min(homes, len(first))})
+        return pa.Table.from_pylist(out, schema=pa.schema([("key", pa.binary()), ("n", pa.int32()), ("c", pa.int32()), ("toks", pa.binary()), ("regions", pa.list_(pa.int64())), ("homes", pa.int32())]))
 
     return route
 
 
 def regions(texts: DataFrame, percent: int, k: int) -> DataFrame:
-    """(key, n, toks, regions) for each text: its set, and the shingle pivots whose regions it reaches."""
+    """(key, n, c, toks, regions, homes) for each text.
+
+    c: shingles that other sets have too; regions: the shingle pivots whose regions the set reaches, nearest first, the
+    first ``homes`` of them being those where it also meets larger sets.
+    """
     buckets = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     packs = texts.select("text").mapInArrow(_set_maker(k, buckets), _SETS)
     met = packs.groupBy("bucket").applyInArrow(_count, "batch long, bucket int, df binary, sizes binary, keys binary, sets binary")
-    return met.groupBy("batch").applyInArrow(_router(percent, buckets), "key binary, n int, toks binary, regions array<long>")
+    return met.groupBy("batch").applyInArrow(_router(percent, buckets), "key binary, n int, c int, toks binary, regions array<long>, homes int")
 
 
 # --- step 3: document pivots inside regions -------------------------------------------------------------
@@ -297,9 +309,15 @@ def _measure(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return common.select("a", "b", (1 - F.col("common") / union).alias("d"), (100 * F.col("common") >= percent * union).alias("linked"))
 
 
-def _near_in_size(percent: int) -> str:
-    """Sets of sizes n and m can link."""
-    return f"100 * least(n, m) >= {percent} * greatest(n, m)"
+def _may_link(percent: int) -> str:
+    """Two members of a region (n, c, home, at; m, e, far, to) can link and this region has to find it.
+
+    The smaller must be at home here. Of shingles before the pivot and behind it both can share at most the fewer, and
+    in all no more than either has in common with any set.
+    """
+    home = "case when n < m then home when m < n then far else home or far end"
+    shared = "least(1 + least(at, to) + least(n - at, m - to) - 1, c, e)"
+    return f"100 * least(n, m) >= {percent} * greatest(n, m) and {home} and {100 + percent} * {shared} >= {percent} * (n + m)"
 
 
 def jaccard_join(docs: DataFrame, percent: int = 75, k: int = 5, rounds: int = 2, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
@@ -319,24 +337,26 @@ def jaccard_join(docs: DataFrame, percent: int = 75, k: int = 5, rounds: int = 2
     texts = docs.join(named.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     sets = scratch.keep(regions(texts, percent, k).dropDuplicates(["key"]), "sets")
 
-    entries = sets.select("key", "n", F.explode("regions").alias("region"))
+    entries = sets.select("key", "n", "c", "homes", F.posexplode("regions").alias("i", "region"))
+    entries = entries.select("region", "key", "n", "c", (F.col("i") < F.col("homes")).alias("home"), (F.col("n") - F.col("c") + F.col("i")).alias("at"))
+    member = ["key", "n", "c", "home", "at"]
     links = None
     for i in range(rounds):
-        salted = [F.min(F.struct(F.xxhash64("key", F.lit(j)), "key", "n")).alias(f"p{j}") for j in range(_PIVOTS if i else 1)]
-        pivots = entries.groupBy("region").agg(F.count(F.lit(1)).alias("members"), *salted).where("members > 1")
-        pivots = pivots.select("region", F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"p{j}.key").alias("pivot"), F.col(f"p{j}.n").alias("m")) for j in range(len(salted))]))).alias("p")).select("region", "p.pivot", "p.m")
-        pivots = scratch.keep(pivots, f"pivots{i}")
-        met = entries.join(pivots, "region").where(f"key != pivot and {_near_in_size(percent)}")
+        salted = [F.min(F.struct(F.xxhash64("key", F.lit(j)).alias("h"), *member)).alias(f"p{j}") for j in range(_PIVOTS if i else 1)]
+        pivots = entries.groupBy("region").agg(F.count(F.lit(1)).alias("members"), F.bool_or("home").alias("used"), *salted).where("members > 1 and used")
+        each = F.array_distinct(F.array(*[F.struct(F.col(f"p{j}.key").alias("pivot"), F.col(f"p{j}.n").alias("m"), F.col(f"p{j}.c").alias("e"), F.col(f"p{j}.home").alias("far"), F.col(f"p{j}.at").alias("to")) for j in range(len(salted))]))
+        pivots = scratch.keep(pivots.select("region", F.explode(each).alias("p")).select("region", "p.*"), f"pivots{i}")
+        met = entries.join(pivots, "region").where(f"key != pivot and {_may_link(percent)}")
         pairs = met.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
         found = scratch.keep(_measure(pairs, sets, percent), f"found{i}")
         new = found.where("linked").select("a", "b", "d")
         links = new if links is None else links.union(new)
         comp = scratch.keep(components(links, scratch, f"split{i}"), f"comp{i}")
-        entries = scratch.keep(_unsettled(entries, pivots, found, comp, percent), f"entries{i}")
+        entries = scratch.keep(_unsettled(entries.select("region", *member), pivots, found, comp, percent), f"entries{i}")
         if entries.isEmpty():
             break
     else:
-        new = scratch.keep(_measure(_rest(entries, percent), sets, percent), "rest").where("linked").select("a", "b", "d")
+        new = scratch.keep(_settle(entries, sets, percent), "rest")
         links = links.union(new)
         comp = scratch.keep(components(links, scratch, "rest"), "comp-rest")
     scratch.drop(*[x for x in scratch.paths if x.startswith(("entries", "pivots", "sets", "split"))])
@@ -348,27 +368,103 @@ def jaccard_join(docs: DataFrame, percent: int = 75, k: int = 5, rounds: int = 2
 def _unsettled(entries: DataFrame, pivots: DataFrame, found: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     """Members of regions that may still hold a link between components.
 
-    A pivot has met all of its region. A member of its ball goes on only if an outsider is so near the pivot that
-    the triangle inequality leaves the two within reach of each other. ``d`` is the distance to the first pivot.
+    A member of a pivot's component goes on only if an outsider is so near the pivot that the triangle inequality leaves
+    the two within reach of each other; an outsider that wasn't measured may be at any distance. A region in
+    which nothing is at home any more has nothing to find.
     """
     reach = 1 - percent / 100 + 1e-9
-    labelled = entries.select("region", "key", "n").join(comp.toDF("key", "comp"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    labelled = entries.join(comp.toDF("key", "comp"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     open_ = labelled.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("region")
     labelled = labelled.join(open_, "region", "left_semi").join(pivots.select("region", F.col("pivot").alias("key"), F.lit(True).alias("is_pivot")), ["region", "key"], "left").where("is_pivot is null")
     one = pivots.groupBy("region").agg(F.min("pivot").alias("pivot")).join(comp.toDF("pivot", "pcomp"), "pivot", "left").withColumn("pcomp", F.coalesce("pcomp", "pivot"))
     at = labelled.join(one, "region").withColumn("a", F.least("key", "pivot")).withColumn("b", F.greatest("key", "pivot"))
-    at = at.join(found.select("a", "b", "d"), ["a", "b"], "left")  # sizes too far apart to measure: any distance is possible
+    at = at.join(found.select("a", "b", "d"), ["a", "b"], "left")
     outer = at.where("comp != pcomp").groupBy("region").agg(F.min(F.coalesce("d", F.lit(0.0))).alias("nearest"))
     left = at.join(outer, "region").where(f"comp != pcomp or d is null or d >= nearest - {reach}")
-    return left.select("region", "key", "n", "comp", "d", F.col("pivot").alias("first_pivot"))
-
-
-def _rest(entries: DataFrame, percent: int) -> DataFrame:
-    reach = 1 - percent / 100 + 1e-9
-    x = entries.select("region", F.col("key").alias("a"), "n", F.col("comp").alias("ca"), F.col("d").alias("da"))
-    y = entries.select("region", F.col("key").alias("b"), F.col("n").alias("m"), F.col("comp").alias("cb"), F.col("d").alias("db"))
-    far = f"coalesce(abs(da - db) > {reach}, false)"
-    return x.join(y, "region").where(f"a < b and ca != cb and {_near_in_size(percent)} and not {far}").select("a", "b").distinct()
+    left = left.select("region", "key", "n", "c", "home", "at", "comp")
+    useful = left.groupBy("region").agg(F.bool_or("home").alias("used"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("used and lo != hi").select("region")
+    return left.join(useful, "region", "left_semi")
+
+
+# --- step 4: cells of document pivots, in blocks ----------------------------------------------------------
+
+_LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("d", pa.float64())])
+#: Sets of a block, and shingles in them, at most (on average); columns of a dense product.
+_BLOCK, _BLOCK_SHINGLES, _COLUMNS = 512, 1_000_000, 4096
+
+
+def _common(own: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
+    """n x n counts of common shingles, from each shingle's set and number."""
+    counts = np.bincount(place)
+    keep = counts[place] > 1
+    own, place = own[keep], np.unique(place[keep], return_inverse=True)[1]
+    order = np.argsort(place, kind="stable")
+    own, place = own[order], place[order]
+    width = int(place[-1]) + 1 if len(place) else 0
+    out = np.zeros((n, n), np.float32)
+    size = np.bincount(place, minlength=width)
+    if (size.astype(np.int64) ** 2).sum() * 100 < n * n * width:  # few sets share a shingle: count pairs of entries
+        start = np.cumsum(size) - size
+        step = max(1, len(own) * 4_000_000 // max(1, int((size.astype(np.int64) ** 2).sum())))
+        flat = out.reshape(-1)
+        for at in range(0, len(own), step):
+            part = place[at : at + step]
+            times = size[part]
+            first = np.repeat(start[part] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+            flat += np.bincount(np.repeat(own[at : at + step].astype(np.int64), times) * n + own[first], minlength=n * n).astype(np.float32)
+        return out
+    cuts = np.searchsorted(place, np.arange(0, width + _COLUMNS, _COLUMNS))
+    for at, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        x = np.zeros((n, _COLUMNS), np.float32)
+        x[own[i:j], place[i:j] - at * _COLUMNS] = 1
+        out += x @ x.T
+    return out
+
+
+def _compare(percent: int):
+    """Links between components among the sets of two blocks; as many as connect what they link."""
+
+    def compare(t: pa.Table) -> pa.Table:
+        keys, comps, sides = t.column("key").to_pylist(), t.column("comp").to_pylist(), np.array(t.column("block").to_pylist())
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("toks").to_pylist()]
+        n = np.array([len(s) for s in sets])
+        common = _common(np.repeat(np.arange(len(sets)), n), np.unique(np.concatenate(sets), return_inverse=True)[1], len(sets))
+        number = {c: i for i, c in enumerate(dict.fromkeys(comps))}
+        own = np.array([number[c] for c in comps])
+        union = n[:, None] + n[None, :] - common
+        hit = (100 * common >= percent * union) & (own[:, None] < own[None, :])
+        if sides.min() != sides.max():
+            hit &= sides[:, None] != sides[None, :]
+        parent = list(range(len(number)))
+        rows = []
+        for x, y in np.argwhere(hit).tolist():
+            a, b = own[x], own[y]
+            while parent[a] != a:
+                a = parent[a]
+            while parent[b] != b:
+                b = parent[b]
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                rows.append({"a": min(keys[x], keys[y]), "b": max(keys[x], keys[y]), "d": float(1 - common[x, y] / union[x, y])})
+        return pa.Table.from_pylist(rows, schema=_LINKS)
+
+    return compare
+
+
+def _settle(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, d): the links between components that are left.
+
+    Regions of much the same members (a group of near copies has one for each common shingle) share their member of
+    smallest hash, mostly; those that do are one cell of that document pivot. A cell is cut into blocks, and each pair of blocks is compared in one task.
+    """
+    pivot = entries.groupBy("region").agg(F.min(F.struct(F.xxhash64("key"), "key")).alias("p")).select("region", F.col("p.key").alias("cell"))
+    inside = entries.join(pivot, "region").groupBy("cell", "key").agg(F.first("n").alias("n"), F.first("comp").alias("comp"))
+    size = inside.groupBy("cell").agg(F.greatest(F.ceil(F.count(F.lit(1)) / _BLOCK), F.ceil(F.sum("n") / _BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    placed = inside.join(size, "cell").withColumn("block", F.pmod(F.xxhash64("key", F.lit("block")), F.col("blocks")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("x"), F.greatest("block", o).alias("y")))
+    sent = placed.join(sets.select("key", "toks"), "key").withColumn("to", F.explode(others))
+    dealt = sent.select("cell", "to.x", "to.y", "key", "comp", "block", "toks")
+    return dealt.groupBy("cell", "x", "y").applyInArrow(_compare(percent), "a binary, b binary, d double").dropDuplicates(["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
