@@ -1,52 +1,3 @@
 """Tables and files that every executor can see."""
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir.
-
-    Where that setting is absent (single-machine sessions such as the tests), the context's checkpoint
-    folder is used, or a new temporary one is set.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="starledger-"))
-        named = spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/")
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-class Scratch:
-    """Parquet tables in the shared folder that cut a plan's lineage; they outlive any executor.
-
-    ``keep`` writes and rereads a table, ``drop`` deletes those that no later step reads.
-    """
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.label, self.paths = spark, label, {}
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = new_path(self.spark, f"{self.label}-{name}")
-        schema = df.schema
-        df.write.parquet(path)
-        self.paths[name] = path
-        return self.spark.read.schema(schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+from ..scratch import Scratch, new_path, shared_dir, table  # noqa: F401
