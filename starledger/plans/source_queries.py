@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import csv_safe
+from ..operators import fusion, presentation
 from ..scratch import new_path, table
 from ..sources import catalogs, sinks, tabular
 from ..streaming import event_log
@@ -84,3 +85,23 @@ def skill_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Y01 Y02 Y03 Y05"""
     out = run("correlation_analysis", table(spark, sf_dir, "lineitem"), {"fields": ["l_quantity", "l_tax"]})
     return as_metrics(out, "correlation_analysis").withColumn("value", F.round("value", 6))
+
+
+@query("""
+    WITH f AS (
+        SELECT p_partkey, 0 AS place, 'P Name' AS label, p_name AS value, NULL AS unit FROM part UNION ALL SELECT p_partkey, 1, 'P Size', CAST(p_size AS VARCHAR), 'cm' FROM part
+        UNION ALL SELECT p_partkey, 2, 'P Brand', p_brand, NULL FROM part
+    ) SELECT f.*, (SELECT count(*) FROM lineitem WHERE l_partkey = p_partkey) AS evidence FROM f
+""")
+def public_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G21 F13"""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_brand", F.lit("x").alias("content_hash"))
+    return presentation.with_evidence(presentation.facts(p, "p_partkey", {"p_size": "cm"}), table(spark, sf_dir, "lineitem").withColumnRenamed("l_partkey", "p_partkey"), "p_partkey")
+
+
+@query("SELECT o_orderkey, o_orderstatus AS status, unnest(['o_totalprice', 'o_custkey']) AS field_id, unnest([CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR), CAST(o_custkey AS VARCHAR)]) AS value FROM orders")
+def admitted_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An approved projection as one cell a row and field"""
+    o = table(spark, sf_dir, "orders").withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(18,2)"))
+    cells = fusion.long_cells(o, "o_orderkey", ["o_totalprice", "o_custkey"])
+    return cells.join(o.select(F.col("o_orderkey").alias("row_id"), F.col("o_orderstatus").alias("status")), "row_id").select(F.col("row_id").alias("o_orderkey"), "status", "field_id", "value")
