@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from .folds import labelled_sample
 
 #: Labelled documents to learn from, at most.
-SAMPLE = 6_000
+SAMPLE = 4_000
 _WORDS, _PAIRS, _CHARS = 1 << 13, 1 << 13, 1 << 13
 #: Word pairs of a word with itself share one vector; the last bucket.
 BUCKETS = _WORDS + _PAIRS + 2 * _CHARS + 1
@@ -66,16 +66,20 @@ def grams(raw: bytes) -> np.ndarray:
 
 
 def counts(texts: list[str | None]) -> np.ndarray:
-    """A row for each text: its grams' shares. A text without words is a row of zeros."""
+    """A row for each text: how often it has each gram. A text without words is a row of zeros."""
     out = np.zeros((len(texts), BUCKETS), np.float32)
     for row, t in zip(out, texts, strict=True):
         raw = (t or "").encode("utf-8", "surrogatepass")
         for at in range(0, len(raw), _CHUNK):  # very long texts in pieces; a gram across a seam doesn't matter
             row += np.bincount(grams(raw[at : at + _CHUNK]), minlength=BUCKETS)
-        row /= max(1.0, row.sum())
     return out
 
 
+def shares(texts: list[str | None]) -> np.ndarray:
+    out = counts(texts)
+    return out / np.maximum(1.0, out.sum(axis=1, keepdims=True))
+
+
 @dataclass
 class Model:
     vectors: np.ndarray
@@ -86,13 +90,13 @@ class Model:
         """Probability of label 1."""
         out = np.empty(len(texts))
         for at in range(0, len(texts), 128):
-            z = (counts(texts[at : at + 128]) @ self.vectors) @ self.weights + self.bias
+            z = (shares(texts[at : at + 128]) @ self.vectors) @ self.weights + self.bias
             out[at : at + 128] = 1 / (1 + np.exp(np.clip(z[:, 0] - z[:, 1], -30, 30).astype(np.float64)))
         return out
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.5, seed: int = 7) -> Model:
-    """rows: (buckets, shares) of each document. Rates adapt to each vector; minibatches of 32."""
+    """rows: (buckets, counts) of each document. Rates adapt to each vector; minibatches of 32."""
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     weights = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32)
@@ -107,7 +111,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs:
         for at in range(0, len(order), 32):
             part = order[at : at + 32]
             idx = np.concatenate([rows[i][0] for i in part])
-            val = np.concatenate([rows[i][1] for i in part])
+            val = np.concatenate([rows[i][1] / np.float32(max(1, rows[i][1].sum(dtype=np.int64))) for i in part])
             used, local = np.unique(idx, return_inverse=True)
             dense = np.zeros((len(part), len(used)), np.float32)
             dense[np.repeat(np.arange(len(part)), [len(rows[i][0]) for i in part]), local] = val * scale
@@ -132,16 +136,18 @@ def _featurize(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = b.slice(at, 64)
             x = counts(part.column("text").to_pylist())
             full = [np.flatnonzero(r) for r in x]
+            # 16 bits each, counts up to the largest such number: the driver holds the whole sample
             yield pa.RecordBatch.from_arrays(
-                [part.column("label"), pa.array([f.astype(np.int32).tobytes() for f in full], pa.binary()), pa.array([r[f].tobytes() for r, f in zip(x, full, strict=True)], pa.binary())],
-                ["label", "buckets", "shares"],
+                [part.column("label"), pa.array([f.astype(np.uint16).tobytes() for f in full], pa.binary()), pa.array([np.minimum(r[f], 65_535).astype(np.uint16).tobytes() for r, f in zip(x, full, strict=True)], pa.binary())],
+                ["label", "buckets", "counts"],
             )
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn, most: int = SAMPLE) -> Model:
     """Learn from at most ``most`` labelled documents; without both labels among them, scores are the prior."""
-    sample = labelled_sample(docs, labels, "quality", learn, most).mapInArrow(_featurize, "label int, buckets binary, shares binary").toArrow()
-    rows = [(np.frombuffer(b, np.int32), np.frombuffer(s, np.float32)) for b, s in zip(sample.column("buckets").to_pylist(), sample.column("shares").to_pylist(), strict=True)]
-    y = np.array(sample.column("label").to_pylist(), np.int64)
-    order = sorted(range(len(y)), key=lambda i: (y[i], rows[i][0].tobytes(), rows[i][1].tobytes()))  # as arrival order varies
-    return train([rows[i] for i in order], y[order] if len(y) else y)
+    sample = labelled_sample(docs, labels, "quality", learn, most).mapInArrow(_featurize, "label int, buckets binary, counts binary").toArrow()
+    y = sample.column("label").to_numpy().astype(np.int64)
+    raw = list(zip(sample.column("buckets").to_pylist(), sample.column("counts").to_pylist(), strict=True))
+    del sample
+    order = sorted(range(len(y)), key=lambda i: (y[i], *raw[i]))  # as arrival order varies
+    return train([tuple(np.frombuffer(x, np.uint16) for x in raw[i]) for i in order], y[order])
