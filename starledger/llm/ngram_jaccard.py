@@ -355,6 +355,8 @@ def jaccard_join(docs: DataFrame, percent: int = 75, k: int = 5, rounds: int = 2
         entries = scratch.keep(_unsettled(entries.select("region", *member), pivots, found, comp, percent), f"entries{i}")
         if entries.isEmpty():
             break
+        # only these meet again
+        sets = scratch.keep(sets.join(entries.select("key").distinct(), "key", "left_semi"), f"sets{i}")
     else:
         new = scratch.keep(_settle(entries, sets, percent), "rest")
         links = links.union(new)
