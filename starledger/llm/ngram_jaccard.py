@@ -21,6 +21,9 @@ each a Spark job over all documents:
    blocks meet in one task, which counts common shingles of all their sets at once and returns only as many links as
    connect the components. This part grows with the square of what no pivot settles, but sends no pairs around.
 
+Steps 3 and 4 give components, not every link. Where the number of links counts (``every``), ``count_links`` takes
+their place: all regions gather in cells, and every pair of distinct sets that meets is compared, once.
+
 Exact copies of a set are one member throughout, so copies never meet each other.
 """
 
@@ -320,7 +323,7 @@ def _may_link(percent: int) -> str:
     return f"100 * least(n, m) >= {percent} * greatest(n, m) and {home} and {100 + percent} * {shared} >= {percent} * (n + m)"
 
 
-def jaccard_join(docs: DataFrame, percent: int = 75, k: int = 5, rounds: int = 2, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+def jaccard_join(docs: DataFrame, percent: int = 75, k: int = 5, rounds: int = 2, scratch: Scratch | None = None, every: bool = False) -> tuple[DataFrame, DataFrame]:
     """Join documents (doc_id, text) with themselves on Jaccard similarity of at least ``percent`` / 100.
 
     Returns (members, links). members has a row for each row of documents: doc_id, n_shingles, key (the set's
@@ -328,6 +331,9 @@ def jaccard_join(docs: DataFrame, percent: int = 75, k: int = 5, rounds: int = 2
     keys proven within the distance, enough of them that their components are those of all links. A null or
     wordless text is an empty set and links with nothing; a row without doc_id is reported and links with
     nothing; repeated rows are copies of each other. Columns other than doc_id and text are ignored.
+
+    With ``every``, all pairs of distinct sets that can link are compared, and members also has n_links: the other rows
+    with a doc_id that the row links with, copies included. ``rounds`` doesn't matter then.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "jaccard")
@@ -339,6 +345,17 @@ def jaccard_join(docs: DataFrame, percent: int = 75, k: int = 5, rounds: int = 2
 
     entries = sets.select("key", "n", "c", "homes", F.posexplode("regions").alias("i", "region"))
     entries = entries.select("region", "key", "n", "c", (F.col("i") < F.col("homes")).alias("home"), (F.col("n") - F.col("c") + F.col("i")).alias("at"))
+    linking = "case when n_shingles > 0 and doc_id is not null then key end"
+    if every:
+        copies = scratch.keep(members.groupBy(F.expr(linking).alias("key")).agg(F.count(F.lit(1)).alias("copies")).where("key is not null"), "copies")
+        found = scratch.keep(count_links(entries, sets.select("key", "toks").join(copies, "key"), percent), "every")
+        links = found.where("b is not null").select("a", "b", "d")
+        comp = scratch.keep(components(links, scratch, "every"), "comp-every")
+        counts = found.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("n_links").alias("others"))
+        about = copies.join(comp.toDF("key", "component"), "key", "left").join(counts, "key", "left")
+        scratch.drop("sets")
+        out = members.withColumn("key", F.expr(linking)).join(about, "key", "left")
+        return out.select("doc_id", "n_shingles", "key", F.coalesce("component", "key").alias("component"), F.expr("coalesce(copies - 1, 0L) + coalesce(others, 0L)").alias("n_links")), links
     member = ["key", "n", "c", "home", "at"]
     links = None
     for i in range(rounds):
@@ -362,7 +379,7 @@ def jaccard_join(docs: DataFrame, percent: int = 75, k: int = 5, rounds: int = 2
         links = links.union(new)
         comp = scratch.keep(components(links, scratch, "rest"), "comp-rest")
     scratch.drop(*[x for x in scratch.paths if x.startswith(("entries", "pivots", "sets", "split"))])
-    members = members.withColumn("key", F.expr("case when n_shingles > 0 and doc_id is not null then key end"))
+    members = members.withColumn("key", F.expr(linking))
     out = members.join(comp.toDF("key", "component"), "key", "left")
     return out.select("doc_id", "n_shingles", "key", F.coalesce("component", "key").alias("component")), links
 
@@ -469,11 +486,89 @@ def _settle(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.groupBy("cell", "x", "y").applyInArrow(_compare(percent), "a binary, b binary, d double").dropDuplicates(["a", "b"])
 
 
+_EVERY = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("d", pa.float64()), ("n_links", pa.int64())])
+
+
+def _forest(hit: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs that connect what the symmetric matrix connects."""
+    seen, out = np.zeros(len(hit), bool), []
+    for start in np.flatnonzero(hit.any(axis=1)).tolist():
+        stack = [] if seen[start] else [start]
+        seen[start] = True
+        while stack:
+            x = stack.pop()
+            new = np.flatnonzero(hit[x] & ~seen).tolist()
+            seen[new] = True
+            out += [(x, y) for y in new]
+            stack += new
+    return out
+
+
+def _compare_all(percent: int):
+    """Of the sets of two blocks: each one's number of linked rows, and links (a, b, d) that connect what is linked."""
+
+    def compare(t: pa.Table) -> pa.Table:
+        keys, sides, copies = t.column("key").to_pylist(), t.column("block").to_numpy(), t.column("copies").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("toks").to_pylist()]
+        n = np.array([len(s) for s in sets])
+        each = np.arange(len(sets))
+        common = _common(np.repeat(each, n), np.unique(np.concatenate(sets), return_inverse=True)[1], len(sets)).astype(np.int64)
+        union = n[:, None] + n[None, :] - common
+        hit = 100 * common >= percent * union
+        np.fill_diagonal(hit, False)
+        if sides.min() != sides.max():
+            hit &= sides[:, None] != sides[None, :]
+        rows = []
+        if hit.any():
+            before = t.column("earlier").combine_chunks()
+            lengths, cells = pc.list_value_length(before).to_numpy(), before.flatten().to_numpy()
+            if len(cells):  # what meets in an earlier cell is counted there
+                hit &= _common(np.repeat(each, lengths), np.unique(cells, return_inverse=True)[1], len(sets)) == 0
+            counts = (hit @ copies.astype(np.float64)).astype(np.int64)
+            rows += [{"a": keys[x], "n_links": int(counts[x])} for x in np.flatnonzero(counts).tolist()]
+            rows += [{"a": min(keys[x], keys[y]), "b": max(keys[x], keys[y]), "d": float(1 - common[x, y] / union[x, y])} for x, y in _forest(hit)]
+        return pa.Table.from_pylist(rows, schema=_EVERY)
+
+    return compare
+
+
+def count_links(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Every pair of sets (key, toks, copies) that meets in a region, compared once: rows (a, n_links), parts of a set's number
+    of linked rows, and (a, b, d), links that connect what is linked.
+
+    Regions whose member of smallest hash is the same are one cell, cut into blocks as in ``_settle``. A set brings the
+    cells before this one along: a pair that also meets in one of them is counted there.
+    """
+    region = entries.groupBy("region").agg(F.min(F.xxhash64("key")).alias("cell"), F.count(F.lit(1)).alias("members"), F.bool_or("home").alias("used"))
+    inside = entries.join(region.where("members > 1 and used").select("region", "cell"), "region").groupBy("cell", "key").agg(F.first("n").alias("n"))
+    size = inside.groupBy("cell").agg(F.greatest(F.ceil(F.count(F.lit(1)) / _BLOCK), F.ceil(F.sum("n") / _BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    # a set has at most as many cells as it has regions, which its own length bounds
+    cells = inside.select("cell", "key").join(size, "cell").groupBy("key").agg(F.collect_list(F.struct("cell", "blocks")).alias("cells"))
+    placed = sets.join(cells, "key").select("key", "toks", "copies", F.col("cells.cell").alias("all"), F.explode("cells").alias("c")).select("key", "toks", "copies", "all", "c.*")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("key", F.lit("block")), F.col("blocks")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("x"), F.greatest("block", o).alias("y")))
+    sent = placed.withColumn("to", F.explode(others)).withColumn("earlier", F.filter("all", lambda c: c < F.col("cell")))
+    dealt = sent.select("cell", "to.x", "to.y", "key", "copies", "block", "earlier", "toks")
+    return dealt.groupBy("cell", "x", "y").applyInArrow(_compare_all(percent), "a binary, b binary, d double, n_links long")
+
+
+def _named(members: DataFrame, scratch: Scratch, *more: str) -> DataFrame:
+    """Components by their smallest doc_id, without the scratch tables."""
+    members = scratch.keep(members, "labelled")
+    scratch.drop(*[x for x in scratch.paths if x != "labelled"])
+    lowest = members.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return members.join(lowest, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *more)
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row; component_id is the smallest doc_id reachable by links."""
     scratch = Scratch(docs.sparkSession, "jaccard")
     members, _ = jaccard_join(docs, percent, k, scratch=scratch)
-    members = scratch.keep(members, "labelled")
-    scratch.drop(*[x for x in scratch.paths if x != "labelled"])
-    lowest = members.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return members.join(lowest, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return _named(members, scratch)
+
+
+def counted_duplicates(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
+    """As ``near_duplicates``, with n_links: the other rows that a row links with itself, 0 for a row without doc_id or words."""
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    members, _ = jaccard_join(docs, percent, k, scratch=scratch, every=True)
+    return _named(members, scratch, "n_links")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from . import anisotropic, chat, packing, quality, sentencepieces, sharding, threshold_topk, toxicity, warc
 from .folds import remainder
-from .ngram_jaccard import near_duplicates
+from .ngram_jaccard import counted_duplicates
 from .scoring import score
 from .shared import Scratch, new_path, table
 
@@ -19,7 +19,7 @@ SHARDS = 256
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), percent=75, k=5)
+    return counted_duplicates(table(spark, sf_dir, "documents"), percent=75, k=5)
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,6 +93,20 @@ def test_what_pivots_do_not_settle_is_compared_in_blocks(spark, monkeypatch):
     assert links.where("a >= b or d > 0.25 + 1e-9").isEmpty()
 
 
+@pytest.mark.parametrize("block", [7, 512])
+def test_every_link_is_counted(spark, monkeypatch, block):
+    from starledger.llm import ngram_jaccard
+
+    monkeypatch.setattr(ngram_jaccard, "_BLOCK", block)
+    rows = near_copies(4, 160)
+    sets = [shingles(t) if d is not None else set() for d, t in rows]
+    links = [sum(linked(a, b) for b in sets) - bool(a) for a in sets]
+    got = ngram_jaccard.counted_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute_components(rows)
+    want = sorted(zip((d for d, _ in rows), map(len, map(shingles, (t for _, t in rows))), links, strict=True), key=str)
+    assert sorted(((r["doc_id"], r["n_shingles"], r["n_links"]) for r in got), key=str) == want and max(links) > 5
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
