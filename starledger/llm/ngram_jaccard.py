@@ -92,6 +92,7 @@ def _batches(it: Iterator[pa.RecordBatch], most: int, chars: int) -> Iterator[pa
 
 
 def _batch_number(i: int) -> int:
+    """By partition and order: the rows of a partition have to come in an order that a task which runs again repeats."""
     return (TaskContext.get().partitionId() << 32) + i
 
 
@@ -323,6 +324,11 @@ def _may_link(percent: int) -> str:
     return f"100 * least(n, m) >= {percent} * greatest(n, m) and {home} and {100 + percent} * {shared} >= {percent} * (n + m)"
 
 
+def _in_fixed_order(texts: DataFrame) -> DataFrame:
+    """Distinct (doc_id, text), in each partition in the same order however they arrive."""
+    return texts.dropDuplicates(["doc_id", "text"]).sortWithinPartitions("doc_id", "text")
+
+
 def jaccard_join(docs: DataFrame, percent: int = 75, k: int = 5, rounds: int = 2, scratch: Scratch | None = None, every: bool = False) -> tuple[DataFrame, DataFrame]:
     """Join documents (doc_id, text) with themselves on Jaccard similarity of at least ``percent`` / 100.
 
@@ -340,7 +346,7 @@ def jaccard_join(docs: DataFrame, percent: int = 75, k: int = 5, rounds: int = 2
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     members = scratch.keep(sketch(docs, percent, k), "members")
     named = members.where("maybe").groupBy("key").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    texts = docs.join(named.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    texts = _in_fixed_order(docs.join(named.hint("shuffle_hash"), "doc_id", "left_semi"))
     sets = scratch.keep(regions(texts, percent, k).dropDuplicates(["key"]), "sets")
 
     entries = sets.select("key", "n", "c", "homes", F.posexplode("regions").alias("i", "region"))

@@ -107,6 +107,18 @@ def test_every_link_is_counted(spark, monkeypatch, block):
     assert sorted(((r["doc_id"], r["n_shingles"], r["n_links"]) for r in got), key=str) == want and max(links) > 5
 
 
+def test_batches_do_not_depend_on_the_order_of_arrival(spark):
+    from starledger.llm import ngram_jaccard
+
+    docs = [(i, f"text number {i} of the table") for i in range(2500)]
+    made = []
+    for rows in (docs, docs[::-1], docs[1::2] + docs[::2]):
+        texts = ngram_jaccard._in_fixed_order(spark.createDataFrame(rows, "doc_id long, text string"))
+        packs = texts.select("text").mapInArrow(ngram_jaccard._set_maker(5, 3), ngram_jaccard._SETS)
+        made.append(sorted(tuple(map(str, r)) for r in packs.collect()))
+    assert made[0] == made[1] == made[2] and len({r[1] for r in made[0]}) > 1
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
