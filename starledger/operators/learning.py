@@ -32,7 +32,7 @@ def standardized(df: DataFrame, fields: list[str]) -> DataFrame:
     return j.select(*[c for c in df.columns if c not in fields], *[F.coalesce(F.try_divide(F.col(f).cast("double") - F.col(f"m_{f}"), F.col(f"s_{f}")), F.lit(0.0)).alias(f) for f in fields])
 
 
-def kmeans(df: DataFrame, key: str, fields: list[str], k: int = 3, starts: int = 4, seed: int = 17) -> DataFrame:
+def kmeans(df: DataFrame, key: str, fields: list[str], k: int = 3, starts: int = 10, seed: int = 17) -> DataFrame:
     """(key, label) of the start with the least cost."""
     z = VectorAssembler(inputCols=fields, outputCol="features").transform(standardized(df, fields)).select(key, "features")
     z = Scratch(df.sparkSession, "kmeans").keep(z, "rows")
@@ -240,14 +240,14 @@ def cross_validate(df: DataFrame, key: str, features: list[str], label: str, k:
     d = Scratch(df.sparkSession, "folds").keep(folds(df, key, k, strata or [label]), "rows")
     each = []
     for i in range(k):
-        m = fit(d.where(F.col("fold") != i), features, label, "classification", model, trees=50)
+        m = fit(d.where(F.col("fold") != i), features, label, "classification", model)
         r = m.transform(d.where(F.col("fold") == i)).agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0]
         each.append((i, r))
     out = df.sparkSession.createDataFrame(each, "fold int, accuracy double")
     return out.agg(F.count(F.lit(1)).alias("folds"), F.avg("accuracy").alias("mean_accuracy"), F.stddev_pop("accuracy").alias("sd_accuracy"))
 
 
-def forecast(df: DataFrame, group: str, order: str, value: str, lags: int = 3, horizon: int = 3, trees: int = 50) -> DataFrame:
+def forecast(df: DataFrame, group: str, order: str, value: str, lags: int = 3, horizon: int = 3, trees: int | None = None) -> DataFrame:
     """(group, step, forecast): one forest over all objects' lags; each step feeds the next, for all objects at once."""
     from .series import lag_features
 

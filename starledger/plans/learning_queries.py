@@ -79,7 +79,7 @@ def fold_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _vectors(spark: SparkSession, sf_dir: str, n: int = 16) -> tuple[DataFrame, list[str]]:
+def _vectors(spark: SparkSession, sf_dir: str, n: int = 64) -> tuple[DataFrame, list[str]]:
     return learning.as_columns(table(spark, sf_dir, "embeddings"), "embedding", n), [f"f{i}" for i in range(n)]
 
 
@@ -106,24 +106,24 @@ def isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def tabular_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A forest over vectors, on a stratified holdout"""
-    rows, names = _vectors(spark, sf_dir, 64)
+    rows, names = _vectors(spark, sf_dir)
     parts = learning.split(rows, "vec_id", 0.2, ["label"])
-    model = learning.fit(parts.where("part = 'train'"), names, "label", "classification", "forest", trees=50)
+    model = learning.fit(parts.where("part = 'train'"), names, "label", "classification", "forest")
     return learning.classification_metrics(model.transform(parts.where("part = 'test'")).withColumn("predicted", F.col("prediction").cast("int")), "label", "predicted")
 
 
 @query()
 def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T17 T18"""
-    rows, names = _vectors(spark, sf_dir, 16)
-    model = learning.fit(rows, names, "label", "classification", "forest", trees=20)
+    rows, names = _vectors(spark, sf_dir)
+    model = learning.fit(rows, names, "label", "classification", "forest")
     return spark.createDataFrame(learning.importance(model, names), "feature string, importance double")
 
 
 @query()
 def cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T13"""
-    rows, names = _vectors(spark, sf_dir, 16)
+    rows, names = _vectors(spark, sf_dir)
     return learning.cross_validate(rows, "vec_id", names, "label", 3)
 
 
@@ -138,4 +138,4 @@ def linear_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
 def forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T19"""
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "value")
-    return learning.forecast(e, "user_id", "event_id", "value", trees=10)
+    return learning.forecast(e, "user_id", "event_id", "value")

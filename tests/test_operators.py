@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from conftest import SMALL
 from pyspark.sql import functions as F
 
 from starledger.functions import distributions as d
@@ -208,6 +209,24 @@ def test_segments_and_aperture(spark):
     assert abs(images.aperture(rows, src, "image", 3.0, 5.0, 8.0).first()["flux"] - 1300) < 60
 
 
+def test_learning_queries_use_whole_vectors_and_forests(spark, monkeypatch):
+    from starledger.plans.queries import QUERIES
+
+    seen = []
+    forest, means, clusters, axes = learning.fit, learning.KMeans, learning.kmeans, learning.pca
+    monkeypatch.setattr(learning, "fit", lambda *a, **b: [m := forest(*a, **b), seen.append((len(a[1]), getattr(m.stages[-1], "getNumTrees", None)))][0])
+    monkeypatch.setattr(learning, "KMeans", lambda **b: [means(**b), seen.append("start")][0])
+    monkeypatch.setattr(learning, "kmeans", lambda df, key, fields, *a: [clusters(df, key, fields, *a), seen.append(len(fields))][0])
+    monkeypatch.setattr(learning, "pca", lambda df, key, fields: [axes(df, key, fields), seen.append(len(fields))][0])
+    few = spark.read.parquet(f"{SMALL}/embeddings.parquet").where("label < 2").limit(60)
+    monkeypatch.setattr("starledger.plans.learning_queries.table", lambda s, d, name: few if name == "embeddings" else s.read.parquet(f"{d}/{name}.parquet"))
+    want = {"kmeans_clusters": ["start"] * 10 + [64], "pca_axes": [64], "feature_importance": [(64, 200)], "tabular_model": [(64, 200)], "cross_validation": [(64, None)] * 3, "forecast": [(3, 200)]}
+    for name, made in want.items():
+        seen.clear()
+        QUERIES[name](spark, SMALL)
+        assert seen == made, name
+
+
 def test_skill_parameters(spark):
     rows = spark.createDataFrame([(1, 2.0)], "k long, a double")
     for name, given in (("nothing", {}), ("data_profile", {"code": "x"}), ("correlation_analysis", {}), ("clustering_analysis", {"key": "k", "fields": ["a"], "k": 1}), ("clustering_analysis", {"key": "k", "fields": ["a"], "k": True})):
