@@ -101,7 +101,7 @@ def _u_counts(n: int, m: int) -> tuple[int, ...]:
 
 def mann_whitney_exact(u: float, n: int, m: int) -> float:
     """Two-sided p of U without ties."""
-    counts = _u_counts(n, m)
+    counts = _u_counts(min(n, m), max(n, m))
     most = max(u, n * m - u)
     return min(1.0, 2 * sum(counts[math.ceil(most) :]) / sum(counts))
 

@@ -65,21 +65,22 @@ def dbscan(df: DataFrame, key: str, fields: list[str], eps: float = 0.5, least:
     """(key, label): the smallest core key of a cluster, or null for noise.
 
     Points of one place are one point with a weight. Places meet in cells as wide as eps; a cell and its neighbours
-    are an equi-join. Core places within eps are one cluster; border places join the nearest core's.
+    are an equi-join; cells are of the first three fields, the distance is of all. Core places within eps are one cluster;
+    border places join the nearest core's. Fields count as they are: standardize them first where scales differ.
     """
-    if len(fields) > 3 or not 0 < eps <= 20:
-        raise ValueError("up to three fields, and eps from 0 to 20")
+    if not fields or not 0 < eps <= 20:
+        raise ValueError("a field at least, and eps from 0 to 20")
     scratch = Scratch(df.sparkSession, "dbscan")
     rows = scratch.keep(df.where(complete(fields)).select(key, *[F.col(f).cast("double").alias(f) for f in fields]), "rows")
     places = rows.groupBy(*fields).agg(F.min(key).alias("p"), F.count(F.lit(1)).alias("w"))
-    cell = [F.floor(F.col(f) / eps).cast("long").alias(f"c{i}") for i, f in enumerate(fields)]
+    cell = [F.floor(F.col(f) / eps).cast("long").alias(f"c{i}") for i, f in enumerate(fields[:3])]
     at = scratch.keep(places.select("p", "w", *fields, *cell), "places")
     near = at
-    for i in range(len(fields)):
+    for i in range(len(cell)):
         near = near.withColumn(f"c{i}", F.explode(F.array(*[F.col(f"c{i}") + d for d in (-1, 0, 1)])))
-    other = near.select(*[F.col(f"c{i}") for i in range(len(fields))], F.col("p").alias("q"), F.col("w").alias("v"), *[F.col(f).alias(f"o_{f}") for f in fields])
+    other = near.select(*[F.col(f"c{i}") for i in range(len(cell))], F.col("p").alias("q"), F.col("w").alias("v"), *[F.col(f).alias(f"o_{f}") for f in fields])
     d2 = sum((F.pow(F.col(f) - F.col(f"o_{f}"), 2) for f in fields), F.lit(0.0))
-    pairs = scratch.keep(at.join(other, [f"c{i}" for i in range(len(fields))]).select("p", "q", "v", d2.alias("d2")).where(f"d2 <= {eps * eps!r}"), "pairs")
+    pairs = scratch.keep(at.join(other, [f"c{i}" for i in range(len(cell))]).select("p", "q", "v", d2.alias("d2")).where(f"d2 <= {eps * eps!r}"), "pairs")
     core = pairs.groupBy("p").agg(F.sum("v").alias("held")).where(f"held >= {least}").select("p")
     core = scratch.keep(core, "core")
     edges = pairs.where("p < q").join(core, "p", "left_semi").join(core.toDF("q"), "q", "left_semi").select(F.col("p").alias("a"), F.col("q").alias("b"))
@@ -130,8 +131,8 @@ def _depths(tree: tuple, x: np.ndarray, rows: np.ndarray, depth: int, out: np.nd
 
 def isolation_forest(df: DataFrame, key: str, fields: list[str], contamination: float = 0.05, trees: int = 200, sample: int = 256, seed: int = 5) -> DataFrame:
     """(key, score, anomaly): trees of bounded samples grown in the driver, all rows scored in Arrow batches; the share ``contamination`` of highest scores is anomalous."""
-    if not 0 < contamination < 0.25:
-        raise ValueError("contamination must be between 0 and 0.25")
+    if not 0 < contamination <= 0.25:
+        raise ValueError("contamination must be above 0, and 0.25 at most")
     scratch = Scratch(df.sparkSession, "forest")
     rows = scratch.keep(df.where(complete(fields)).select(key, *[F.col(f).cast("double").alias(f) for f in fields]), "rows")
     few = rows.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(16 * sample).select(*fields).toPandas().to_numpy()  # at most 16 samples' rows
@@ -191,10 +192,10 @@ def fit(train: DataFrame, features: list[str], label: str, task: str, model: str
     if trees and model == "forest":
         stage = stage.setNumTrees(trees)
     if task == "classification":
-        c = rows.groupBy("label").agg(F.count(F.lit(1)).alias("c"))
-        all_ = c.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("k"))
-        rows = rows.join(F.broadcast(c), "label").crossJoin(F.broadcast(all_)).withColumn("weight", F.col("n") / (F.col("k") * F.col("c")))  # a row for each class
-        stage = stage.setWeightCol("weight")
+        c = rows.groupBy("label").agg(F.count(F.lit(1)).alias("__c"))
+        all_ = c.agg(F.sum("__c").alias("__n"), F.count(F.lit(1)).alias("__k"))
+        rows = rows.join(F.broadcast(c), "label").crossJoin(F.broadcast(all_)).withColumn("__weight", F.col("__n") / (F.col("__k") * F.col("__c")))  # a row for each class
+        stage = stage.setWeightCol("__weight")
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), stage]).fit(rows)
 
 
@@ -247,6 +248,35 @@ def cross_validate(df: DataFrame, key: str, features: list[str], label: str, k:
     return out.agg(F.count(F.lit(1)).alias("folds"), F.avg("accuracy").alias("mean_accuracy"), F.stddev_pop("accuracy").alias("sd_accuracy"))
 
 
+def holdout(df: DataFrame, key: str, features: list[str], label: str, task: str = "classification", model: str = "forest", share: float = 0.2) -> DataFrame:
+    """(metric, value, baseline) on rows held out (an exact share of each class, or random for a regression).
+
+    The baseline is the most frequent class or the mean label of the training rows.
+    """
+    rows = df.where(complete(features) & F.col(label).isNotNull()).select(key, *features, F.col(label).cast("double").alias(label))
+    parts = Scratch(df.sparkSession, "holdout").keep(split(rows, key, share, [label] if task == "classification" else None), "parts")
+    train, test = parts.where("part = 'train'"), parts.where("part = 'test'")
+    if train.isEmpty() or test.isEmpty():
+        raise ValueError("the split leaves a part without rows")
+    out = fit(train, features, label, task, model).transform(test)
+    if task == "classification":
+        usual = majority(train, label).first()[0]
+        names = ["accuracy", "macro_f1"]
+        got = classification_metrics(out, label, "prediction").select(*names).first()
+        base = classification_metrics(out.withColumn("usual", F.lit(usual)), label, "usual").select(*names).first()
+    else:
+        usual = train.agg(F.avg(label)).first()[0]
+        names = ["mae", "rmse", "r2"]
+        spread = test.agg(F.var_pop(label)).first()[0]
+
+        def errors(c):
+            e = out.agg(F.avg(F.abs(c - F.col(label))).alias("mae"), F.avg((c - F.col(label)) ** 2).alias("mse")).first()
+            return e["mae"], math.sqrt(e["mse"]), 1 - e["mse"] / spread if spread else None
+
+        got, base = errors(F.col("prediction")), errors(F.lit(usual))
+    return df.sparkSession.createDataFrame(list(zip(names, got, base, strict=True)), "metric string, value double, baseline double")
+
+
 def forecast(df: DataFrame, group: str, order: str, value: str, lags: int = 3, horizon: int = 3, trees: int | None = None) -> DataFrame:
     """(group, step, forecast): one forest over all objects' lags; each step feeds the next, for all objects at once."""
     from .series import lag_features

@@ -49,12 +49,40 @@ def _tests(rows: DataFrame, fields: list[str], alpha: float) -> DataFrame:
     return hypothesis.decided([hypothesis.anova(rows, fields)] + ([hypothesis.t_welch(rows, *fields), hypothesis.mann_whitney(rows, *fields)] if len(fields) == 2 else []), alpha)
 
 
+def _choice(name: str, value: str, *known: str) -> str:
+    if value not in known:
+        raise ValueError(f"{name} must be one of {', '.join(known)}")
+    return value
+
+
+def _clusters(rows: DataFrame, key: str, fields: list[str], algorithm: str, k: int, eps: float, min_samples: int) -> DataFrame:
+    if _choice("algorithm", algorithm, "kmeans", "dbscan") == "kmeans":
+        return learning.kmeans(rows, key, fields, k).select(key, "label")
+    return learning.dbscan(learning.standardized(rows.select(key, *fields), fields), key, fields, eps, min_samples)
+
+
+def _anomalies(rows: DataFrame, key: str, fields: list[str], algorithm: str, threshold: float, contamination: float) -> DataFrame:
+    if _choice("algorithm", algorithm, "isolation_forest", "robust_zscore") == "robust_zscore":
+        return learning.robust_anomalies(rows, key, fields, threshold).orderBy(F.desc("score"), key)
+    return learning.isolation_forest(rows, key, fields, contamination).where("anomaly").select(key, "score").orderBy(F.desc("score"), key)
+
+
+def _model(rows: DataFrame, key: str, fields: list[str], label: str, folds: int | None, task: str, model: str, test: float) -> DataFrame:
+    """Held-out metrics beside a baseline, or a cross-validation where folds are given."""
+    _choice("task", task, "classification", "regression"), _choice("model", model, "forest", "linear")
+    if folds is None:
+        return learning.holdout(rows, key, fields, label, task, model, test)
+    if task == "regression":
+        raise ValueError("folds are for classification")
+    return learning.cross_validate(rows, key, fields, label, folds, model)
+
+
 SKILLS: dict[str, Skill] = {
     "data_profile": Skill(lambda rows: profile.data_profile(rows)),
     "statistical_analysis": Skill(lambda rows, fields, alpha: _tests(rows, fields, alpha), {"fields": _FIELDS, "alpha": Parameter("number", False, 0.05, 1e-12, 1 - 1e-12)}),
     "correlation_analysis": Skill(lambda rows, fields, method: profile.spearman(rows, fields) if method == "spearman" else profile.pearson(rows, fields), {"fields": _FIELDS, "method": Parameter("string", False, "pearson")}),
-    "clustering_analysis": Skill(lambda rows, key, fields, k: learning.kmeans(rows, key, fields, k).select(key, "label"), {"key": _KEY, "fields": _FIELDS, "k": Parameter("integer", False, 3, 2, 20)}),
-    "anomaly_detection": Skill(lambda rows, key, fields, threshold: learning.robust_anomalies(rows, key, fields, threshold).orderBy(F.desc("score"), key), {"key": _KEY, "fields": _FIELDS, "threshold": Parameter("number", False, 3.5, 0)}),
+    "clustering_analysis": Skill(_clusters, {"key": _KEY, "fields": _FIELDS, "algorithm": Parameter("string", False, "kmeans"), "k": Parameter("integer", False, 3, 2, 20), "eps": Parameter("number", False, 0.5, 1e-12, 20), "min_samples": Parameter("integer", False, 5, 2, 100)}),
+    "anomaly_detection": Skill(_anomalies, {"key": _KEY, "fields": _FIELDS, "algorithm": Parameter("string", False, "isolation_forest"), "threshold": Parameter("number", False, 3.5, 0), "contamination": Parameter("number", False, 0.05, 1e-12, 0.25)}),
     "chart_visualization": Skill(lambda rows, x, y: profile.chart(rows, x, y), {"x": _KEY, "y": _KEY}),
     "catalog_crossmatch": Skill(lambda rows, other: match.edges(rows, other)),
     "gaia_cone_search": Skill(lambda rows, ra, dec, radius, key: catalogs.cone(rows, ra, dec, radius, key), {"ra": Parameter("number", low=0, high=360), "dec": Parameter("number", low=-90, high=90), "radius": Parameter("number", low=0, high=5), "key": _KEY}),
@@ -64,7 +92,7 @@ SKILLS: dict[str, Skill] = {
     "light_curve_acquisition": Skill(lambda rows: catalogs.light_curve_rows(rows)),
     "spectrum_analysis": Skill(lambda rows, group, wave, flux, rest: series.spectrum(rows, group, wave, flux, rest), {"group": _KEY, "wave": _KEY, "flux": _KEY, "rest": Parameter("number", low=1e-9)}),
     "light_curve_analysis": Skill(lambda rows, group, time, value, sigma, period: series.light_curve(rows, [group], time, value, sigma, period), {"group": _KEY, "time": _KEY, "value": _KEY, "sigma": Parameter("number", False, 5.0, 2, 20), "period": Parameter("number", False, 1.0, 1e-9)}),
-    "tabular_machine_learning": Skill(lambda rows, key, fields, label, folds: learning.cross_validate(rows, key, fields, label, folds), {"key": _KEY, "fields": _FIELDS, "label": _KEY, "folds": Parameter("integer", False, 5, 2, 10)}),
+    "tabular_machine_learning": Skill(_model, {"key": _KEY, "fields": _FIELDS, "label": _KEY, "folds": Parameter("integer", False, None, 2, 10), "task": Parameter("string", False, "classification"), "model": Parameter("string", False, "forest"), "test": Parameter("number", False, 0.2, 0.01, 0.9)}),
     "time_series_classification": Skill(lambda rows, key, fields, label: learning.cross_validate(rows, key, fields, label, 3, "forest"), {"key": _KEY, "fields": _FIELDS, "label": _KEY}),
     "time_series_forecast": Skill(lambda rows, group, order, value, horizon: learning.forecast(rows, group, order, value, horizon=horizon), {"group": _KEY, "order": _KEY, "value": _KEY, "horizon": Parameter("integer", False, 3, 1, 100)}),
     "image_classification": Skill(lambda rows, key, label: learning.cross_validate(learning.as_columns(rows, "pixels", 3072), key, [f"f{i}" for i in range(3072)], label, 3, "forest"), {"key": _KEY, "label": _KEY}),

@@ -227,6 +227,27 @@ def test_learning_queries_use_whole_vectors_and_forests(spark, monkeypatch):
         assert seen == made, name
 
 
+def test_skills_reach_their_algorithms(spark):
+    rows = spark.createDataFrame([(i, float(i % 5), 1000.0 * (i % 5), 0.0, float(i // 20), float(i // 20), 3.0 * (i % 5)) for i in range(40)], "k long, a double, b double, c double, d double, y double, z double")
+    four = {"key": "k", "fields": ["a", "b", "c", "d"]}
+    got = {r["k"]: r["label"] for r in skills.run("clustering_analysis", rows, four | {"algorithm": "dbscan", "eps": 1.1, "min_samples": 4}).collect()}
+    assert {got[i] for i in range(20)} == {0} and {got[20 + i] for i in range(20)} == {20}  # apart in the fourth field only
+    top = skills.run("anomaly_detection", rows.unionByName(rows.limit(1).selectExpr("999L as k", "90d as a", "b", "c", "d", "y", "z")), {"key": "k", "fields": ["a", "b"], "contamination": 0.02})
+    assert top.first()["k"] == 999
+    m = {r["metric"]: (r["value"], r["baseline"]) for r in skills.run("tabular_machine_learning", rows, {"key": "k", "fields": ["a", "d"], "label": "y"}).collect()}
+    assert m["accuracy"] == (1.0, 0.5)
+    m = {r["metric"]: r["value"] for r in skills.run("tabular_machine_learning", rows, {"key": "k", "fields": ["a", "d"], "label": "z", "task": "regression", "model": "linear"}).collect()}
+    assert m["mae"] < 1e-6 and m["r2"] > 0.999
+    with pytest.raises(ValueError):
+        skills.run("clustering_analysis", rows, four | {"algorithm": "other"})
+
+
+def test_mann_whitney_is_exact_beside_many(spark):
+    rows = spark.createDataFrame([(float(i), i + 0.5 if i < 2 else None) for i in range(300)], "a double, b double")
+    got = hypothesis.mann_whitney(rows, "a", "b").first()
+    assert abs(got["p_value"] - d.mann_whitney_exact(597, 300, 2)) < 1e-12
+
+
 def test_skill_parameters(spark):
     rows = spark.createDataFrame([(1, 2.0)], "k long, a double")
     for name, given in (("nothing", {}), ("data_profile", {"code": "x"}), ("correlation_analysis", {}), ("clustering_analysis", {"key": "k", "fields": ["a"], "k": 1}), ("clustering_analysis", {"key": "k", "fields": ["a"], "k": True})):
