@@ -2,17 +2,18 @@
 
 ``pieces`` tokenizes whole texts in Arrow batches and cuts only what is longer than a sequence. ``pack`` deals
 the pieces round-robin into groups of bounded size, so no key can make a group large, and packs each group:
-best-fit by falling length first, then a local search over the underfull bins. A bin is a histogram of
-lengths (pieces of one length are alike), so the search never looks at single documents. Its moves, each of
-which must raise the sum of squared fills, are a move of one piece, an exchange of one piece for another, and
-an exchange of two pieces for one. It tries to empty the bin with the least in it, then the next, and ends at
-the group's lower bound, ceil(tokens / capacity), or when no move is left.
+best-fit by falling length first, then a local search over the underfull bins. Pieces of one length are alike, so
+the search knows lengths only. Its moves, each of which must raise the sum of squared fills, are a move of one
+piece, an exchange of one piece for another, and an exchange of two pieces for one, either way, between any two
+underfull bins. A bin that gives its last piece is saved. It ends at the group's lower bound, ceil(tokens / capacity),
+or when no move is left; then some bins are packed anew and searched again, ``REOPENED`` times.
 """
 
 from __future__ import annotations
 
 import bisect
 import math
+import random
 import re
 import unicodedata
 import zlib
@@ -28,11 +29,13 @@ from pyspark.sql import functions as F
 #: Words remembered by a worker, in each of two generations.
 _REMEMBERED = 600_000
 _COMBINING = re.compile("[\u0300-\u036f]")
+#: Letters before this one are whole after normalization.
+_BEYOND_LATIN = "\u0250"
 _BATCH_CHARS = 3_000_000
 #: Pieces that are packed together.
 GROUP = 20_000
-#: Bins that the local search takes up, of one group, and moves for each.
-_TRIES, _MOVES = 64, 400
+#: Times that some bins of a group are packed anew where the local search ends above the lower bound.
+REOPENED = 100
 
 
 class WordIds:
@@ -40,8 +43,9 @@ class WordIds:
 
     The tokenizer drops white space and no token spans it, so a text's ids are those of its words in turn. It also
     drops case, so A-Z are lowered first (unless combining marks follow letters, as they compose by case).
-    New words go to the library together: those of letters, and those of letters and one stop, are parted again by
-    the ids that end a word, any others by a symbol of one id between them; what holds that symbol or a special token goes alone.
+    New words go to the library together: those of Latin letters, and those of Latin letters and one stop, are parted again by
+    the ids that end a word, any others by a symbol of one id between them (normalization may take their letters apart);
+    what holds that symbol or a special token goes alone, and so do words that don't part as expected.
     """
 
     def __init__(self, path: str):
@@ -69,6 +73,8 @@ class WordIds:
                 young[w] = known
             elif "<|" in w or not w or self.mark in w or "İ" in w:
                 young[w] = self._alone(w)
+            elif max(w) >= _BEYOND_LATIN:
+                new.append(w)
             elif w.isalpha():
                 letters.append(w)
             elif w[-1] in ".,;:!?" and w[:-1].isalpha():
@@ -86,7 +92,8 @@ class WordIds:
             ids = np.array(self.lib.encode_batch_fast([between.join(part)], add_special_tokens=False)[0].ids, "<u4")
             ends = cuts(ids)
             if len(ends) != len(part) or ends[-1] != len(ids):
-                raise ValueError("the tokenizer doesn't part texts as expected")
+                self.young.update((w, self._alone(w)) for w in part)
+                continue
             starts = np.append(0, ends[:-1] + skipped)
             raw = ids.tobytes()
             for w, a, b in zip(part, (4 * starts).tolist(), (4 * ends).tolist(), strict=True):
@@ -130,7 +137,11 @@ def _cutter(path: str, capacity: int, end_id: int):
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of every document, each ended by ``end_id``; null is an empty text."""
+    """(doc_id, piece, start, length, ids_crc32) of every document, each ended by ``end_id``.
+
+    A null text is an empty one, a null doc_id stays null, repeated rows are cut each for itself, a text of any length is cut
+    whole, an empty table gives none, and columns other than doc_id and text are ignored.
+    """
     if not Path(tokenizer).exists():
         raise FileNotFoundError(tokenizer)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
@@ -163,11 +174,11 @@ class _Room:
         return free, b
 
 
-def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Bins of sizes: each size, largest first, goes where it leaves the least room."""
+def best_fit(sizes: list[int], capacity: int, key=None) -> list[list[int]]:
+    """Bins of sizes: each size, largest (or largest ``key``) first, goes where it leaves the least room."""
     bins: list[list[int]] = []
     room = _Room(capacity)
-    for s in sorted(sizes, reverse=True):
+    for s in sorted(sizes, key=key, reverse=True):
         found = room.take(s)
         if found is None:
             bins.append([s])
@@ -180,75 +191,119 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], capacity: int) -> list[list[int]]:
-    """Swap-based local search; every step raises the sum of squared fills or empties a bin."""
+class _Underfull:
+    """The bins with room, found by the sizes in them and, if ``pairs``, by the sums of two of their sizes."""
+
+    def __init__(self, bins: list[list[int]], capacity: int, pairs: bool):
+        self.bins, self.capacity, self.pairs = bins, capacity, pairs
+        self.fill = [sum(b) for b in bins]
+        self.holders: list[dict[int, set[int]]] = [{}, {}]
+        self.held = np.zeros((2, capacity + 1), bool)
+        self.keys: dict[int, tuple[set[int], set[int]]] = {}
+        for i in range(len(bins)):
+            self.put(i)
+
+    def _sums(self, b: list[int]) -> dict[int, tuple[int, int]]:
+        return {s + t: (s, t) for i, s in enumerate(b) for t in b[:i]} if self.pairs else {}
+
+    def put(self, i: int) -> None:
+        self.keys[i] = (set(self.bins[i]), set(self._sums(self.bins[i])))
+        for holders, held, keys in zip(self.holders, self.held, self.keys[i], strict=True):
+            for k in keys:
+                holders.setdefault(k, set()).add(i)
+                held[k] = True
+
+    def take(self, i: int) -> None:
+        for holders, held, keys in zip(self.holders, self.held, self.keys.pop(i), strict=True):
+            for k in keys:
+                holders[k].discard(i)
+                if not holders[k]:
+                    del holders[k]
+                    held[k] = False
+
+    def gain(self, i: int) -> tuple[int, tuple[int, ...], int, int, int] | None:
+        """What fills bin i the most and raises the sum of squares: gain, sizes to give, giver, size or sum to get, of how many."""
+        b, fill = self.bins[i], self.fill[i]
+        one = {0: (), **{s: (s,) for s in b}}
+        best = None
+        for many, options in ((0, {**self._sums(b), **one}), (1, one)):
+            below = np.maximum.accumulate(np.where(self.held[many], np.arange(self.capacity + 1), -1))
+            for given, sizes in options.items():
+                k = int(below[min(self.capacity, given + self.capacity - fill)])
+                while k > given and (best is None or k - given > best[0]):
+                    giver = min(self.holders[many][k], key=self.fill.__getitem__)
+                    if self.fill[giver] < fill + k - given:
+                        best = (k - given, sizes, giver, k, many)
+                        break
+                    k = int(below[k - 1])
+        return best
+
+    def exchange(self, i: int, gain: int, given: tuple[int, ...], giver: int, key: int, many: int) -> None:
+        self.take(giver)
+        theirs, own = self.bins[giver], self.bins[i]
+        for s in self._sums(theirs)[key] if many else (key,):
+            theirs.remove(s)
+            own.append(s)
+        for s in given:
+            own.remove(s)
+            theirs.append(s)
+        self.fill[i] += gain
+        self.fill[giver] -= gain
+        if theirs:
+            self.put(giver)
+
+
+def climb(bins: list[list[int]], capacity: int) -> list[list[int]]:
+    """Moves and exchanges between underfull bins, fuller bins first, until no more bin can be saved or no move is left.
+
+    Exchanges of two pieces are looked for where those of one piece don't suffice.
+    """
     least = math.ceil(sum(map(sum, bins)) / capacity)
     full = [b for b in bins if sum(b) == capacity]
-    loose = sorted((b for b in bins if sum(b) < capacity), key=sum, reverse=True)
-    for _ in range(_TRIES):
-        if len(full) + len(loose) <= least or len(loose) < 2:
-            break
-        source = loose.pop()
-        source, emptied = _drain(source, loose, capacity)
-        if not emptied:
-            loose.append(source)
-            loose.sort(key=sum, reverse=True)
-            break
-        loose.sort(key=sum, reverse=True)
+    loose = [b for b in bins if sum(b) < capacity]
+    for pairs in (False, True):
+        open_ = _Underfull(loose, capacity, pairs)
+        moved = True
+        while moved and len(full) + len(open_.keys) > least:
+            moved = False
+            for i in sorted(open_.keys, key=open_.fill.__getitem__, reverse=True):
+                if i not in open_.keys:
+                    continue
+                open_.take(i)
+                while open_.fill[i] < capacity and (step := open_.gain(i)):
+                    open_.exchange(i, *step)
+                    moved = True
+                if open_.fill[i] < capacity:
+                    open_.put(i)
+                else:
+                    full.append(open_.bins[i])
+        loose = [open_.bins[i] for i in open_.keys]
     return full + loose
 
 
-def _drain(source: list[int], loose: list[list[int]], capacity: int) -> tuple[list[int], bool]:
-    """Move what can be moved from source into the other underfull bins, fuller bins first."""
-    source = sorted(source, reverse=True)
-    for _ in range(_MOVES):
-        if not source:
-            return source, True
-        step = False
-        for b in loose:
-            free = capacity - sum(b)
-            if not free:
-                continue
-            fits = next((s for s in source if s <= free), None)
-            if fits is not None:  # move one
-                source.remove(fits)
-                b.append(fits)
-                step = True
-                break
-            own = sorted(set(b))
-            swap = _one_for_one(source, own, free) or _two_for_one(source, own, free)
-            if swap:
-                out, back = swap
-                for s in out:
-                    source.remove(s)
-                b.remove(back)
-                b.extend(out)
-                bisect.insort(source, back, key=lambda x: -x)
-                step = True
-                break
-        if not step:
-            break
-    return source, not source
+def improve(bins: list[list[int]], capacity: int, reopened: int = REOPENED, seed: int = 5) -> list[list[int]]:
+    """Swap-based local search from a packing; never more bins than before.
 
-
-def _one_for_one(source: list[int], own: list[int], free: int) -> tuple[list[int], int] | None:
-    """The exchange of one piece for a smaller one that fills the most."""
-    best, gain = None, 0
-    for s in dict.fromkeys(source):
-        i = bisect.bisect_left(own, s - free)
-        if i < len(own) and s - own[i] > gain:
-            best, gain = ([s], own[i]), s - own[i]
-    return best
-
-
-def _two_for_one(source: list[int], own: list[int], free: int) -> tuple[list[int], int] | None:
-    best, gain = None, 0
-    for i, s in enumerate(source):
-        for t in source[i + 1 : i + 64]:
-            j = bisect.bisect_left(own, s + t - free)
-            if j < len(own) and s + t - own[j] > gain:
-                best, gain = ([s, t], own[j]), s + t - own[j]
-    return best
+    Where ``climb`` ends above the lower bound, up to ten underfull and ten full bins are packed anew in a shaken order, climbed again
+    and taken over if they need fewer bins or have no smaller sum of squares; ``reopened`` times at most.
+    """
+    least = math.ceil(sum(map(sum, bins)) / capacity)
+    rng = random.Random(seed)
+    if len(bins) > least:
+        bins = climb([list(b) for b in bins], capacity)
+    for _ in range(reopened):
+        if len(bins) <= least:
+            break
+        rng.shuffle(bins)
+        bins.sort(key=lambda b: sum(b) == capacity)
+        loose = sum(sum(b) < capacity for b in bins)
+        chosen, rest = bins[: min(10, loose)] + bins[loose : loose + 10], bins[min(10, loose) : loose] + bins[loose + 10 :]
+        tried = climb(best_fit([s for b in chosen for s in b], capacity, key=lambda s: s * rng.uniform(0.6, 1)), capacity)
+        if (-len(tried), sum(sum(b) ** 2 for b in tried)) >= (-len(chosen), sum(sum(b) ** 2 for b in chosen)):
+            bins = rest + tried
+        else:
+            bins = rest + chosen
+    return bins
 
 
 _PACKED = pa.schema([*_PIECES, ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -285,7 +340,8 @@ def _packer(capacity: int):
 def pack(piece_table: DataFrame, capacity: int = 2048, group: int = GROUP) -> DataFrame:
     """Add sequence_id and offset to pieces of at most ``capacity`` tokens; offsets are gapless from 0.
 
-    The table is counted first: read it from files, not from a long plan. An empty table gives an empty result.
+    The table is counted first: read it from files, not from a long plan. Pieces of one length, also those of repeated rows, may
+    change places; each keeps a place of its own. A null doc_id is kept; an empty table gives an empty result.
     """
     groups = max(1, math.ceil(piece_table.count() / group))
     return piece_table.repartition(groups).mapInArrow(
