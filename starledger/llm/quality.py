@@ -2,7 +2,7 @@
 
 A document is the average of learned vectors of its hashed words, word pairs and character 3- and 5-grams,
 followed by a softmax over two classes. Vectors and output weights are trained together by stochastic
-gradient descent in numpy, on a bounded sample of labelled documents whose counts come from the executors;
+gradient descent in numpy, in one task on the counts of a bounded sample of labelled documents;
 the model (a few megabytes, whatever the corpus) then goes to the tasks that score whole texts.
 """
 
@@ -16,9 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .folds import labelled_sample
+from .scoring import fitted
+from .wordbytes import MIX, P, starts_and_terms, stretches
 
 #: Labelled documents to learn from, at most.
-SAMPLE = 4_000
+SAMPLE = 6_000
 _WORDS, _PAIRS, _CHARS = 1 << 13, 1 << 13, 1 << 13
 #: Word pairs of a word with itself share one vector; the last bucket.
 BUCKETS = _WORDS + _PAIRS + 2 * _CHARS + 1
@@ -26,43 +28,44 @@ DIM = 16
 EPOCHS = 8
 #: Bytes of text whose grams are counted at once.
 _CHUNK = 400_000
-_P = np.uint64(0x100000001B3)
-_M = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = np.cumprod(np.full(64, _P, np.uint64))
 
 
 def _bucket(h: np.ndarray, n: int) -> np.ndarray:
-    h = h * _M
+    h = h * MIX
     h ^= h >> np.uint64(31)
-    return ((h * _M) >> np.uint64(64 - (n.bit_length() - 1))).astype(np.int64)
-
-
-def grams(raw: bytes) -> np.ndarray:
-    """Buckets of one text's grams, with repeats. White space is any byte up to 20 hex."""
-    x = np.frombuffer(b"\n" + raw + b"\n", np.uint8)
-    dark = x > 32
-    starts = np.flatnonzero(dark[1:] & ~dark[:-1]) + 1
-    if not len(starts):
-        return np.empty(0, np.int64)
-    wide = x.astype(np.uint64) + np.uint64(1)
-    place = np.arange(len(x))
-    mark = np.zeros(len(x), np.int64)
-    mark[starts] = starts
-    since = place - np.maximum.accumulate(mark)
-    words = np.add.reduceat(np.where(dark, wide * _POWERS[np.minimum(since, 63)], np.uint64(0)), starts)
-    out = [_bucket(words, _WORDS)]
-    if len(words) > 1:
-        pair = _bucket(words[:-1] * _P + words[1:], _PAIRS) + _WORDS
-        pair[words[:-1] == words[1:]] = BUCKETS - 1
-        out.append(pair)
-    for i, n in enumerate((3, 5)):
-        m = len(x) - n + 1
-        if m > 0:
-            h = wide[:m].copy()
-            for j in range(1, n):
-                h = h * _P + wide[j : m + j]
-            out.append(_bucket(h, _CHARS) + _WORDS + _PAIRS + i * _CHARS)
-    return np.concatenate(out)
+    return ((h * MIX) >> np.uint64(64 - (n.bit_length() - 1))).astype(np.int64)
+
+
+def grams(raw: bytes) -> Iterator[np.ndarray]:
+    """Buckets of one text's grams, with repeats, a part of a long text at a time. White space is any byte up to 20 hex.
+
+    Parts end between words; pairs and character grams that lie across an end belong to the part in which they start or end.
+    """
+    every = np.frombuffer(b"\n" + raw + b"\n", np.uint8)
+    dark = every > 32
+    if not dark.any():
+        return
+    before = None
+    for start, end in stretches(dark, _CHUNK):
+        x = every[start:end]
+        starts, _, terms = starts_and_terms(x, dark[start:end])
+        if len(starts):
+            words = np.add.reduceat(terms, starts)
+            yield _bucket(words, _WORDS)
+            if before is not None:
+                words = np.append(before, words)
+            pair = _bucket(words[:-1] * P + words[1:], _PAIRS) + _WORDS
+            pair[words[:-1] == words[1:]] = BUCKETS - 1
+            yield pair
+            before = words[-1]
+        for i, n in enumerate((3, 5)):
+            wide = every[start : end + n - 1].astype(np.uint64) + np.uint64(1)
+            m = len(wide) - n + 1
+            if m > 0:
+                h = wide[:m].copy()
+                for j in range(1, n):
+                    h = h * P + wide[j : m + j]
+                yield _bucket(h, _CHARS) + _WORDS + _PAIRS + i * _CHARS
 
 
 def counts(texts: list[str | None]) -> np.ndarray:
@@ -70,8 +73,9 @@ def counts(texts: list[str | None]) -> np.ndarray:
     out = np.zeros((len(texts), BUCKETS), np.float32)
     for row, t in zip(out, texts, strict=True):
         raw = (t or "").encode("utf-8", "surrogatepass")
-        for at in range(0, len(raw), _CHUNK):  # very long texts in pieces; a gram across a seam doesn't matter
-            row += np.bincount(grams(raw[at : at + _CHUNK]), minlength=BUCKETS)
+        parts = grams(raw) if len(raw) > _CHUNK else [np.concatenate([*grams(raw), np.empty(0, np.int64)])]
+        for part in parts:
+            row += np.bincount(part, minlength=BUCKETS)
     return out
 
 
@@ -136,18 +140,25 @@ def _featurize(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = b.slice(at, 64)
             x = counts(part.column("text").to_pylist())
             full = [np.flatnonzero(r) for r in x]
-            # 16 bits each, counts up to the largest such number: the driver holds the whole sample
             yield pa.RecordBatch.from_arrays(
-                [part.column("label"), pa.array([f.astype(np.uint16).tobytes() for f in full], pa.binary()), pa.array([np.minimum(r[f], 65_535).astype(np.uint16).tobytes() for r, f in zip(x, full, strict=True)], pa.binary())],
+                [part.column("label"), pa.array([f.astype(np.uint16).tobytes() for f in full], pa.binary()), pa.array([r[f].astype(np.uint32).tobytes() for r, f in zip(x, full, strict=True)], pa.binary())],
                 ["label", "buckets", "counts"],
             )
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn, most: int = SAMPLE) -> Model:
-    """Learn from at most ``most`` labelled documents; without both labels among them, scores are the prior."""
-    sample = labelled_sample(docs, labels, "quality", learn, most).mapInArrow(_featurize, "label int, buckets binary, counts binary").toArrow()
+def _trained(sample: pa.Table | None) -> Model:
+    if sample is None:
+        return train([], np.empty(0, np.int64))
     y = sample.column("label").to_numpy().astype(np.int64)
     raw = list(zip(sample.column("buckets").to_pylist(), sample.column("counts").to_pylist(), strict=True))
-    del sample
     order = sorted(range(len(y)), key=lambda i: (y[i], *raw[i]))  # as arrival order varies
-    return train([tuple(np.frombuffer(x, np.uint16) for x in raw[i]) for i in order], y[order])
+    return train([(np.frombuffer(raw[i][0], np.uint16), np.frombuffer(raw[i][1], np.uint32)) for i in order], y[order])
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn, most: int = SAMPLE) -> Model:
+    """Learn from at most ``most`` labelled documents, in one task; without both labels among them, scores are the prior.
+
+    Null texts, ids and labels aren't learned from, a document labelled or present twice counts once, and columns other than
+    doc_id, text and the label are ignored. Empty tables give an even prior.
+    """
+    return fitted(labelled_sample(docs, labels, "quality", learn, most).mapInArrow(_featurize, "label int, buckets binary, counts binary"), _trained)

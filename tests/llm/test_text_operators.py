@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import zlib
 
@@ -299,5 +300,96 @@ def test_classifiers_held_out(spark, model, label, modulus, out, least):
     assert 0 <= score(odd, none).first()["score"] <= 1
 
 
+def test_label_model_finds_planted_voters():
+    """Accuracies, correlations and posteriors of planted voters, without labels; the posterior against Bayes' rule over the true rates."""
+    rng = np.random.default_rng(3)
+    n, fires = 20_000, np.array([[0.02, 0.05, 0.01, 0.1, 0.03, 0.9], [0.6, 0.5, 0.4, 0.7, 0.45, 0.2]])
+    y = rng.random(n) < 0.2
+    votes = rng.random((n, 6)) < fires[y.astype(int)]
+    votes = np.concatenate([votes, votes[:, :1]], axis=1)  # the last voter repeats the first
+    model, q = toxicity.label_model(votes, toxicity.guess(votes[:, :5].sum(axis=1)))
+    assert abs(model.prior - 0.2) < 0.02 and np.abs(model.rates[:, :6] - fires).max() < 0.04
+    assert model.correlation[0, 6] > 0.95 and abs(model.weight[0] - 0.5) < 0.05 and abs(model.weight[1] - 1) < 1e-9
+    odds = np.log(0.25) + np.where(votes[:, :6], np.log(fires[1] / fires[0]), np.log((1 - fires[1]) / (1 - fires[0]))).sum(axis=1)
+    assert np.abs(q - 1 / (1 + np.exp(-odds))).mean() < 0.01
+    assert len(toxicity.label_model(votes[:0], np.empty(0))[1]) == 0
+
+
+def test_posterior_is_the_target():
+    """The label model may depart from the sample's labels, and learns from texts without one."""
+    rng = np.random.default_rng(4)
+    y = rng.random(3000) < 0.3
+    hits = [np.flatnonzero(np.append(rng.random(6) < (0.5 if t else 0.01), rng.random(2) < (0.9 if t else 0.1))) for t in y]
+    labels = np.where(np.arange(3000) < 500, y, -1).astype(np.int64)
+    labels[:10] = 1 - labels[:10]
+    model, label_model, target = toxicity.train(np.arange(6, dtype=np.uint64), np.arange(10, 12, dtype=np.uint64), hits, np.zeros((3000, 4), bool), labels)
+    # one voter that fires by chance counts as toxic here, which is the label model's view, not that of the labels
+    assert ((target > 0.5) == y).mean() > 0.94 and ((target > 0.5) != (labels == 1))[:10].mean() > 0.8
+    assert abs(label_model.prior - y.mean()) < 0.05 and (model.weights > 0).all()
+
+
+def byte_words(raw, inside):
+    words, now = [], bytearray()
+    for b in raw + b" ":
+        if inside(b):
+            now.append(b)
+        elif now:
+            words.append(bytes(now))
+            now = bytearray()
+    return words
+
+
+M64 = (1 << 64) - 1
+
+
+def word_hash(word):
+    return sum((b + 1) * pow(0x100000001B3, i, 1 << 64) for i, b in enumerate(word, 1)) & M64
+
+
+def some_text(seed):
+    rng = random.Random(seed)
+    return "".join(rng.choice("abcDE é!\n\tß") * rng.choice([1, 1, 1, 1, 90]) for _ in range(900))
+
+
+@pytest.mark.parametrize("part", [1, 40, 1 << 20])
+def test_stems_and_patterns_equal_brute_force(monkeypatch, part):
+    monkeypatch.setattr(toxicity, "_CHUNK", part)
+    mix = 0x9E3779B97F4A7C15
+    for text in (some_text(1), "", None, "A" * 300 + "!", "x y " * 30):
+        want = set()
+        for w in byte_words((text or "").lower().encode(), lambda b: 97 <= b <= 122 or b > 127):
+            want |= {word_hash(w) * mix & M64} | {(word_hash(w[:n]) * mix + n) & M64 for n in (4, 5, 6, 7) if len(w) > n}
+        assert toxicity.stems(text).tolist() == sorted(want)
+    assert toxicity.patterns("ABCÉ ab").tolist() == [True, False, False, False] and toxicity.patterns(None).tolist() == [False, False, False, True]
+
+
+@pytest.mark.parametrize("part", [1, 40, 1 << 20])
+def test_quality_score_equals_brute_force(monkeypatch, part):
+    monkeypatch.setattr(quality, "_CHUNK", part)
+    rng = np.random.default_rng(1)
+    model = quality.Model(rng.normal(size=(quality.BUCKETS, quality.DIM)).astype(np.float32), rng.normal(size=(quality.DIM, 2)).astype(np.float32), np.array([0.1, -0.2], np.float32))
+    p, mix = 0x100000001B3, 0x9E3779B97F4A7C15
+
+    def bucket(h, n):
+        h = h * mix & M64
+        h ^= h >> 31
+        return (h * mix & M64) >> (64 - (n.bit_length() - 1))
+
+    for text in (some_text(2), "", None, "one", "same same same"):
+        raw = b"\n" + (text or "").encode() + b"\n"
+        words = [word_hash(w) for w in byte_words(raw, lambda b: b > 32)]
+        found = [bucket(w, 8192) for w in words]
+        found += [quality.BUCKETS - 1 if a == b else 8192 + bucket((a * p + b) & M64, 8192) for a, b in zip(words, words[1:], strict=False)]
+        for i, n in enumerate((3, 5)):
+            for at in range(len(raw) - n + 1) if words else ():
+                h = 0
+                for b in raw[at : at + n]:
+                    h = (h * p + b + 1) & M64
+                found.append(16384 + 8192 * i + bucket(h, 8192))
+        mean = model.vectors[found].astype(float).mean(axis=0) if found else np.zeros(quality.DIM)
+        z = mean @ model.weights.astype(float) + model.bias
+        assert abs(model.score([text])[0] - 1 / (1 + math.exp(z[0] - z[1]))) < 1e-4
+
+
 def test_every_operator_has_a_query():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
