@@ -49,8 +49,10 @@ _BATCH = 8_000
 _SETTLED = 65_535
 #: Pivots of a region in the splits after the first.
 _PIVOTS = 8
-#: What a document is in a sketch: its id and whether it has one, set size, set hash, shared shingles so far.
-_DOC = np.dtype([("id", "<i8"), ("ok", "?"), ("n", "<i4"), ("key", "S16"), ("shared", "<i4")])
+#: What a document is in a sketch: its id and whether it has one, its text's hash, set size, set hash, shared shingles so far.
+_DOC = np.dtype([("id", "<i8"), ("ok", "?"), ("hash", "<i8"), ("n", "<i4"), ("key", "S16"), ("shared", "<i4")])
+#: Bytes of text for each bucket in which shingles meet, and members of a region that one task takes, about.
+_BUCKET_BYTES, _HOT = 1 << 26, 1000
 
 
 def _need(n: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -127,6 +129,7 @@ def _sketcher(percent: int, k: int, buckets: int):
             docs = np.zeros(len(ids), _DOC)
             docs["ok"] = ids.is_valid().to_numpy(zero_copy_only=False)
             docs["id"] = ids.fill_null(0).to_numpy(zero_copy_only=False)
+            docs["hash"] = b.column("hash").to_numpy()
             kept, owner = [], []
             for start in range(0, len(ids), 500):  # whole sets of few texts are in memory at once
                 for j, s in enumerate(shingler.sets(texts.slice(start, 500).to_pylist()), start):
@@ -192,18 +195,23 @@ def _settler(percent: int):
         keys = docs["key"].copy().view(np.uint8).reshape(-1, 16)
         return pa.table({
             "doc_id": pa.array(docs["id"], pa.int64(), mask=~docs["ok"]), "n_shingles": pa.array(docs["n"].astype(np.int64)),
-            "key": pa.array([x.tobytes() for x in keys], pa.binary()), "maybe": pa.array(docs["ok"] & (docs["n"] > 0) & (docs["shared"] >= extra)),
+            "text_hash": pa.array(docs["hash"]), "key": pa.array([x.tobytes() for x in keys], pa.binary()), "maybe": pa.array(docs["ok"] & (docs["n"] > 0) & (docs["shared"] >= extra)),
         })
 
     return settle
 
 
-def sketch(docs: DataFrame, percent: int, k: int) -> DataFrame:
-    """(doc_id, n_shingles, key, maybe) for each row of documents."""
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packs = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sketcher(percent, k, buckets), _SKETCH)
+def buckets_for(docs: DataFrame) -> int:
+    """Buckets in which shingles meet: as many as there is text for, since each of them has to fit a task."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // _BUCKET_BYTES))
+
+
+def sketch(docs: DataFrame, percent: int, k: int, buckets: int) -> DataFrame:
+    """(doc_id, n_shingles, text_hash, key, maybe) for each row of documents."""
+    packs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("hash")).mapInArrow(_sketcher(percent, k, buckets), _SKETCH)
     met = packs.groupBy("bucket").applyInArrow(_meet, "batch long, loc binary, info binary")
-    return met.groupBy("batch").applyInArrow(_settler(percent), "doc_id long, n_shingles long, key binary, maybe boolean")
+    return met.groupBy("batch").applyInArrow(_settler(percent), "doc_id long, n_shingles long, text_hash long, key binary, maybe boolean")
 
 
 # --- step 2: regions of shingle pivots ------------------------------------------------------------------
@@ -273,22 +281,26 @@ def _router(percent: int, buckets: int):
             lone = int((d == 1).sum())
             first = np.lexsort((s, d))[lone : n - int(_need(n, percent)) + 1]
             homes = max(0, int(n - _need_of_equal(n, percent)) + 1 - lone)
-            out.append({"key": keys[16 * i : 16 * i + 16], "n": int(n), "c": int(n) - lone, "toks": s.tobytes(), "regions": s[first].view(np.int64).tolist(), "homes": min(homes, len(first))})
-        return pa.Table.from_pylist(out, schema=pa.schema([("key", pa.binary()), ("n", pa.int32()), ("c", pa.int32()), ("toks", pa.binary()), ("regions", pa.list_(pa.int64())), ("homes", pa.int32())]))
+            out.append({"key": keys[16 * i : 16 * i + 16], "n": int(n), "c": int(n) - lone, "toks": s.tobytes(), "regions": s[first].view(np.int64).tolist(), "splits": (-(-d[first].astype(np.int64) // _HOT)).tolist(), "homes": min(homes, len(first))})
+        return pa.Table.from_pylist(out, schema=pa.schema([("key", pa.binary()), ("n", pa.int32()), ("c", pa.int32()), ("toks", pa.binary()), ("regions", pa.list_(pa.int64())), ("splits", pa.list_(pa.int32())), ("homes", pa.int32())]))
 
     return route
 
 
-def regions(texts: DataFrame, percent: int, k: int) -> DataFrame:
-    """(key, n, c, toks, regions, homes) for each text.
+def regions(texts: DataFrame, percent: int, k: int, buckets: int) -> DataFrame:
+    """(key, n, c, toks, regions, splits, homes) for each text.
 
     c: shingles that other sets have too; regions: the shingle pivots whose regions the set reaches, nearest first, the
-    first ``homes`` of them being those where it also meets larger sets.
+    first ``homes`` of them being those where it also meets larger sets; splits: over how many tasks each region is spread.
     """
-    buckets = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     packs = texts.select("text").mapInArrow(_set_maker(k, buckets), _SETS)
     met = packs.groupBy("bucket").applyInArrow(_count, "batch long, bucket int, df binary, sizes binary, keys binary, sets binary")
-    return met.groupBy("batch").applyInArrow(_router(percent, buckets), "key binary, n int, c int, toks binary, regions array<long>, homes int")
+    return met.groupBy("batch").applyInArrow(_router(percent, buckets), "key binary, n int, c int, toks binary, regions array<long>, splits array<int>, homes int")
+
+
+def _for_each_split(of_regions: DataFrame) -> DataFrame:
+    """Rows of regions, one for each task over which the region's members are spread."""
+    return of_regions.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("splits") - 1))).drop("splits")
 
 
 # --- step 3: document pivots inside regions -------------------------------------------------------------
@@ -329,28 +341,33 @@ def _in_fixed_order(texts: DataFrame) -> DataFrame:
     return texts.dropDuplicates(["doc_id", "text"]).sortWithinPartitions("doc_id", "text")
 
 
-def jaccard_join(docs: DataFrame, percent: int = 75, k: int = 5, rounds: int = 2, scratch: Scratch | None = None, every: bool = False) -> tuple[DataFrame, DataFrame]:
+def jaccard_join(docs: DataFrame, percent: int = 75, k: int = 5, rounds: int = 2, scratch: Scratch | None = None, every: bool = False, unnamed: bool = False) -> tuple[DataFrame, DataFrame]:
     """Join documents (doc_id, text) with themselves on Jaccard similarity of at least ``percent`` / 100.
 
-    Returns (members, links). members has a row for each row of documents: doc_id, n_shingles, key (the set's
+    Returns (members, links). members has a row for each row of documents: doc_id, n_shingles, text_hash (Spark's xxhash64), key (the set's
     128-bit hash, null for an empty set), component (smallest key reachable). links has (a, b, d): pairs of set
     keys proven within the distance, enough of them that their components are those of all links. A null or
     wordless text is an empty set and links with nothing; a row without doc_id is reported and links with
     nothing; repeated rows are copies of each other. Columns other than doc_id and text are ignored.
 
     With ``every``, all pairs of distinct sets that can link are compared, and members also has n_links: the other rows
-    with a doc_id that the row links with, copies included. ``rounds`` doesn't matter then.
+    with a doc_id that the row links with, copies included. ``rounds`` doesn't matter then. With ``unnamed``, a row without doc_id has
+    the component of rows with the same set.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    members = scratch.keep(sketch(docs, percent, k), "members")
+    buckets = buckets_for(docs)
+    members = scratch.keep(sketch(docs, percent, k, buckets), "members")
     named = members.where("maybe").groupBy("key").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     texts = _in_fixed_order(docs.join(named.hint("shuffle_hash"), "doc_id", "left_semi"))
-    sets = scratch.keep(regions(texts, percent, k).dropDuplicates(["key"]), "sets")
+    sets = scratch.keep(regions(texts, percent, k, buckets).dropDuplicates(["key"]), "sets")
 
-    entries = sets.select("key", "n", "c", "homes", F.posexplode("regions").alias("i", "region"))
-    entries = entries.select("region", "key", "n", "c", (F.col("i") < F.col("homes")).alias("home"), (F.col("n") - F.col("c") + F.col("i")).alias("at"))
+    entries = sets.select("key", "n", "c", "homes", F.posexplode(F.arrays_zip("regions", "splits")).alias("i", "r"))
+    entries = entries.select(
+        F.col("r.regions").alias("region"), F.pmod(F.xxhash64("key", F.lit("salt")), F.col("r.splits")).cast("int").alias("salt"), F.col("r.splits").alias("splits"),
+        "key", "n", "c", (F.col("i") < F.col("homes")).alias("home"), (F.col("n") - F.col("c") + F.col("i")).alias("at"),
+    )
     linking = "case when n_shingles > 0 and doc_id is not null then key end"
     if every:
         copies = scratch.keep(members.groupBy(F.expr(linking).alias("key")).agg(F.count(F.lit(1)).alias("copies")).where("key is not null"), "copies")
@@ -361,21 +378,21 @@ def jaccard_join(docs: DataFrame, percent: int = 75, k: int = 5, rounds: int = 2
         about = copies.join(comp.toDF("key", "component"), "key", "left").join(counts, "key", "left")
         scratch.drop("sets")
         out = members.withColumn("key", F.expr(linking)).join(about, "key", "left")
-        return out.select("doc_id", "n_shingles", "key", F.coalesce("component", "key").alias("component"), F.expr("coalesce(copies - 1, 0L) + coalesce(others, 0L)").alias("n_links")), links
+        return out.select("doc_id", "n_shingles", "text_hash", "key", F.coalesce("component", "key").alias("component"), F.expr("coalesce(copies - 1, 0L) + coalesce(others, 0L)").alias("n_links")), links
     member = ["key", "n", "c", "home", "at"]
     links = None
     for i in range(rounds):
         salted = [F.min(F.struct(F.xxhash64("key", F.lit(j)).alias("h"), *member)).alias(f"p{j}") for j in range(_PIVOTS if i else 1)]
-        pivots = entries.groupBy("region").agg(F.count(F.lit(1)).alias("members"), F.bool_or("home").alias("used"), *salted).where("members > 1 and used")
+        pivots = entries.groupBy("region").agg(F.count(F.lit(1)).alias("members"), F.bool_or("home").alias("used"), F.max("splits").alias("splits"), *salted).where("members > 1 and used")
         each = F.array_distinct(F.array(*[F.struct(F.col(f"p{j}.key").alias("pivot"), F.col(f"p{j}.n").alias("m"), F.col(f"p{j}.c").alias("e"), F.col(f"p{j}.home").alias("far"), F.col(f"p{j}.at").alias("to")) for j in range(len(salted))]))
-        pivots = scratch.keep(pivots.select("region", F.explode(each).alias("p")).select("region", "p.*"), f"pivots{i}")
-        met = entries.join(pivots, "region").where(f"key != pivot and {_may_link(percent)}")
+        pivots = scratch.keep(pivots.select("region", "splits", F.explode(each).alias("p")).select("region", "splits", "p.*"), f"pivots{i}")
+        met = entries.drop("splits").join(_for_each_split(pivots), ["region", "salt"]).where(f"key != pivot and {_may_link(percent)}")
         pairs = met.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
         found = scratch.keep(_measure(pairs, sets, percent), f"found{i}")
         new = found.where("linked").select("a", "b", "d")
         links = new if links is None else links.union(new)
         comp = scratch.keep(components(links, scratch, f"split{i}"), f"comp{i}")
-        entries = scratch.keep(_unsettled(entries.select("region", *member), pivots, found, comp, percent), f"entries{i}")
+        entries = scratch.keep(_unsettled(entries.select("region", "salt", "splits", *member), pivots, found, comp, percent), f"entries{i}")
         if entries.isEmpty():
             break
         # only these meet again
@@ -385,9 +402,9 @@ def jaccard_join(docs: DataFrame, percent: int = 75, k: int = 5, rounds: int = 2
         links = links.union(new)
         comp = scratch.keep(components(links, scratch, "rest"), "comp-rest")
     scratch.drop(*[x for x in scratch.paths if x.startswith(("entries", "pivots", "sets", "split"))])
-    members = members.withColumn("key", F.expr(linking))
+    members = members.withColumn("key", F.expr("case when n_shingles > 0 then key end" if unnamed else linking))
     out = members.join(comp.toDF("key", "component"), "key", "left")
-    return out.select("doc_id", "n_shingles", "key", F.coalesce("component", "key").alias("component")), links
+    return out.select("doc_id", "n_shingles", "text_hash", "key", F.coalesce("component", "key").alias("component")), links
 
 
 def _unsettled(entries: DataFrame, pivots: DataFrame, found: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
@@ -398,17 +415,18 @@ def _unsettled(entries: DataFrame, pivots: DataFrame, found: DataFrame, comp: Da
     which nothing is at home any more has nothing to find.
     """
     reach = 1 - percent / 100 + 1e-9
+    at_split = ["region", "salt"]
     labelled = entries.join(comp.toDF("key", "comp"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    open_ = labelled.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("region")
-    labelled = labelled.join(open_, "region", "left_semi").join(pivots.select("region", F.col("pivot").alias("key"), F.lit(True).alias("is_pivot")), ["region", "key"], "left").where("is_pivot is null")
-    one = pivots.groupBy("region").agg(F.min("pivot").alias("pivot")).join(comp.toDF("pivot", "pcomp"), "pivot", "left").withColumn("pcomp", F.coalesce("pcomp", "pivot"))
-    at = labelled.join(one, "region").withColumn("a", F.least("key", "pivot")).withColumn("b", F.greatest("key", "pivot"))
+    open_ = labelled.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("splits").alias("splits")).where("lo != hi").select("region", "splits")
+    labelled = labelled.join(_for_each_split(open_), at_split, "left_semi").join(pivots.select("region", F.col("pivot").alias("key"), F.lit(True).alias("is_pivot")), ["region", "key"], "left").where("is_pivot is null")
+    one = pivots.groupBy("region").agg(F.min("pivot").alias("pivot"), F.max("splits").alias("splits")).join(comp.toDF("pivot", "pcomp"), "pivot", "left").withColumn("pcomp", F.coalesce("pcomp", "pivot"))
+    at = labelled.join(_for_each_split(one), at_split).withColumn("a", F.least("key", "pivot")).withColumn("b", F.greatest("key", "pivot"))
     at = at.join(found.select("a", "b", "d"), ["a", "b"], "left")
-    outer = at.where("comp != pcomp").groupBy("region").agg(F.min(F.coalesce("d", F.lit(0.0))).alias("nearest"))
-    left = at.join(outer, "region").where(f"comp != pcomp or d is null or d >= nearest - {reach}")
-    left = left.select("region", "key", "n", "c", "home", "at", "comp")
-    useful = left.groupBy("region").agg(F.bool_or("home").alias("used"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("used and lo != hi").select("region")
-    return left.join(useful, "region", "left_semi")
+    outer = at.where("comp != pcomp").groupBy("region").agg(F.min(F.coalesce("d", F.lit(0.0))).alias("nearest"), F.max("splits").alias("splits"))
+    left = at.join(_for_each_split(outer), at_split).where(f"comp != pcomp or d is null or d >= nearest - {reach}")
+    left = left.select("region", "salt", "splits", "key", "n", "c", "home", "at", "comp")
+    useful = left.groupBy("region").agg(F.bool_or("home").alias("used"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("splits").alias("splits")).where("used and lo != hi").select("region", "splits")
+    return left.join(_for_each_split(useful), at_split, "left_semi")
 
 
 # --- step 4: cells of document pivots, in blocks ----------------------------------------------------------
@@ -482,8 +500,8 @@ def _settle(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     Regions of much the same members (a group of near copies has one for each common shingle) share their member of
     smallest hash, mostly; those that do are one cell of that document pivot. A cell is cut into blocks, and each pair of blocks is compared in one task.
     """
-    pivot = entries.groupBy("region").agg(F.min(F.struct(F.xxhash64("key"), "key")).alias("p")).select("region", F.col("p.key").alias("cell"))
-    inside = entries.join(pivot, "region").groupBy("cell", "key").agg(F.first("n").alias("n"), F.first("comp").alias("comp"))
+    pivot = entries.groupBy("region").agg(F.min(F.struct(F.xxhash64("key"), "key")).alias("p"), F.max("splits").alias("splits")).select("region", "splits", F.col("p.key").alias("cell"))
+    inside = entries.join(_for_each_split(pivot), ["region", "salt"]).groupBy("cell", "key").agg(F.first("n").alias("n"), F.first("comp").alias("comp"))
     size = inside.groupBy("cell").agg(F.greatest(F.ceil(F.count(F.lit(1)) / _BLOCK), F.ceil(F.sum("n") / _BLOCK_SHINGLES)).cast("int").alias("blocks"))
     placed = inside.join(size, "cell").withColumn("block", F.pmod(F.xxhash64("key", F.lit("block")), F.col("blocks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("x"), F.greatest("block", o).alias("y")))
@@ -545,8 +563,8 @@ def count_links(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     Regions whose member of smallest hash is the same are one cell, cut into blocks as in ``_settle``. A set brings the
     cells before this one along: a pair that also meets in one of them is counted there.
     """
-    region = entries.groupBy("region").agg(F.min(F.xxhash64("key")).alias("cell"), F.count(F.lit(1)).alias("members"), F.bool_or("home").alias("used"))
-    inside = entries.join(region.where("members > 1 and used").select("region", "cell"), "region").groupBy("cell", "key").agg(F.first("n").alias("n"))
+    region = entries.groupBy("region").agg(F.min(F.xxhash64("key")).alias("cell"), F.count(F.lit(1)).alias("members"), F.bool_or("home").alias("used"), F.max("splits").alias("splits"))
+    inside = entries.join(_for_each_split(region.where("members > 1 and used").select("region", "splits", "cell")), ["region", "salt"]).groupBy("cell", "key").agg(F.first("n").alias("n"))
     size = inside.groupBy("cell").agg(F.greatest(F.ceil(F.count(F.lit(1)) / _BLOCK), F.ceil(F.sum("n") / _BLOCK_SHINGLES)).cast("int").alias("blocks"))
     # a set has at most as many cells as it has regions, which its own length bounds
     cells = inside.select("cell", "key").join(size, "cell").groupBy("key").agg(F.collect_list(F.struct("cell", "blocks")).alias("cells"))
@@ -567,7 +585,12 @@ def _named(members: DataFrame, scratch: Scratch, *more: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row; component_id is the smallest doc_id reachable by links."""
+    """(doc_id, n_shingles, component_id) for each row; component_id is the smallest doc_id reachable by links.
+
+    A null or wordless text is an empty set and links with nothing; a row without doc_id is reported without component and links with
+    nothing; repeated rows are copies of each other; a text of any length is read whole; ties can't arise, as components are sets.
+    Columns other than doc_id and text are ignored, and an empty table gives none.
+    """
     scratch = Scratch(docs.sparkSession, "jaccard")
     members, _ = jaccard_join(docs, percent, k, scratch=scratch)
     return _named(members, scratch)
@@ -578,3 +601,39 @@ def counted_duplicates(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFr
     scratch = Scratch(docs.sparkSession, "jaccard")
     members, _ = jaccard_join(docs, percent, k, scratch=scratch, every=True)
     return _named(members, scratch, "n_links")
+
+
+def one_of_each(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
+    """One row of each component, with its columns: that of the smallest doc_id, rows without one last, ties by a hash of the text.
+
+    Rows without words stay. A row without doc_id goes with the rows of the same set; it isn't linked with others. Of rows that
+    repeat a doc_id each is judged by its own text; of equal ones one stays.
+    """
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    members, _ = jaccard_join(docs, percent, k, scratch=scratch, unnamed=True)
+    members = scratch.keep(members.where("component is not null").select("component", F.col("doc_id").alias("id"), "text_hash"), "labelled")
+    scratch.drop(*[x for x in scratch.paths if x != "labelled"])
+    first = members.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "text_hash")).alias("f"))
+    row = F.struct("id", "text_hash").alias("row")
+    stays = scratch.keep(first.select(F.col("f.id").alias("id"), F.col("f.text_hash").alias("text_hash")), "stays")
+    each = members.groupBy("id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    chosen = each.join(stays.select(row, F.lit(True).alias("stays")), F.struct("id", "text_hash") == F.col("row"), "left").select("id", "text_hash", "n", F.coalesce("stays", F.lit(False)).alias("stays"))
+    judged = scratch.keep(chosen.where("not stays or n > 1"), "judged")
+    scratch.drop("labelled", "stays")
+    spare = "component"
+    while any(spare in c for c in docs.columns):
+        spare += "_"
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.select(*names, F.col("doc_id").cast("long").alias(f"{spare}_id"), F.xxhash64("text").alias(f"{spare}_hash"))
+
+    def same(t: DataFrame):
+        # an id may be null on both sides; ids spread null rows and equal texts
+        return F.col(f"{spare}_id").eqNullSafe(t["id"]) & (F.col(f"{spare}_hash") == t["text_hash"])
+
+    gone = judged.where("not stays")
+    kept = keyed.join(gone, same(gone), "left_anti")
+    twice = judged.where("stays").select("id", "text_hash")
+    if not twice.isEmpty():
+        once = kept.join(twice, same(twice), "left_semi").dropDuplicates([f"{spare}_id", f"{spare}_hash"])
+        kept = kept.join(twice, same(twice), "left_anti").unionByName(once)
+    return kept.select(*names)

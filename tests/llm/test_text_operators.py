@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from starledger.llm import chat, packing, sentencepieces, sharding, warc
+from starledger.llm import chat, ngram_jaccard, packing, sentencepieces, sharding, warc
 from starledger.llm.ngram_jaccard import jaccard_join, near_duplicates
 from starledger.llm.queries import QUERIES
 from starledger.llm.scoring import score
@@ -121,6 +121,47 @@ def test_batches_do_not_depend_on_the_order_of_arrival(spark):
     assert made[0] == made[1] == made[2] and len({r[1] for r in made[0]}) > 1
 
 
+def test_one_of_each_keeps_a_row_of_each_component(spark):
+    rows = near_copies(5, 120) + [(2, "other words under the same id as a null text"), (900, None), (901, ""), (901, "")]
+    copy = next((d, t) for d, t in rows if d is not None and t and len(t.split()) > 20)
+    rows += [(None, copy[1]), (copy[0], copy[1]), (copy[0], "a text of its own under an id that is taken already")]
+    want = {}
+    for (d, t), (_, size, c) in zip(rows, in_order(rows), strict=True):
+        if size:
+            want.setdefault(c, []).append((d is None, d, t))
+    df = spark.createDataFrame([(d, t, "x", i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, component string, row int").repartition(5)
+    got = ngram_jaccard.one_of_each(df)
+    assert got.columns == df.columns
+    got = got.collect()
+    assert len({r["row"] for r in got}) == len(got) and sum(not shingles(r["text"]) for r in got) == sum(not shingles(t) for _, t in rows)
+    kept = [(r["doc_id"] is None, r["doc_id"], r["text"]) for r in got if shingles(r["text"])]
+    assert len(kept) == len(want)
+    for c, members in want.items():
+        low = min((n, d or 0) for n, d, _ in members)
+        assert sum(k in members and (k[0], k[1] or 0) == low for k in kept) == 1
+    assert ngram_jaccard.one_of_each(df.limit(0)).count() == 0
+
+
+def in_order(rows):
+    """Component of each row, rows without doc_id going with those of the same set."""
+    sets = [shingles(t) for _, t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if label[i] != label[j] and (rows[i][0] is not None and rows[j][0] is not None and linked(sets[i], sets[j]) or sets[i] and sets[i] == sets[j]):
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    return [(d, len(s), c) for (d, _), s, c in zip(rows, sets, label, strict=True)]
+
+
+def test_very_long_text(spark):
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(50_000)}" for _ in range(150_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:149_000] + ["x"] * 3)), (3, " ".join(words[:60_000])), (4, "short text of six words here")]
+    got = sorted(tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute_components(rows)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
