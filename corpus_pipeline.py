@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from starledger.llm import quality, toxicity
 from starledger.llm.folds import remainder
-from starledger.llm.ngram_jaccard import near_duplicates
+from starledger.llm.ngram_jaccard import one_of_each
 from starledger.llm.queries import CUT, packed
 from starledger.llm.scoring import score
 from starledger.llm.shared import Scratch, table
@@ -34,13 +34,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that links of 0.75 or more connect, the one with the smallest doc_id.
+    """Of each group of documents that links of 0.75 or more connect, the row with the smallest doc_id; rows without words stay.
 
-    Rows without doc_id stay; of rows that repeat a doc_id each stays or goes with it.
+    Each row is judged by its own text, also where a doc_id repeats or is null; of equal rows one stays.
     """
-    goes = near_duplicates(docs).where("component_id != doc_id").select("doc_id").distinct()
-    goes = Scratch(spark, "pipeline").keep(goes, "goes")
-    return docs.join(goes, "doc_id", "left_anti").select(*docs.columns)
+    return one_of_each(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
