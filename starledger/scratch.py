@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,11 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir.
 
-    Where that setting is absent (single-machine sessions such as the tests), the context's checkpoint
-    folder is used, or a new temporary one is set.
+    Where that setting is absent, the context's checkpoint folder is used. A session of one process, such as the tests', may have
+    neither and gets a new temporary folder; ValueError on a cluster, whose executors would each write to a disk of their own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="starledger-"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
