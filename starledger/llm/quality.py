@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
 from .folds import labelled_sample
@@ -134,25 +135,31 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs:
     return Model(vectors * scale, weights, bias)
 
 
+def _packed(row: np.ndarray) -> tuple[bytes, bytes]:
+    """Buckets in 16 bits and their counts in as few bytes as the largest needs."""
+    at = np.flatnonzero(row)
+    n = row[at].astype(np.uint32)
+    return at.astype(np.uint16).tobytes(), n.astype(np.min_scalar_type(int(n.max(initial=0)))).tobytes()
+
+
 def _featurize(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in it:
         for at in range(0, b.num_rows, 64):
             part = b.slice(at, 64)
-            x = counts(part.column("text").to_pylist())
-            full = [np.flatnonzero(r) for r in x]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("label"), pa.array([f.astype(np.uint16).tobytes() for f in full], pa.binary()), pa.array([r[f].astype(np.uint32).tobytes() for r, f in zip(x, full, strict=True)], pa.binary())],
-                ["label", "buckets", "counts"],
-            )
+            packed = [_packed(r) for r in counts(part.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([part.column("label"), *(pa.array(c, pa.binary()) for c in zip(*packed, strict=True))], ["label", "buckets", "counts"])
 
 
 def _trained(sample: pa.Table | None) -> Model:
     if sample is None:
         return train([], np.empty(0, np.int64))
     y = sample.column("label").to_numpy().astype(np.int64)
-    raw = list(zip(sample.column("buckets").to_pylist(), sample.column("counts").to_pylist(), strict=True))
-    order = sorted(range(len(y)), key=lambda i: (y[i], *raw[i]))  # as arrival order varies
-    return train([(np.frombuffer(raw[i][0], np.uint16), np.frombuffer(raw[i][1], np.uint32)) for i in order], y[order])
+    rows = []
+    for i in range(len(y)):
+        at, n = (np.frombuffer(sample.column(c)[i].as_buffer(), np.uint8) for c in ("buckets", "counts"))
+        rows.append((at.view(np.uint16), n.view(f"u{2 * len(n) // len(at)}") if len(at) else n))
+    order = sorted(range(len(y)), key=lambda i: (y[i], *(xxhash.xxh3_128_digest(x) for x in rows[i])))  # as arrival order varies
+    return train([rows[i] for i in order], y[order])
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn, most: int = SAMPLE) -> Model:

@@ -216,8 +216,14 @@ def train(candidates: np.ndarray, telling: np.ndarray, hits: list[np.ndarray], f
     return Model(telling[order], w[order], float(bias)), model, target
 
 
-def _featurize(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(it: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     for b in it:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def _featurize(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in _slices(it):
         texts = b.column("text").to_pylist()
         yield pa.RecordBatch.from_arrays(
             [b.column("label"), pa.array([stems(t).tobytes() for t in texts], pa.binary()), pa.array([patterns(t).tobytes() for t in texts], pa.binary())], ["label", "stems", "forms"]
@@ -226,7 +232,7 @@ def _featurize(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of labelled texts: how many, and how many toxic ones, have a stem. The null stem counts the texts."""
-    for b in it:
+    for b in _slices(it):
         b = b.filter(b.column("label").is_valid())
         if not b.num_rows:
             continue
@@ -266,7 +272,7 @@ def _finder(candidates: np.ndarray, telling: np.ndarray):
     ranked = every[order]
 
     def find(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in _slices(it):
             out = []
             for raw in b.column("stems").to_pylist():
                 s = np.frombuffer(raw, np.uint64)
