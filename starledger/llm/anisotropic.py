@@ -1,26 +1,28 @@
 """Approximate nearest neighbours for the inner product by score-aware quantisation.
 
-Vectors are cut into pairs of components, each coded by one of 16 centres: four bits. The loss of a code weighs
+Each component of a vector is coded by one of 16 centres: four bits. The loss of a code weighs
 the residual parallel to the vector more than the rest, since that part moves large inner products; codes are
-improved one pair at a time against the loss of the whole vector, and centres by least squares under the same
-loss, on a bounded sample. A query sums table entries over the codes (two codes a byte), keeps the best few of
-each cell and ranks them by the exact product in double precision.
+improved one component at a time against the loss of the whole vector, and centres by least squares under the same
+loss, on a bounded sample. Only codes meet queries: a query sums table entries over them (two codes a byte) and keeps a fixed multiple
+of k candidates, whose vectors are then fetched and ranked by the exact product in double precision.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vector_cells import best, search, usable
+from .vector_cells import best, ranked, search, usable
 
 #: Vectors that centres are learned from, at most.
 SAMPLE = 8_192
-#: A cell reranks this many times k candidates, or this share of its own if that is more.
-_RERANK, _SHARE = 4, 16
+#: So many times k candidates are ranked exactly.
+RERANK = 8
 _CENTRES = 16
 #: Cosine from which scores matter: sets the weight of the parallel part.
 _THRESHOLD = 0.2
@@ -28,20 +30,18 @@ _THRESHOLD = 0.2
 
 @dataclass
 class Codebook:
-    """centres: pairs x 16 x 2; weight: of the parallel residual against the orthogonal one."""
+    """centres: components x 16 x 1; weight: of the parallel residual against the orthogonal one."""
 
     dim: int
     centres: np.ndarray
     weight: float
 
-    def _pairs(self, x: np.ndarray) -> np.ndarray:
-        if x.shape[1] % 2:
-            x = np.concatenate([x, np.zeros((len(x), 1))], axis=1)
-        return x.reshape(len(x), -1, 2)
+    def _parts(self, x: np.ndarray) -> np.ndarray:
+        return x.reshape(len(x), -1, 1)
 
     def assign(self, x: np.ndarray, rounds: int = 2) -> np.ndarray:
-        """A code for each pair of components."""
-        p = self._pairs(x)
+        """A code for each component."""
+        p = self._parts(x)
         u = p / np.maximum(np.linalg.norm(x, axis=1), 1e-30)[:, None, None]
         n, m, _ = p.shape
         codes = np.empty((n, m), np.int64)
@@ -63,7 +63,7 @@ class Codebook:
         return codes
 
     def pack(self, x: np.ndarray) -> np.ndarray:
-        """Codes of two pairs in each byte."""
+        """Two codes in each byte."""
         codes = self.assign(x).astype(np.uint8)
         if codes.shape[1] % 2:
             codes = np.concatenate([codes, np.zeros((len(codes), 1), np.uint8)], axis=1)
@@ -71,7 +71,7 @@ class Codebook:
 
     def tables(self, query: np.ndarray) -> np.ndarray:
         """For each byte of a code the share of the inner product that its 256 values stand for."""
-        q = self._pairs(query[None])[0]
+        q = self._parts(query[None])[0]
         t = np.einsum("scd,sd->sc", self.centres, q)
         if len(t) % 2:
             t = np.concatenate([t, np.zeros((1, _CENTRES))])
@@ -83,8 +83,8 @@ def learn(sample: np.ndarray, rounds: int = 6, seed: int = 11) -> Codebook:
     rng = np.random.default_rng(seed)
     dim = sample.shape[1]
     weight = max(1.0, (dim - 1) * _THRESHOLD**2 / (1 - _THRESHOLD**2))
-    book = Codebook(dim, np.zeros((-(-dim // 2), _CENTRES, 2)), weight)
-    p = book._pairs(sample)
+    book = Codebook(dim, np.zeros((dim, _CENTRES, 1)), weight)
+    p = book._parts(sample)
     u = p / np.maximum(np.linalg.norm(sample, axis=1), 1e-30)[:, None, None]
     n, m, _ = p.shape
     for s in range(m):  # spread starts: each next one is drawn by its squared distance to those before
@@ -105,48 +105,57 @@ def learn(sample: np.ndarray, rounds: int = 6, seed: int = 11) -> Codebook:
                     continue
                 x, d = p[of, s], u[of, s]
                 rest = total[of] - along[of, s] + (x * d).sum(axis=1)
-                left = of.sum() * np.eye(2) + (weight - 1) * d.T @ d
+                left = of.sum() * np.eye(1) + (weight - 1) * d.T @ d
                 book.centres[s, c] = np.linalg.solve(left, x.sum(axis=0) + (weight - 1) * d.T @ rest)
     return book
 
 
-def _code(x: np.ndarray, book: Codebook) -> np.ndarray | None:
-    return book.pack(x) if x.shape[1] == book.dim else None
+def _code(x: np.ndarray, book: Codebook) -> np.ndarray:
+    """Codes; of vectors of another length than the codebook's, the vectors themselves as bytes."""
+    return book.pack(x) if x.shape[1] == book.dim else np.ascontiguousarray(x).view(np.uint8)
 
 
-def _columns(x: np.ndarray, _book: Codebook) -> dict:
-    return {}
+def _columns(codes: np.ndarray, _book: Codebook) -> np.ndarray:
+    return np.ascontiguousarray(codes.T)
 
 
-def scan(ready: dict, ids: np.ndarray, x: np.ndarray, codes: np.ndarray | None, own: int, query: np.ndarray, k: int, book: Codebook) -> tuple[np.ndarray, np.ndarray]:
-    """Places and exact scores of the k best of those that the table scan puts first."""
-    n = len(ids)
-    few = max(_RERANK * k, n // _SHARE)
-    if n > few and codes is not None:
-        if "bytes" not in ready:
-            ready["bytes"] = np.ascontiguousarray(codes.T)
-        near = np.zeros(n, np.float32)
-        for t, c in zip(book.tables(query), ready["bytes"], strict=True):
+def scan(columns: np.ndarray, ids: np.ndarray, codes: np.ndarray, query: np.ndarray, most: int, book: Codebook) -> tuple[np.ndarray, np.ndarray]:
+    """Places and scores of the best by the tables' sums."""
+    if len(query) == book.dim:
+        near = np.zeros(len(ids), np.float32)
+        for t, c in zip(book.tables(query), columns, strict=True):
             near += t[c]
-        near[ids == own] = -np.inf
-        few_places = best(near, ids, few)
     else:
-        few_places = np.flatnonzero(ids != own)
-    scores = (x[few_places] * query).sum(axis=1)
-    top = best(scores, ids[few_places], k)
-    return few_places[top], scores[top]
+        near = codes.view(np.float64) @ query
+    places = best(near, ids, most)
+    return places, near[places].astype(np.float64)
 
 
-def nearest(vectors: DataFrame, asked: str = "vec_id % 20 = 0", k: int = 20, sample: int = SAMPLE) -> DataFrame:
+def _exact(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Inner products of the columns embedding and query."""
+    for b in it:
+        x, y = ([np.array(v, float) for v in b.column(c).to_pylist()] for c in ("embedding", "query"))
+        scores = [(u * v).sum() for u, v in zip(x, y, strict=True)]
+        keep = [c for c in b.schema.names if c not in ("embedding", "query")]
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(scores, pa.float64())], [*keep, "score"])
+
+
+def nearest(vectors: DataFrame, asked: str = "vec_id % 20 = 0", k: int = 20, sample: int = SAMPLE, rerank: int = RERANK) -> DataFrame:
     """(query_id, rank, vec_id, score): k near neighbours by inner product, all rows being candidates.
 
-    Centres are learned from at most ``sample`` vectors of the commonest length; every row is coded. Vectors of
-    other lengths are compared exactly among themselves. Null, zero and non-finite vectors take no part.
+    Centres are learned from at most ``sample`` vectors of the commonest length; every row is coded, and ``rerank`` times k candidates of a
+    query are ranked exactly. Vectors of other lengths are compared exactly among themselves. Null, zero and non-finite vectors take no part;
+    ties go to the smaller vec_id. A row is not its own neighbour, but a row that repeats its vec_id is, and each of two such rows asks for
+    itself. Other columns are ignored; a table with no other vectors gives no rows.
     """
-    whole = usable(vectors, zero_too=False).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    whole = usable(vectors, zero_too=False).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "hash")
     rows = whole.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow().column("embedding").to_pylist()
     dims = [len(r) for r in rows]
     dim = max(set(dims), key=lambda d: (dims.count(d), d)) if dims else 2
     chosen = np.array([r for r in rows if len(r) == dim]) if dims else np.ones((1, 2))
     chosen = chosen[np.lexsort(chosen.T[::-1])]
-    return search(whole, asked, k, "double", _columns, scan, _code, learn(chosen))
+    near = search(whole, asked, rerank * k + 1, "double", _columns, scan, _code, learn(chosen)).drop("score")
+    each = usable(vectors, zero_too=False).dropDuplicates(["vec_id", "hash"])
+    queries = each.where(asked).select(F.col("vec_id").alias("query_id"), F.col("hash").alias("query_hash"), F.col("embedding").alias("query"))
+    found = near.join(queries, ["query_id", "query_hash"]).join(each, ["vec_id", "hash"]).select("query_id", "query_hash", "times", "vec_id", "hash", "query", "embedding")
+    return ranked(found.mapInArrow(_exact, "query_id long, query_hash long, times long, vec_id long, hash long, score double"), k)

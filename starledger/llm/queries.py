@@ -19,23 +19,28 @@ SHARDS = 256
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its number of shingles, its component and its number of links; rows without words or doc_id link with nothing."""
     return counted_duplicates(table(spark, sf_dir, "documents"), percent=75, k=5)
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's slot and shard; a null doc_id is a key like any other."""
     docs = table(spark, sf_dir, "documents").select("doc_id")
     return sharding.place(docs, "doc_id", sharding.names(SHARDS))
 
 
 def op3_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest integer inner products for each row whose vec_id is divisible by 20; unusable vectors take no part."""
     return threshold_topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20, scale=64)
 
 
 def op4_anisotropic_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found for each row whose vec_id is divisible by 20; null, zero and non-finite vectors take no part."""
     return anisotropic.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations and of conversation -7, read back from their formatted text; null texts and roles are empty."""
     rows = table(spark, sf_dir, "conversations")
     tricky = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
@@ -44,12 +49,14 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as read back from its archive; null html is an empty payload, equal payloads of 100 bytes or more are revisits of the smallest page_id."""
     folder = new_path(spark, "warc")
     index = Scratch(spark, "warc").keep(warc.write(warc.plan(table(spark, sf_dir, "pages")), folder), "index")
     return warc.read(index, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of the text decoded from them; a null text is empty."""
     return sentencepieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
@@ -58,6 +65,7 @@ def _predicted(df: DataFrame) -> DataFrame:
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents; a null text is scored as an empty one, held_out is null for a null doc_id."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = remainder(5) == 0
     model = quality.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
@@ -65,6 +73,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents; a null text is scored as an empty one, held_out is null for a null doc_id."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = remainder(4) == 2
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
@@ -77,6 +86,7 @@ def packed(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of all pieces of all documents in sequences of 2048 tokens; a null text has the end id only."""
     return packed(spark, table(spark, sf_dir, "documents"))
 
 
@@ -88,13 +98,13 @@ QUERIES = {f.__name__: f for f in (
 ORACLE_SQL = {
     "op3_threshold_topk": """
         WITH fine AS (
-            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            SELECT row_number() OVER () AS own, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
             WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), scored AS (
-            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
-            FROM fine q JOIN fine c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+            SELECT q.own, q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM fine q JOIN fine c ON q.vec_id % 20 = 0 AND q.own <> c.own AND len(q.v) = len(c.v)
         ), ranked AS (
-            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+            SELECT *, CAST(row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
         ) SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
     """,
     "op6_warc": """

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vector_cells import best, search, usable
+from .vector_cells import best, ranked, search, usable
 
 _FIRST_DEPTH, _GROWTH = 16, 4
 
@@ -23,13 +23,12 @@ def sorted_lists(x: np.ndarray, _model=None) -> tuple[np.ndarray, np.ndarray]:
     return order, np.take_along_axis(x.T, order, axis=1)
 
 
-def threshold_search(lists, ids: np.ndarray, x: np.ndarray, _codes, own: int, query: np.ndarray, k: int, _model=None) -> tuple[np.ndarray, np.ndarray]:
+def threshold_search(lists, ids: np.ndarray, x: np.ndarray, query: np.ndarray, k: int, _model=None) -> tuple[np.ndarray, np.ndarray]:
     """Places and scores of the k best candidates for one query."""
     order, values = lists
     n = len(ids)
     scores = np.full(n, -np.inf)
-    seen = ids == own  # never a result
-    left = n - int(seen.sum())
+    seen, left = np.zeros(n, bool), n
     up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
     shown, depth = 0, min(n, _FIRST_DEPTH)
     while left:
@@ -57,8 +56,8 @@ def top_k(vectors: DataFrame, asked: str = "vec_id % 20 = 0", k: int = 20, scale
     """(query_id, rank, vec_id, score): exact k highest integer inner products.
 
     Components become floor(scale * x). Scores are exact while sums of products stay below 2^53. Vectors that are
-    null or hold null or non-finite parts take no part; ties go to the smaller vec_id; a table with no other
-    vectors gives no rows.
+    null or hold null or non-finite parts take no part; ties go to the smaller vec_id. A row is not its own neighbour, but a row that repeats
+    its vec_id is, and each of two such rows asks for itself. Other columns are ignored; a table with no other vectors gives no rows.
     """
-    whole = usable(vectors, zero_too=True).select("vec_id", F.transform("embedding", lambda v: F.floor(F.lit(float(scale)) * v.cast("double")).cast("double")).alias("embedding"))
-    return search(whole, asked, k, "long", sorted_lists, threshold_search)
+    whole = usable(vectors, zero_too=True).select("vec_id", F.transform("embedding", lambda v: F.floor(F.lit(float(scale)) * v.cast("double")).cast("double")).alias("embedding"), "hash")
+    return ranked(search(whole, asked, k + 1, "long", sorted_lists, threshold_search), k)

@@ -19,9 +19,13 @@ from pyspark.sql import functions as F
 
 #: Rows of a pack, and of either side of a cell at most (on average).
 PACK, COLUMN, ROW = 2048, 32_768, 8_192
+#: Candidates of a cell where they are codes, a few bytes each.
+CODED_COLUMN = 262_144
 
 _ARROW = pa.schema([("cell", pa.int32()), ("dim", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary()), ("codes", pa.binary())])
 _SCHEMA = "cell int, dim int, ids binary, vectors binary, codes binary"
+#: What stands for a row: its id, a hash of its vector (rows equal in both are interchangeable), and for a query how often it is asked.
+_ROW = np.dtype([("id", "<i8"), ("hash", "<i8"), ("times", "<i8")])
 Code = Callable[[np.ndarray], np.ndarray]
 
 
@@ -32,7 +36,7 @@ def usable(vectors: DataFrame, zero_too: bool) -> DataFrame:
     out = vectors.where(F.col("vec_id").isNotNull() & (F.size(x) > 0) & fine)
     if not zero_too:
         out = out.where(F.exists(x, lambda v: v != 0))
-    return out.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    return out.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.xxhash64("embedding").alias("hash"))
 
 
 def _packer(cells: int, code: Code | None, sent):
@@ -42,7 +46,9 @@ def _packer(cells: int, code: Code | None, sent):
         for b in it:
             column = b.column("embedding")
             column = column if isinstance(column, pa.ListArray) else pa.array(column.to_pylist())
-            ids = b.column("vec_id").to_numpy()
+            ids = np.zeros(b.num_rows, _ROW)
+            ids["id"], ids["hash"] = b.column("vec_id").to_numpy(), b.column("hash").to_numpy()
+            ids["times"] = b.column("times").to_numpy() if "times" in b.schema.names else 1
             ends = column.offsets.to_numpy()
             flat = column.values.to_numpy(zero_copy_only=False).astype(np.float64)
             dims = np.diff(ends)
@@ -55,25 +61,23 @@ def _packer(cells: int, code: Code | None, sent):
                     made += 1
                     codes = code(v, sent.value) if code else None
                     yield pa.RecordBatch.from_pylist([{
-                        "cell": ((place ^ place >> 15) * 0x2C1B3C6D % (1 << 32) >> 8) % cells, "dim": dim, "ids": own.tobytes(), "vectors": v.tobytes(),
-                        "codes": codes.tobytes() if codes is not None else None,
+                        "cell": ((place ^ place >> 15) * 0x2C1B3C6D % (1 << 32) >> 8) % cells, "dim": dim, "ids": own.tobytes(), "vectors": v.tobytes() if codes is None else None, "codes": codes.tobytes() if codes is not None else None,
                     }], schema=_ARROW)
 
     return pack
 
 
-def _joined(t: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-    """ids (sorted), vectors and codes of one dimension."""
-    rows = [r for r in t.to_pylist() if r["dim"] == dim]
-    if not rows:
-        return np.empty(0, np.int64), np.empty((0, dim)), None
-    ids = np.concatenate([np.frombuffer(r["ids"], np.int64) for r in rows])
-    x = np.concatenate([np.frombuffer(r["vectors"]).reshape(-1, dim) for r in rows])
-    order = np.argsort(ids, kind="stable")
-    codes = None
-    if rows[0]["codes"] is not None:
-        codes = np.concatenate([np.frombuffer(r["codes"], np.uint8).reshape(len(r["ids"]) // 8, -1) for r in rows])[order]
-    return ids[order], x[order], codes
+def _joined(t: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows by id, and their vectors or codes, of one dimension."""
+    packs = [r for r in t.to_pylist() if r["dim"] == dim]
+    if not packs:
+        return np.empty(0, _ROW), np.empty((0, dim))
+    rows = [np.frombuffer(r["ids"], _ROW) for r in packs]
+    coded = packs[0]["codes"] is not None
+    x = np.concatenate([(np.frombuffer(r["codes"], np.uint8) if coded else np.frombuffer(r["vectors"])).reshape(len(i), -1) for r, i in zip(packs, rows, strict=True)])
+    rows = np.concatenate(rows)
+    order = np.argsort(rows["id"], kind="stable")
+    return rows[order], x[order]
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -87,41 +91,50 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return near[np.lexsort((ids[near], -scores[near]))[:k]]
 
 
-def search(vectors: DataFrame, asked: str, k: int, score_type: str, prepare: Callable, find: Callable, code: Code | None = None, model=None) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best rows for every row that satisfies ``asked``.
+def search(vectors: DataFrame, asked: str, most: int, score_type: str, prepare: Callable, find: Callable, code: Code | None = None, model=None) -> DataFrame:
+    """(query_id, query_hash, times, vec_id, hash, score): candidates with the ``most`` best scores for every row that satisfies ``asked``, its own row among them.
 
-    ``prepare(vectors, model)`` makes what a cell's candidates need, ``find(prepared, ids, vectors, codes, own id,
-    query, k, model)`` returns places and scores of a query's best. A query's own id is never returned; a query
-    id that repeats is asked once (its smallest vector); vectors meet only vectors of their length.
+    ``vectors`` is what ``usable`` returns. ``prepare(rows' vectors or codes, model)`` makes what a cell's candidates need,
+    ``find(prepared, ids, vectors or codes, query, most, model)`` returns places and scores of a query's best. With ``code``, codes are sent
+    instead of vectors. Equal rows that ask are asked once, and ``times`` says how many they are; vectors meet only vectors of their length.
     """
     spark = vectors.sparkSession
     # the model has a fixed size
     sent = spark.sparkContext.broadcast(model)
-    queries = vectors.where(asked).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    queries = vectors.where(asked).groupBy("vec_id", "hash").agg(F.min("embedding").alias("embedding"), F.count(F.lit(1)).alias("times"))
     n, q = vectors.count(), queries.count()
     width = 2 * spark.sparkContext.defaultParallelism
-    columns = max(1, math.ceil(n / COLUMN), min(math.ceil(n / PACK), width))
+    columns = max(1, math.ceil(n / (COLUMN if code is None else CODED_COLUMN)), min(math.ceil(n / PACK), width))
     rows = max(1, math.ceil(q / ROW))
     left = vectors.mapInArrow(_packer(columns, code, sent), _SCHEMA).withColumnRenamed("cell", "g").withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
     right = queries.mapInArrow(_packer(rows, None, sent), _SCHEMA).withColumnRenamed("cell", "h").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
-    out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64() if score_type == "long" else pa.float64())])
+    out = pa.schema([(c, pa.int64()) for c in ("query_id", "query_hash", "times", "vec_id", "hash")] + [("score", pa.int64() if score_type == "long" else pa.float64())])
 
     def meet(candidates: pa.Table, asked_here: pa.Table) -> pa.Table:
-        query_id, vec_id, score = [], [], []
+        parts = [[] for _ in out]
         for dim in sorted(set(asked_here.column("dim").to_pylist())):
-            ids, x, codes = _joined(candidates, dim)
-            own, y, _ = _joined(asked_here, dim)
+            ids, x = _joined(candidates, dim)
+            own, y = _joined(asked_here, dim)
             if not len(ids):
                 continue
             ready = prepare(x, sent.value)
             for i, v in zip(own, y, strict=True):
-                places, scores = find(ready, ids, x, codes, i, v, k, sent.value)
-                query_id.append(np.full(len(places), i))
-                vec_id.append(ids[places])
-                score.append(scores)
-        columns_ = [np.concatenate(c) if c else np.empty(0) for c in (query_id, vec_id, score)]
-        return pa.table([pa.array(c.astype(f.type.to_pandas_dtype())) for c, f in zip(columns_, out, strict=True)], schema=out)
-
-    found = left.groupBy("g", "h").cogroup(right.groupBy("g", "h")).applyInArrow(meet, f"query_id long, vec_id long, score {score_type}")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                places, scores = find(ready, ids["id"], x, v, most, sent.value)
+                for part, value in zip(parts, (*i.tolist(), ids["id"][places], ids["hash"][places], scores), strict=True):
+                    part.append(value if isinstance(value, np.ndarray) else np.full(len(places), value))
+        return pa.table([pa.array(np.concatenate(c or [np.empty(0)]).astype(f.type.to_pandas_dtype())) for c, f in zip(parts, out, strict=True)], schema=out)
+
+    found = left.groupBy("g", "h").cogroup(right.groupBy("g", "h")).applyInArrow(meet, f"query_id long, query_hash long, times long, vec_id long, hash long, score {score_type}")
+    place = F.row_number().over(Window.partitionBy("query_id", "query_hash").orderBy(F.desc("score"), F.asc("vec_id"), F.asc("hash")))
+    return found.withColumn("place", place).where(F.col("place") <= most).drop("place")
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k best of what ``search`` found, without each query's own row, for each time that it is asked."""
+    by = Window.partitionBy("query_id", "query_hash").orderBy(F.desc("score"), F.asc("vec_id"), F.asc("hash"))
+    own = (F.col("vec_id") == F.col("query_id")) & (F.col("hash") == F.col("query_hash"))
+    out = found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k + 1).withColumn("own", own.cast("int"))
+    # of rows equal to the query's one is its own
+    out = out.withColumn("passed", F.sum("own").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("own = 0 or passed > 1")
+    out = out.withColumn("rank", F.col("rank") - F.least("passed", F.lit(1)).cast("int")).where(F.col("rank") <= k)
+    return out.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("query_id", "rank", "vec_id", "score")

@@ -20,19 +20,25 @@ def rows(seed=1, n=700, dim=12):
 
 
 def brute(data, k, whole, zero):
-    fine = {i: v for i, v, *_ in data if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and (zero or any(v))}
+    fine = [(i, v) for i, v, *_ in data if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and (zero or any(v))]
     if whole:
-        fine = {i: [math.floor(64 * x) for x in v] for i, v in fine.items()}
+        fine = [(i, [math.floor(64 * x) for x in v]) for i, v in fine]
     out = []
-    for q in (i for i in fine if i % 20 == 0):
-        scores = [(float(np.dot(np.array(fine[q], float), np.array(v, float))), i) for i, v in fine.items() if i != q and len(v) == len(fine[q])]
-        out += [(q, r, i, s) for r, (s, i) in enumerate(sorted(scores, key=lambda p: (-p[0], p[1]))[:k], 1)]
+    for at, (q, own) in enumerate(fine):
+        if q % 20 == 0:
+            scores = [((np.array(own, float) * np.array(v, float)).sum(), i) for other, (i, v) in enumerate(fine) if other != at and len(v) == len(own)]
+            out += [(q, r, i, s) for r, (s, i) in enumerate(sorted(scores, key=lambda p: (-p[0], p[1]))[:k], 1)]
     return out
 
 
+def repeated(data):
+    """Rows that repeat a vec_id: an equal one twice, one with another vector, and one of a query that no other vector resembles."""
+    return data + [data[40], data[40], (40, data[41][1], 0.5, 1), (60, data[60][1], 0.5, 1)]
+
+
 @pytest.mark.parametrize("k", [1, 20, 2000])
 def test_top_k_is_exact(spark, k):
-    data = rows()
+    data = repeated(rows())
     got = threshold_topk.top_k(spark.createDataFrame(data, KIND).repartition(6), k=k).collect()
     assert sorted(tuple(r) for r in got) == sorted(brute(data, k, True, True))
 
@@ -49,3 +55,31 @@ def test_nearest_recall_and_scores(spark):
     want = {(q, i): s for q, _, i, s in brute(data, 20, False, False)}
     assert len(set(got) & set(want)) >= 0.9 * len(want)
     assert all(abs(got[p] - want[p]) < 1e-9 for p in set(got) & set(want))
+
+
+def test_nearest_ranks_ties_and_repeated_rows(spark):
+    """With as many reranked as there are candidates, the result is that of brute force, order included."""
+    data = repeated(rows(3, 400, 8))
+    got = anisotropic.nearest(spark.createDataFrame(data, KIND).repartition(3), k=20, rerank=30).collect()
+    want = brute(data, 20, False, False)
+    assert sorted((r["query_id"], r["rank"], round(r["score"], 9)) for r in got) == sorted((q, r, round(s, 9)) for q, r, _, s in want)
+    by_score = {}
+    for r in got:
+        by_score.setdefault((r["query_id"], r["score"]), []).append((r["rank"], r["vec_id"]))
+    assert all([i for _, i in sorted(g)] == sorted(i for _, i in g) for (q, _), g in by_score.items() if q not in (40, 60))
+
+
+def test_nearest_recall_on_the_embeddings(spark):
+    d = "/root/testdata/sf0.1/embeddings.parquet"
+    table = spark.read.parquet(d)
+    data = [tuple(r) for r in table.select("vec_id", "embedding").collect()]
+    got = {(r["query_id"], r["vec_id"]) for r in anisotropic.nearest(table).collect()}
+    x = {i: np.array(v, float) for i, v in data}
+    ids, every = np.array(sorted(x)), np.array([x[i] for i in sorted(x)])
+    hit = n = 0
+    for q in (i for i in ids if i % 20 == 0):
+        s = np.where(ids == q, -np.inf, every @ x[q])
+        top = ids[np.lexsort((ids, -s))[:20]]
+        hit += sum((q, i) in got for i in top.tolist())
+        n += len(top)
+    assert hit >= 0.9 * n and n
