@@ -134,10 +134,15 @@ def scan(columns: np.ndarray, ids: np.ndarray, codes: np.ndarray, query: np.ndar
 def _exact(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Inner products of the columns embedding and query."""
     for b in it:
-        x, y = ([np.array(v, float) for v in b.column(c).to_pylist()] for c in ("embedding", "query"))
-        scores = [(u * v).sum() for u, v in zip(x, y, strict=True)]
+        x, y = (b.column(c) for c in ("embedding", "query"))
+        dims = np.diff(x.offsets.to_numpy())
+        scores = np.zeros(b.num_rows)
+        for dim in np.unique(dims).tolist():
+            rows = np.flatnonzero(dims == dim)
+            u, v = (c.values.to_numpy(zero_copy_only=False).astype(np.float64)[c.offsets.to_numpy()[rows][:, None] + np.arange(dim)] for c in (x, y))
+            scores[rows] = (u * v).sum(axis=1)
         keep = [c for c in b.schema.names if c not in ("embedding", "query")]
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(scores, pa.float64())], [*keep, "score"])
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(scores)], [*keep, "score"])
 
 
 def nearest(vectors: DataFrame, asked: str = "vec_id % 20 = 0", k: int = 20, sample: int = SAMPLE, rerank: int = RERANK) -> DataFrame:
