@@ -88,7 +88,9 @@ def chi_square(df: DataFrame, left: str, right: str) -> DataFrame:
     size = rows.agg(F.count(F.lit(1)).alias("r"), F.sum("ra").alias("n")).crossJoin(cols.agg(F.count(F.lit(1)).alias("c")))
     ok = F.col("r").between(2, 64) & F.col("c").between(2, 64)
     size = size.withColumn("r", F.when(ok, F.col("r")).otherwise(F.raise_error(F.lit("each side must have 2 to 64 categories")).cast("long")))
-    listed = size.crossJoin(rows.agg(F.collect_list(F.struct("a", "ra")).alias("rows"))).crossJoin(cols.agg(F.collect_list(F.struct("b", "cb")).alias("cols")))
+    # one more than allowed, so that no task ever lists a column of many values
+    few, fewer = rows.limit(65), cols.limit(65)
+    listed = size.crossJoin(few.agg(F.collect_list(F.struct("a", "ra")).alias("rows"))).crossJoin(fewer.agg(F.collect_list(F.struct("b", "cb")).alias("cols")))
     grid = listed.where("r between 2 and 64").select("r", "c", "n", F.explode("rows").alias("x"), "cols").select("r", "c", "n", "x.*", F.explode("cols").alias("y")).select("r", "c", "n", "a", "ra", "y.*")
     full = grid.join(cells, ["a", "b"], "left").withColumn("o", F.coalesce("o", F.lit(0))).withColumn("e", F.col("ra") * F.col("cb") / F.col("n"))
     gap = F.abs(F.col("o") - F.col("e"))

@@ -37,7 +37,7 @@ class Parameter:
 
 @dataclass(frozen=True)
 class Skill:
-    run: Callable[..., DataFrame]
+    run: Callable[..., DataFrame] | None  # None: tables alone don't suffice
     parameters: dict[str, Parameter] = field(default_factory=dict)
     needs: str = ""  # an outside service or renderer, if it can't run on tables alone
 
@@ -98,10 +98,10 @@ SKILLS: dict[str, Skill] = {
     "image_classification": Skill(lambda rows, key, label: learning.cross_validate(learning.as_columns(rows, "pixels", 3072), key, [f"f{i}" for i in range(3072)], label, 3, "forest"), {"key": _KEY, "label": _KEY}),
     "model_inference": Skill(lambda rows, model, key, fields: learning.infer(_load(model), rows, key, fields), {"model": _KEY, "key": _KEY, "fields": _FIELDS}),
     "fits_image_analysis": Skill(lambda rows, image: _segments(rows, image), {"image": _KEY}),
-    "skyview_fits": Skill(lambda rows: rows, needs="an image service"),
-    "ephemeris": Skill(lambda rows: rows, needs="an ephemeris file"),
+    "skyview_fits": Skill(None, needs="an image service"),
+    "ephemeris": Skill(None, needs="an ephemeris file"),
     "celestial_events": Skill(lambda rows, group, order, value: series.extrema(rows, [group], order, value), {"group": _KEY, "order": _KEY, "value": _KEY}, needs="a sampled ephemeris as rows"),
-    "wwt_scene": Skill(lambda rows: rows, needs="a renderer"),
+    "wwt_scene": Skill(None, needs="a renderer"),
 }
 
 
@@ -122,6 +122,8 @@ def run(name: str, rows: DataFrame, parameters: dict | None = None, **tables: Da
     if name not in SKILLS:
         raise ValueError(f"no skill is called {name}")
     skill, given = SKILLS[name], dict(parameters or {})
+    if skill.run is None:
+        raise ValueError(f"{name} needs {skill.needs}")
     unknown = set(given) - set(skill.parameters)
     if unknown:
         raise ValueError(f"{name} has no parameters {sorted(unknown)}")

@@ -171,10 +171,10 @@ def recorded(spark: SparkSession, path: str) -> DataFrame:
 _ITEM = "struct<title:array<string>,author:array<struct<given:string,family:string>>,issued:struct<`date-parts`:array<array<int>>>,DOI:string,URL:string,abstract:string>"
 
 
-def search_items(pages: DataFrame, body: str, longest: int = 20_000) -> DataFrame:
-    """Papers of bibliographic search pages: tags are stripped from titles and abstracts, which are cut at ``longest`` characters."""
+def search_items(pages: DataFrame, body: str) -> DataFrame:
+    """Papers of bibliographic search pages: tags are stripped from titles and abstracts, which stay whole."""
     items = F.from_json(F.get_json_object(body, "$.message.items"), f"array<{_ITEM}>")
-    clean = lambda c: F.substring(F.trim(F.regexp_replace(c, r"<[^>]*>", "")), 1, longest)
+    clean = lambda c: F.trim(F.regexp_replace(c, r"<[^>]*>", ""))
     i = pages.select(F.explode(items).alias("i"))
     authors = F.transform(F.coalesce("i.author", F.array().cast("array<struct<given:string,family:string>>")), lambda a: F.concat_ws(" ", a["given"], a["family"]))
     year = F.get(F.get(F.col("i.issued")["date-parts"], F.lit(0)), F.lit(0))
