@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 #: Words remembered by a worker, in each of two generations.
 _REMEMBERED = 600_000
 _COMBINING = re.compile("[\u0300-\u036f]")
-#: Letters before this one are whole after normalization.
-_BEYOND_LATIN = "\u0250"
+#: Letters outside this range may be taken apart by normalization.
+_BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 _BATCH_CHARS = 3_000_000
 #: Pieces that are packed together.
 GROUP = 20_000
@@ -73,7 +73,7 @@ class WordIds:
                 young[w] = known
             elif "<|" in w or not w or self.mark in w or "İ" in w:
                 young[w] = self._alone(w)
-            elif max(w) >= _BEYOND_LATIN:
+            elif not w.isascii() and _BEYOND_LATIN.search(w):
                 new.append(w)
             elif w.isalpha():
                 letters.append(w)
