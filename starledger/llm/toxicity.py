@@ -41,6 +41,8 @@ _PATTERNS = 4
 _RARE = 3
 #: A lexicon voter has to be right so often where it fires, by the lower end of an interval of so many standard errors.
 _RIGHT, _Z = 0.6, 1.64
+#: Classes of the label model whose probabilities in toxic and clean texts differ by less aren't the labels' classes.
+_APART = 0.1
 _UPPER = np.fromiter((not 0xD800 <= c <= 0xDFFF and chr(c).isupper() for c in range(0x20000)), bool, 0x20000)
 
 
@@ -181,9 +183,10 @@ def train(candidates: np.ndarray, telling: np.ndarray, hits: list[np.ndarray], f
     """
     n, known = len(labels), labels >= 0
     toxic = int((labels == 1).sum())
+    prior = (toxic + 0.5) / (known.sum() + 1)
+    even = Model(np.empty(0, np.uint64), np.empty(0), float(np.log(prior / (1 - prior)))), None, np.full(n, prior)
     if not 0 < toxic < known.sum():
-        prior = (toxic + 0.5) / (known.sum() + 1)
-        return Model(np.empty(0, np.uint64), np.empty(0), float(np.log(prior / (1 - prior)))), None, np.full(n, prior)
+        return even
     own = np.repeat(np.arange(n, dtype=np.int32), [len(h) for h in hits])
     place = np.concatenate(hits)
     lexical = place < len(candidates)
@@ -191,6 +194,8 @@ def train(candidates: np.ndarray, telling: np.ndarray, hits: list[np.ndarray], f
     texts = np.split(own[lexical][by_stem], np.cumsum(np.bincount(place[lexical], minlength=len(candidates)))[:-1]) if len(candidates) else []
     voters = _covering(np.arange(len(candidates)), texts, labels)
 
+    if not len(voters):
+        return even
     votes = np.zeros((n, len(voters) + _PATTERNS + 2), bool)
     for i, v in enumerate(voters):
         votes[texts[v], i] = True
@@ -198,7 +203,10 @@ def train(candidates: np.ndarray, telling: np.ndarray, hits: list[np.ndarray], f
     votes[:, len(voters) : -2] = forms
     votes[:, -2], votes[:, -1] = fired >= 2, fired == 0
     model, target = label_model(votes, guess(fired))
-    if target[labels == 1].mean() < target[labels == 0].mean():  # labels say which class is which
+    apart = target[labels == 1].mean() - target[labels == 0].mean()
+    if abs(apart) < _APART:
+        return even
+    if apart < 0:  # labels say which class is which
         model.prior, model.rates, target = 1 - model.prior, model.rates[::-1], 1 - target
 
     row, col = own[~lexical], place[~lexical] - len(candidates)
@@ -284,7 +292,7 @@ def _finder(candidates: np.ndarray, telling: np.ndarray):
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn, most: int = SAMPLE, unlabelled: int = UNLABELLED) -> Model:
-    """Learn from at most ``most`` labelled and ``unlabelled`` other documents; without both labels among them, scores are the prior.
+    """Learn from at most ``most`` labelled and ``unlabelled`` other documents; without both labels among them, or voters that tell them apart, scores are the prior.
 
     Null texts, ids and labels aren't learned from, a document labelled or present twice counts once, and columns other than
     doc_id, text and the label are ignored. Empty tables give an even prior. Stems of very few texts don't leave the executors.
