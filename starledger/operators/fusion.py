@@ -51,12 +51,14 @@ def conflicts(cells: DataFrame, group: list[str], value: str, source: str, absol
     return g.select(*group, "n", "low", "high", agrees.alias("agrees"), F.when(F.col("__s") == F.col("__t"), "same_source").otherwise("cross_source").alias("scope"))
 
 
-def select_canonical(cells: DataFrame, group: list[str]) -> DataFrame:
+def select_canonical(cells: DataFrame, group: list[str], more: dict[str, Column] | None = None) -> DataFrame:
     """One outcome a group from cells (kind, value, source_priority, alias_priority, cell_id, aligned).
 
     The first structured value by source, alias and id; else the documents' value if they agree on one. Nothing is chosen where the
-    alignment is unresolved or documents disagree. Without any value: not_measured if a source has the field, else not_in_source. All of it is one aggregate.
+    alignment is unresolved or documents disagree. Without any value: not_measured if a source has the field, else not_in_source. All of it is one aggregate,
+    which also takes the aggregates ``more``.
     """
+    more = more or {}
     has = F.col("value").isNotNull()
     structured, document = has & (F.col("kind") == "structured"), has & (F.col("kind") == "document")
     order = F.struct("source_priority", "alias_priority", "cell_id")
@@ -64,6 +66,7 @@ def select_canonical(cells: DataFrame, group: list[str]) -> DataFrame:
         F.min_by(F.when(structured, F.struct("value", "cell_id")), F.when(structured, order)).alias("s"), F.min(F.when(document, F.col("value"))).alias("dlo"), F.max(F.when(document, F.col("value"))).alias("dhi"),
         F.min(F.when(document, F.col("cell_id"))).alias("did"), F.min(F.when(structured, F.col("value"))).alias("slo"), F.max(F.when(structured, F.col("value"))).alias("shi"),
         F.bool_and("aligned").alias("aligned"), F.count_if(F.col("kind") == "structured").alias("fields"),
+        *[c.alias(name) for name, c in more.items()],
     )
     any_value = F.col("slo").isNotNull() | F.col("dlo").isNotNull()
     outcome = (
@@ -73,7 +76,7 @@ def select_canonical(cells: DataFrame, group: list[str]) -> DataFrame:
     low, high = F.least("slo", "dlo"), F.greatest("shi", "dhi")
     return g.select(
         *group, outcome.alias("outcome"), F.when(outcome == "structured", F.col("s.value")).when(outcome == "document_consensus", F.col("dlo")).alias("value"),
-        F.when(outcome == "structured", F.col("s.cell_id")).when(outcome == "document_consensus", F.col("did")).alias("cell_id"), F.coalesce(low != high, F.lit(False)).alias("in_conflict"),
+        F.when(outcome == "structured", F.col("s.cell_id")).when(outcome == "document_consensus", F.col("did")).alias("cell_id"), F.coalesce(low != high, F.lit(False)).alias("in_conflict"), *more,
     )
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers, text
 from ..functions.hashing import has_duplicates, sorted_set
-from ..operators import documents, fusion
+from ..operators import admission, documents, fusion
+from ..operators.admission import Field
 from ..scratch import new_path, table
 from ..sources import catalogs
 from .catalog import query
@@ -156,3 +157,50 @@ def recorded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("page_no")).agg(F.to_json(F.collect_list(row)).alias("rows"))
     pages.withColumn("sha256", F.sha2("rows", 256)).write.json(path)
     return catalogs.recorded(spark, path).select("page_no", F.col("row.c_custkey").cast("long").alias("c_custkey"), F.col("row.c_name").alias("c_name"))
+
+
+_CUSTOMERS = [Field("ident", "identity", nullable=False), Field("c_name", "name", nullable=False), Field("c_acctbal", "balance", unit="usd", canonical_unit="cent", factor="100"), Field("ra", "right_ascension", unit="deg", canonical_unit="deg"), Field("dec", "declination", unit="deg", canonical_unit="deg")]
+_FAULTY = [
+    "CASE WHEN c_custkey % 50 = 0 THEN NULL WHEN c_custkey % 50 = 1 THEN '  ' WHEN c_custkey % 2 = 0 THEN concat(' Host ', CAST(c_custkey % 90 AS VARCHAR(9))) ELSE concat('host  ', CAST(c_custkey % 90 AS VARCHAR(9)), ' ') END AS ident",
+    "CASE WHEN c_custkey % 40 > 0 THEN c_name END AS c_name", "c_acctbal", "CASE WHEN c_custkey % 30 > 0 THEN CAST(c_acctbal AS DOUBLE) / 20 END AS ra", "CASE WHEN c_custkey % 31 = 0 THEN CAST('NaN' AS DOUBLE) ELSE c_custkey % 100 - 8.0 END AS dec",
+]
+
+
+@query(f"""
+    WITH t AS (SELECT {", ".join(_FAULTY)} FROM customer), k AS (SELECT *, lower(trim(regexp_replace(ident, '\s+', ' ', 'g'))) AS i FROM t),
+    r AS (
+        SELECT 'null_key' AS reason, count(*) AS rows FROM k WHERE coalesce(i, '') = '' UNION ALL SELECT 'null_value', count(*) FROM k WHERE c_name IS NULL
+        UNION ALL SELECT 'half_coordinate', count(*) FROM k WHERE (ra IS NULL) <> (dec IS NULL) UNION ALL SELECT 'coordinate_out_of_range', count(*) FROM k WHERE ra < 0 OR ra >= 360 OR isnan(dec) OR dec < -90 OR dec > 90
+        UNION ALL SELECT 'duplicate_identity', count(*) FROM (SELECT count(*) OVER (PARTITION BY i) AS n FROM k WHERE i <> '') WHERE n > 1 UNION ALL SELECT 'status_disagrees', 1
+    ) SELECT * FROM r WHERE rows > 0
+""")
+def table_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every reason against a table with faults, of which the source says that it is empty"""
+    fields = admission.projection(["ident", "c_name", "c_acctbal", "ra", "dec"], _CUSTOMERS)
+    return admission.rejections(table(spark, sf_dir, "customer").selectExpr(*_FAULTY), fields, "empty")
+
+
+@query("""
+    WITH c AS (SELECT lower(c_name) AS row_id, unnest(['identity', 'balance', 'segment']) AS field_id, unnest([c_name, CAST(CAST(c_acctbal AS DECIMAL(20,6)) * CAST(100 AS DECIMAL(12,6)) AS DECIMAL(32,6))::VARCHAR, c_mktsegment]) AS value, unnest([NULL, 'cent', NULL]) AS unit, unnest(['c_name', 'c_acctbal', 'c_mktsegment']) AS f FROM customer)
+    SELECT row_id, field_id, value, unit, 'customers/' || row_id || '/' || f AS locator FROM c
+""")
+def admitted_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of a table in canonical units, with locators"""
+    manifest = [Field("c_name", "identity", nullable=False), Field("c_acctbal", "balance", unit="usd", canonical_unit="cent", factor="100"), Field("c_mktsegment", "segment")]
+    return admission.admitted(table(spark, sf_dir, "customer"), "customers", admission.projection(["c_name", "c_acctbal", "c_mktsegment"], manifest))
+
+
+@query("""
+    WITH a AS (SELECT count(*) AS n, count_if(c_custkey % 3 = 0) AS h, count_if(c_custkey % 3 = 1) AS p FROM customer), b AS (SELECT count(*) AS n, count_if(s_suppkey % 3 = 0) AS h, count_if(s_suppkey % 3 = 2) AS q FROM supplier), l(case_id, most_rows, most_pairs) AS (VALUES ('small', 500, 250000), ('tight', 1000000000, 1), ('wide', 1000000000, 1000000000000))
+    SELECT case_id, a.n AS left_rows, b.n AS right_rows, CAST(a.h * b.h + a.p * b.q AS BIGINT) AS eligible_pairs, CASE WHEN greatest(a.n, b.n) > most_rows OR a.h * b.h + a.p * b.q > most_pairs THEN 'capacity_exceeded' ELSE 'accepted' END AS verdict FROM a, b, l
+""")
+def match_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts meet hosts and candidates meet assertions, under three pairs of limits"""
+    kinds = F.array(*[F.lit(x) for x in ("host", "candidate", "assertion")])
+    left = table(spark, sf_dir, "customer").select(F.get(kinds, (F.col("c_custkey") % 3).cast("int")).alias("kind"))
+    right = table(spark, sf_dir, "supplier").select(F.get(kinds, (F.col("s_suppkey") % 3).cast("int")).alias("kind"))
+    out = None
+    for name, rows, pairs in (("small", 500, 250_000), ("tight", 10**9, 1), ("wide", 10**9, 10**12)):
+        one = admission.capacity(left, right, "kind", [("host", "host"), ("candidate", "assertion")], rows, pairs).select(F.lit(name).alias("case_id"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("eligible_pairs", F.col("eligible_pairs").cast("long"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers
-from ..operators import fusion
+from ..operators import data_quality, fusion
 from ..scratch import Scratch, table
 from .catalog import query
 
@@ -89,11 +89,58 @@ _METRIC_SQL = f"{_COUNTED}, m AS (SELECT scope, target, unnest(['completeness',
 
 
 @query(f"WITH {_METRIC_SQL} SELECT scope, target, metric_id, numerator, denominator, 'determinate' AS status, round(numerator / denominator, 6) AS value FROM m")
-def quality_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A27 A28 A43"""
+def quality_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A27"""
     return _metrics(spark, sf_dir).withColumn("value", F.col("value").cast("double"))
 
 
+_UNIT_FIELDS = ["price", "tax"]
+_OBSERVED = f"""{_SELECTED.replace("l_partkey % 31 <> 0 AS aligned FROM", "l_partkey % 31 <> 0 AS aligned, l_orderkey % 97 <> 0 AS kept, l_orderkey % 89 <> 0 AS retained, l_linenumber <> 5 AS right_unit FROM")}, h AS (
+        SELECT row_id, field_id, bool_and(kept) AS kept, bool_and(retained) AS retained, count_if(field_id <> 'discount') AS units, count_if(field_id <> 'discount' AND right_unit) AS right_units, min(p) <> max(p) AS several FROM c WHERE value IS NOT NULL GROUP BY ALL
+    ), o AS (
+        SELECT row_id, field_id, 1 AS applicable, (value IS NOT NULL)::INT AS mapped, (value IS NULL)::INT AS missing, (value IS NULL AND outcome LIKE 'unresolved%')::INT AS unresolved, (value IS NOT NULL AND kept)::INT AS provenance, (value IS NOT NULL AND kept AND retained)::INT AS evidence,
+            CASE WHEN value IS NULL THEN 0 ELSE right_units END AS unit_consistent, CASE WHEN value IS NULL THEN 0 ELSE units END AS unit_applicable, in_conflict::INT AS conflict, coalesce(in_conflict AND NOT several, false)::INT AS same_source, coalesce(in_conflict AND several, false)::INT AS cross_source
+        FROM f LEFT JOIN h USING (row_id, field_id)
+    ), a AS (SELECT CASE WHEN grouping(field_id) = 0 THEN 'field' WHEN grouping(row_id) = 0 THEN 'row' ELSE 'dataset' END AS scope, coalesce(field_id, CAST(row_id AS VARCHAR), 'dataset') AS target, {", ".join(f"sum({c}) AS {c}" for c in data_quality._COUNTS)} FROM o GROUP BY GROUPING SETS ((field_id), (row_id), ())
+    ), rec AS (
+        SELECT CAST(p_partkey AS VARCHAR) AS target, CASE p_partkey % 5 WHEN 0 THEN 'unpaired' WHEN 1 THEN 'conflict_group' ELSE 'paired' END AS kind, p_partkey % 3 = 0 AS odd, p_partkey % 11 AS band FROM part
+    ), fl AS (
+        SELECT target, (kind = 'paired' AND band < 3)::INT AS low_confidence, (kind = 'paired' AND band < 10)::INT AS with_confidence, (kind = 'conflict_group' OR kind = 'paired' AND odd)::INT AS review_required, (kind <> 'unpaired')::INT AS adjudicable, (kind = 'unpaired' AND odd)::INT AS inconclusive, (kind = 'unpaired')::INT AS unpaired, (kind = 'paired')::INT AS paired FROM rec
+    ), ra AS (SELECT count(*) AS records, sum(review_required) AS review, sum(adjudicable) AS adj, sum(inconclusive) AS inc, sum(paired) AS pairs FROM fl
+    ), e AS (SELECT count(*) AS edges, count_if(o_orderpriority = '5-LOW') AS low_edges, count_if(o_custkey % 7 <> 0) AS edge_evidence FROM orders
+    ), l AS (
+        SELECT scope, target, unnest(['completeness', 'missingness', 'unresolved_rate', 'provenance_coverage', 'evidence_coverage', 'unit_consistency', 'same_source_conflict_rate', 'cross_source_conflict_rate']) AS m,
+            unnest([mapped, missing, unresolved, provenance, evidence + CASE WHEN scope = 'dataset' THEN edge_evidence ELSE 0 END, unit_consistent, same_source, cross_source]) AS n,
+            unnest([applicable, applicable, applicable, mapped, mapped + CASE WHEN scope = 'dataset' THEN edges ELSE 0 END, unit_applicable, applicable, applicable]) AS d FROM a, e
+    ), u AS (
+        SELECT scope, target, scope || '_' || m AS metric_id, n, d FROM l WHERE scope <> 'row' OR m NOT LIKE '%conflict%'
+        UNION ALL SELECT scope, target, 'row_conflict_rate', conflict, applicable FROM a WHERE scope = 'row'
+        UNION ALL SELECT scope, target, unnest(['row_low_confidence_flag', 'row_review_required_flag', 'row_inconclusive_flag']), unnest([low_confidence, review_required, inconclusive]), unnest([with_confidence, adjudicable, unpaired]) FROM a JOIN fl USING (target) WHERE scope = 'row'
+        UNION ALL SELECT 'dataset', 'dataset', unnest(['object_match_coverage', 'low_confidence_edge_rate', 'review_required_record_rate', 'inconclusive_record_rate', 'source_scope_completeness', 'validation_integrity']),
+            unnest([pairs, low_edges, review, inc, (SELECT count(*) FROM region), 1]), unnest([records, edges, adj, records, (SELECT count(*) FROM region), 1]) FROM ra, e
+    )"""
+
+
+@query(f"""
+    WITH {_OBSERVED}, x AS (SELECT *, metric_id LIKE '%_flag' AND d = 0 OR metric_id = 'field_unit_consistency' AND target = 'discount' AS none FROM u)
+    SELECT scope, target, metric_id, CASE WHEN none THEN 0 ELSE n END::BIGINT AS numerator, CASE WHEN none THEN 0 ELSE d END::BIGINT AS denominator,
+        CASE WHEN none THEN 'not_applicable' WHEN d = 0 THEN 'empty_denominator' ELSE 'determinate' END AS status, CASE WHEN NOT none AND d > 0 THEN round_even(n / d, 6) END::DOUBLE AS value FROM x
+""")
+def quality_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 32 metrics of the fused prices, with parts as match records, orders as edges and regions as sources"""
+    order, line = F.expr("cell_id div 10"), F.col("cell_id") % 10
+    values = _cells(spark, sf_dir).withColumns({"in_snapshot": order % 97 != 0, "retained": order % 89 != 0, "unit": F.when(line == 5, "other").otherwise("usual"), "target_unit": F.lit("usual")})
+    k = F.col("p_partkey")
+    kind = F.when(k % 5 == 0, "unpaired").when(k % 5 == 1, "conflict_group").otherwise("paired")
+    status = F.when(k % 5 == 1, "conflict").when(k % 3 != 0, "accepted").when(k % 5 == 0, "inconclusive").otherwise("review_required")
+    band = F.when(k % 11 < 3, "low").when(k % 11 < 6, "medium").when(k % 11 < 10, "high")
+    records = table(spark, sf_dir, "part").select(k.alias("row_id"), kind.alias("record_type"), status.alias("status"), band.alias("band"))
+    edges = table(spark, sf_dir, "orders").select(F.when(F.col("o_orderpriority") == "5-LOW", "low").otherwise("high").alias("band"), (F.col("o_custkey") % 7 != 0).alias("with_evidence"))
+    sources = table(spark, sf_dir, "region").select(F.lit(True).alias("complete"))
+    out = data_quality.evaluate(data_quality.observed_cells(values, _UNIT_FIELDS), records, edges, sources, _UNIT_FIELDS)
+    return out.withColumn("value", F.col("value").cast("double"))
+
+
 def _rules(spark: SparkSession) -> DataFrame:
     rows = [("dataset", "completeness", "gte", "0.9"), ("field", "completeness", "gte", "0.95"), ("row", "conflict_rate", "equals", "0"), ("dataset", "missing_rate", "equals", "0")]
     return spark.createDataFrame(rows, "scope string, metric_id string, operator string, t string").select("scope", "metric_id", "operator", F.col("t").cast("decimal(18,6)").alias("threshold"))

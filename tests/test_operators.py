@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from starledger.functions import distributions as d
 from starledger.functions import hashing, numbers, text
-from starledger.operators import documents, fusion, graph, hypothesis, learning, match, ordering, paging, papers, profile, series
+from starledger.operators import admission, data_quality, documents, fusion, graph, hypothesis, learning, match, ordering, paging, papers, profile, series
 from starledger.plans import skills
 from starledger.session import session
 from starledger.sources import catalogs, images
@@ -264,3 +264,47 @@ def test_cone_filter_is_pushed(spark, tmp_path):
 
 def test_session_settings(spark):
     assert session().conf.get("spark.sql.session.timeZone") == "UTC"
+
+
+def test_quality_metrics_of_incomplete_and_empty_sources(spark):
+    cell = "row_id string, field_id string, kind string, value string, source_priority int, alias_priority int, cell_id int, aligned boolean, unit string, target_unit string, in_snapshot boolean, retained boolean"
+    values = [("r", "a", "structured", "2", 1, 1, 1, True, "m", "m", True, True), ("r", "a", "structured", "3", 1, 1, 2, True, None, "m", True, False), ("r", "b", "document", "5", 1, 1, 3, True, "m", "m", False, True), ("s", "a", "structured", None, 1, 1, 4, True, "m", "m", True, True)]
+    records, edges = spark.createDataFrame([("r", "paired", "review_required", "low"), ("s", "unpaired", None, None)], "row_id string, record_type string, status string, band string"), spark.createDataFrame([("low", True), (None, False)], "band string, with_evidence boolean")
+
+    def run(rows, complete):
+        cells = data_quality.observed_cells(spark.createDataFrame(rows, cell), ["a"])
+        out = data_quality.evaluate(cells, records, edges, spark.createDataFrame([(x,) for x in complete], "complete boolean"), ["a"])
+        return {(r["target"], r["metric_id"]): (r["numerator"], r["denominator"], r["status"]) for r in out.collect()}
+
+    got = run(values, [True, True])
+    assert len(got) == 2 * 8 + 2 * 10 + 14 and len({m for _, m in got}) == 32
+    assert got["a", "field_unit_consistency"] == (1, 2, "determinate") and got["b", "field_unit_consistency"] == (0, 0, "not_applicable")
+    assert got["a", "field_evidence_coverage"] == (0, 1, "determinate") and got["b", "field_provenance_coverage"] == (0, 1, "determinate")
+    assert got["a", "field_same_source_conflict_rate"] == (1, 2, "determinate") and got["s", "row_provenance_coverage"] == (0, 0, "empty_denominator")
+    assert got["r", "row_low_confidence_flag"] == (1, 1, "determinate") and got["s", "row_low_confidence_flag"] == (0, 0, "not_applicable") and got["s", "row_inconclusive_flag"] == (0, 1, "determinate")
+    assert got["dataset", "dataset_evidence_coverage"] == (1, 4, "determinate") and got["dataset", "object_match_coverage"] == (1, 2, "determinate")
+    part = run(values, [True, False])
+    assert part["dataset", "source_scope_completeness"] == (1, 2, "determinate") and part["a", "field_completeness"] == (1, 2, "insufficient_source") and part["b", "field_unit_consistency"][2] == "not_applicable"
+    empty = run([], [True])
+    assert len(empty) == 14 and empty["dataset", "dataset_completeness"] == (0, 0, "empty_denominator")
+
+
+def test_admission_of_tables(spark):
+    manifest = [admission.Field("k", "id", nullable=False), admission.Field("v", "v", nullable=False), admission.Field("ra", "ra"), admission.Field("dec", "dec")]
+    for bad in ([], ["v", "k"], ["k", "v", "v"], ["k", "w"], ["k", "ra"]):
+        with pytest.raises(ValueError):
+            admission.projection(bad, manifest)
+    fields = admission.projection(["k", "v", "ra", "dec"], manifest)
+    schema = "k string, v int, ra double, dec double"
+    run = lambda rows, status: {r["reason"]: r["rows"] for r in admission.rejections(spark.createDataFrame(rows, schema), fields, status).collect()}
+    assert run([("a", 1, 0.0, 90.0), ("b", 2, None, None)], "complete") == {} and run([], "empty") == {} and run([], "complete") == {"status_disagrees": 1}
+    assert run([("A  b", 1, 360.0, 0.0), (" a B", None, 1.0, None), (None, 1, float("nan"), 0.0)], "truncated") == {"null_key": 1, "null_value": 1, "duplicate_identity": 2, "half_coordinate": 1, "coordinate_out_of_range": 2}
+    with pytest.raises(ValueError, match="status"):
+        run([], "other")
+
+
+def test_capacity_at_its_limit(spark):
+    a, b = spark.createDataFrame([("h",), ("h",), ("p",)], "kind string"), spark.createDataFrame([("h",), ("q",), ("q",)], "kind string")
+    verdict = lambda rows, pairs: admission.capacity(a, b, "kind", [("h", "h"), ("p", "q")], rows, pairs).first()
+    assert verdict(3, 4)["verdict"] == "accepted" and verdict(3, 4)["eligible_pairs"] == 4
+    assert verdict(2, 4)["verdict"] == verdict(3, 3)["verdict"] == "capacity_exceeded"
