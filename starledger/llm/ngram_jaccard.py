@@ -434,6 +434,8 @@ def _unsettled(entries: DataFrame, pivots: DataFrame, found: DataFrame, comp: Da
 _LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("d", pa.float64())])
 #: Sets of a block, and shingles in them, at most (on average); columns of a dense product.
 _BLOCK, _BLOCK_SHINGLES, _COLUMNS = 512, 1_000_000, 4096
+#: Pairs of entries counted at once: each takes about 60 bytes for a moment.
+_PAIRS = 500_000
 
 
 def _common(own: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
@@ -448,7 +450,7 @@ def _common(own: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
     size = np.bincount(place, minlength=width)
     if (size.astype(np.int64) ** 2).sum() * 100 < n * n * width:  # few sets share a shingle: count pairs of entries
         start = np.cumsum(size) - size
-        step = max(1, len(own) * 4_000_000 // max(1, int((size.astype(np.int64) ** 2).sum())))
+        step = max(1, len(own) * _PAIRS // max(1, int((size.astype(np.int64) ** 2).sum())))
         flat = out.reshape(-1)
         for at in range(0, len(own), step):
             part = place[at : at + step]
