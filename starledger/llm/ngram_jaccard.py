@@ -122,7 +122,7 @@ def _prefix_lengths(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray
 def _sketcher(percent: int, k: int, buckets: int):
     def sketch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(k)
-        for i, b in enumerate(_batches(it, _BATCH, 16_000_000)):
+        for i, b in enumerate(_batches(it, _BATCH, 8_000_000)):
             batch = _batch_number(i)
             ids = b.column("doc_id")
             texts = b.column("text")
@@ -253,8 +253,14 @@ def _count(t: pa.Table) -> pa.Table:
         else:
             packs.append((r["batch"], r["bucket"], np.frombuffer(r["tok"], np.uint32), np.frombuffer(r["cnt"], np.uint32)))
     if packs:
-        _, place = np.unique(np.concatenate([p[2] for p in packs]), return_inverse=True)
-        total = np.bincount(place, np.concatenate([p[3] for p in packs]))[place].astype(np.uint32)
+        tok = np.concatenate([p[2] for p in packs])
+        order = np.argsort(tok, kind="stable")
+        tok = tok[order]
+        first = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
+        sums = np.add.reduceat(np.concatenate([p[3] for p in packs])[order], first)
+        total = np.empty(len(tok), np.uint32)
+        total[order] = np.repeat(sums, np.diff(np.append(first, len(tok)))).astype(np.uint32)
+        del tok, order, first, sums
         start = 0
         for batch, bucket, tok, _ in packs:
             rows.append({"batch": batch, "bucket": bucket, "df": total[start : start + len(tok)].tobytes()})
