@@ -166,7 +166,7 @@ _FAULTY = [
 ]
 
 
-@query(f"""
+@query(rf"""
     WITH t AS (SELECT {", ".join(_FAULTY)} FROM customer), k AS (SELECT *, lower(trim(regexp_replace(ident, '\s+', ' ', 'g'))) AS i FROM t),
     r AS (
         SELECT 'null_key' AS reason, count(*) AS rows FROM k WHERE coalesce(i, '') = '' UNION ALL SELECT 'null_value', count(*) FROM k WHERE c_name IS NULL
