@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import csv_safe
 from ..operators import fusion, presentation
 from ..scratch import new_path, table
-from ..sources import catalogs, sinks, tabular
+from ..sources import catalogs, fits, images, sinks, tabular
 from ..streaming import event_log
 from .catalog import query
 from .skills import as_metrics, run
@@ -105,3 +109,80 @@ def admitted_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(18,2)"))
     cells = fusion.long_cells(o, "o_orderkey", ["o_totalprice", "o_custkey"])
     return cells.join(o.select(F.col("o_orderkey").alias("row_id"), F.col("o_orderstatus").alias("status")), "row_id").select(F.col("row_id").alias("o_orderkey"), "status", "field_id", "value")
+
+
+@query("SELECT event_id, value, 1 + event_id % 7 / 8 AS uncertainty FROM events WHERE event_id % 4 <> 0 AND event_id % 7 <> 0")
+def light_curve_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a FITS table with flags, read back by ranges of rows; unflagged samples with a positive error"""
+    path = new_path(spark, "light-curve")
+    i = F.col("event_id")
+    error = F.when(i % 7 == 0, 0.0).otherwise(1 + i % 7 / 8)
+    fits.write_table(table(spark, sf_dir, "events").select(
+        i.cast("double").alias("time"), i.cast("int").alias("cadenceno"), F.col("value").alias("pdcsap_flux"), error.alias("pdcsap_flux_err"), F.when(i % 4 == 0, 8).otherwise(0).alias("quality"),
+    ), path)
+    raw = fits.read_table(spark, path, "time double, pdcsap_flux double, pdcsap_flux_err double, quality int", split=1 << 20, push=True)
+    return catalogs.light_curve_rows(raw).select(F.col("time").cast("long").alias("event_id"), "value", "uncertainty")
+
+
+@query("SELECT event_id, round(10 ** (3.5 + event_id / 1048576), 6) AS wavelength, CAST(CAST(value AS FLOAT) AS DOUBLE) AS flux, round(1 / sqrt(event_id % 5), 9) AS uncertainty FROM events WHERE event_id % 3 <> 0 AND event_id % 5 <> 0")
+def spectrum_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a spectrum's FITS table; unmasked samples of positive weight"""
+    path = new_path(spark, "spectrum")
+    i = F.col("event_id")
+    fits.write_table(table(spark, sf_dir, "events").select(
+        F.col("value").cast("float").alias("flux"), (F.lit(3.5) + i / 1048576).alias("loglam"), (i % 5).cast("float").alias("ivar"), F.when(i % 3 == 0, 16).otherwise(0).alias("and_mask"), i.alias("event_id"),
+    ), path)
+    raw = fits.read_table(spark, path, "flux float, loglam double, ivar float, and_mask int, event_id bigint", split=1 << 20, push=True)
+    got = catalogs.spectrum_rows(raw)
+    return got.select("event_id", F.round("wavelength", 6).alias("wavelength"), F.col("flux").cast("double").alias("flux"), F.round("uncertainty", 9).alias("uncertainty"))
+
+
+_SHEET = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+
+
+def _workbook(rows: pd.DataFrame) -> pd.DataFrame:
+    """One workbook of parts: numbers as values, texts inline, nothing for a blank cell."""
+    escaped = lambda t: t.replace("&", "&amp;").replace("<", "&lt;")
+    lines = ['<row r="1">' + "".join(f'<c r="{c}1" t="inlineStr"><is><t>{n}</t></is></c>' for c, n in zip("ABC", ("key", "name", "size"), strict=True)) + "</row>"]
+    for i, r in enumerate(rows.itertuples(), 2):
+        size = f'<c r="C{i}"><v>{r.size}</v></c>' if r.size % 5 else ""
+        lines.append(f'<row r="{i}"><c r="A{i}"><v>{r.key}</v></c><c r="B{i}" t="inlineStr"><is><t>{escaped(r.name)}</t></is></c>{size}</row>')
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{_SHEET}"><sheetData>{"".join(lines)}</sheetData></worksheet>')
+    return pd.DataFrame({"name": [f"parts-{rows.book.iloc[0]}.xlsx"], "content": [out.getvalue()]})
+
+
+@query("SELECT p_partkey, p_name, CASE WHEN p_size % 5 <> 0 THEN p_size END AS p_size, CAST(p_partkey // 500 AS BIGINT) AS book FROM part")
+def workbook_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts in workbooks of 500, read row by row; blank cells are absent"""
+    path = new_path(spark, "workbooks")
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"), F.col("p_size").alias("size"), F.expr("p_partkey div 500").alias("book"))
+    # a workbook has 500 rows at most
+    sinks.write_files(parts.groupBy("book").applyInPandas(_workbook, "name string, content binary"), path)
+    c, book = F.col("cells"), F.regexp_extract("path", r"parts-(\d+)\.xlsx$", 1)
+    return tabular.read_xlsx(spark, path).select(c["key"].cast("long").alias("p_partkey"), c["name"].alias("p_name"), c["size"].cast("int").alias("p_size"), book.cast("long").alias("book"))
+
+
+def _archive(rows: pd.DataFrame) -> pd.DataFrame:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for r in rows.itertuples():
+            z.writestr(f"{r.label}/{r.vec_id}.rgb", bytes(r.pixels.tolist()))
+    return pd.DataFrame({"name": [f"images-{rows.pack.iloc[0]}.zip"], "content": [out.getvalue()]})
+
+
+@query("""
+    WITH p AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(greatest(0, least(255, floor((CAST(x AS DOUBLE) + 4) * 32))) AS BIGINT)) AS p FROM embeddings)
+    SELECT label || '/' || vec_id || '.rgb' AS name, CAST(label AS VARCHAR) AS label, CAST(75 AS INTEGER) AS cells, CAST(list_sum(p) AS BIGINT) AS light, CAST(list_max(p) AS BIGINT) AS brightest FROM p
+""")
+def archive_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as images of 5 x 5 pixels in archives of 200, read by ranges of entries"""
+    path = new_path(spark, "archives")
+    level = F.transform("embedding", lambda x: F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.floor((x.cast("double") + 4) * 32).cast("double"))).cast("int"))
+    images_ = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.concat(level, F.array_repeat(F.lit(0), 75 - 64)).alias("pixels"), F.expr("vec_id div 200").alias("pack"))
+    # an archive has 200 images at most
+    sinks.write_files(images_.groupBy("pack").applyInPandas(_archive, "name string, content binary"), path)
+    got = images.read_image_archives(spark, path, side=5)
+    shade = F.transform("pixels", lambda x: F.round(x * 255).cast("long"))
+    return got.select("name", "label", F.size("pixels").alias("cells"), F.aggregate(shade, F.lit(0).cast("long"), lambda a, x: a + x).alias("light"), F.array_max(shade).alias("brightest"))

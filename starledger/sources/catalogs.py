@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numbers import finite, separation, within
+from . import fits
 
 
 def type_category(token: str) -> str | None:
@@ -84,64 +81,15 @@ def find_object(df: DataFrame, name: str, value: str) -> DataFrame:
 
 # --- FITS -----------------------------------------------------------------------------------------------
 
-_FORMATS = {"L": ">i1", "B": ">u1", "I": ">i2", "J": ">i4", "K": ">i8", "E": ">f4", "D": ">f8"}
-
-
-def _header(raw: bytes, at: int) -> tuple[dict[str, str], int]:
-    cards: dict[str, str] = {}
-    while True:
-        block = raw[at : at + 2880]
-        if len(block) < 2880:
-            raise ValueError("a FITS header ends early")
-        at += 2880
-        for i in range(0, 2880, 80):
-            card = block[i : i + 80].decode("ascii", "replace")
-            if card[:8].strip() == "END":
-                return cards, at
-            if card[8:10] == "= ":
-                body = card[10:]
-                cards[card[:8].strip()] = body.split("'")[1].strip() if body.lstrip().startswith("'") else body.split("/")[0].strip()
-
-
-def _size(h: dict[str, str]) -> int:
-    n = abs(int(h.get("BITPIX", "8"))) // 8 if int(h.get("NAXIS", "0")) else 0
-    for i in range(1, int(h.get("NAXIS", "0")) + 1):
-        n *= int(h[f"NAXIS{i}"])
-    return -(-(n + int(h.get("PCOUNT", "0"))) // 2880) * 2880
-
-
-def fits_table(raw: bytes, hdu: int = 1) -> dict[str, np.ndarray]:
-    """Scalar columns of a binary table, by lower-case name."""
-    at = 0
-    for _ in range(hdu + 1):
-        head, data = _header(raw, at)
-        at = data + _size(head)
-    fields, offset = [], 0
-    for i in range(1, int(head["TFIELDS"]) + 1):
-        form = head[f"TFORM{i}"]
-        n, code = int(form[:-1] or 1) if form[:-1].isdigit() or len(form) == 1 else 1, form[-1]
-        if code in _FORMATS and n == 1:
-            fields.append((head[f"TTYPE{i}"].lower(), _FORMATS[code], offset))
-        offset += n * (np.dtype(_FORMATS[code]).itemsize if code in _FORMATS else 1)
-    kind = np.dtype({"names": [f[0] for f in fields], "formats": [f[1] for f in fields], "offsets": [f[2] for f in fields], "itemsize": int(head["NAXIS1"])})
-    rows = np.frombuffer(raw, kind, int(head["NAXIS2"]), data)
-    return {n: rows[n].astype(rows.dtype[n].newbyteorder("=")) for n in kind.names}
-
-
-def read_fits(spark: SparkSession, path: str, columns: list[str], hdu: int = 1) -> DataFrame:
-    """(path, columns… double) of binary tables, a task a file; a missing column is an error."""
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in it:
-            for name, raw in zip(p["path"], p["content"], strict=True):
-                t = fits_table(bytes(raw), hdu)
-                missing = [c for c in columns if c not in t]
-                if missing:
-                    raise ValueError(f"{name} lacks {missing}")
-                yield pd.DataFrame({"path": name, **{c: t[c].astype(float) for c in columns}})
-
-    schema = ", ".join(["path string", *[f"{c} double" for c in columns]])
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
+
+def read_fits(spark: SparkSession, path: str, columns: list[str], hdu: int = 1, split: int = 16 << 20) -> DataFrame:
+    """(path, columns… double) of binary tables, read by ranges of rows; a missing column is an error."""
+    kinds = {f.name: f.dataType.simpleString() for f in fits.read_table(spark, path, hdu=hdu).schema}
+    missing = [c for c in columns if c not in kinds]
+    if missing:
+        raise ValueError(f"{path} lacks {missing}")
+    asked = ", ".join(["path string", *[f"`{c}` {kinds[c]}" for c in columns]])
+    return fits.read_table(spark, path, asked, hdu, split).select("path", *[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
 
 
 def spectrum_rows(raw: DataFrame, *, flux: str = "flux", log_wave: str = "loglam", weight: str = "ivar", mask: str = "and_mask") -> DataFrame:

@@ -2,47 +2,78 @@
 
 from __future__ import annotations
 
-import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.numbers import finite
 from ..operators.components import components
 from ..operators.series import robust_scale
 from ..scratch import Scratch
+from . import files
 
 
-def archive_images(raw: bytes, side: int = 32) -> list[tuple[str, str, list[float]]]:
-    """(name, label, pixels) of an archive of raw ``side`` x ``side`` RGB files in a folder for each label; ValueError for unsafe or repeated paths and other sizes."""
+def entries(z: zipfile.ZipFile, side: int) -> list[tuple[zipfile.ZipInfo, str]]:
+    """(entry, label) of raw ``side`` x ``side`` RGB files in a folder for each label; ValueError for unsafe or repeated paths and other sizes."""
     out, seen = [], set()
-    with zipfile.ZipFile(io.BytesIO(raw)) as z:
-        for i in z.infolist():
-            if i.is_dir():
-                continue
-            parts = i.filename.split("/")
-            if len(parts) != 2 or any(p in ("", ".", "..") for p in parts) or i.filename.lower() in seen:
-                raise ValueError(f"{i.filename}: an image lies once in a label's folder")
-            seen.add(i.filename.lower())
-            if i.file_size != side * side * 3:
-                raise ValueError(f"{i.filename}: not {side} x {side} RGB")
-            out.append((i.filename, parts[0], (np.frombuffer(z.read(i), np.uint8) / 255).tolist()))
+    for i in z.infolist():
+        if i.is_dir():
+            continue
+        parts = i.filename.split("/")
+        if len(parts) != 2 or any(p in ("", ".", "..") for p in parts) or i.filename.lower() in seen:
+            raise ValueError(f"{i.filename}: an image lies once in a label's folder")
+        seen.add(i.filename.lower())
+        if i.file_size != side * side * 3:
+            raise ValueError(f"{i.filename}: not {side} x {side} RGB")
+        out.append((i, parts[0]))
     return out
 
 
-def read_image_archives(spark: SparkSession, path: str, side: int = 32) -> DataFrame:
-    """(archive, name, label, pixels array<double> from 0 to 1), a task an archive."""
+class ImageReader(DataSourceReader):
+    def __init__(self, path: str, side: int, split: int, columns: list[str]):
+        self.path, self.side, self.split, self.columns = path, side, split, columns
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in it:
-            for name, raw in zip(p["path"], p["content"], strict=True):
-                yield pd.DataFrame([(name, *r) for r in archive_images(bytes(raw), side)], columns=["archive", "name", "label", "pixels"])
+    def partitions(self) -> Sequence[InputPartition]:
+        return [InputPartition(p) for p in files.shares(files.visible_files(self.path), self.split)]
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, name string, label string, pixels array<double>")
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        system, _ = files.opened(self.path)
+        for path, share, of in partition.value:
+            file = files.RangeFile(system, path)
+            with zipfile.ZipFile(file) as z:
+                # every share checks the whole directory and reads the bytes of its own entries
+                all_ = entries(z, self.side)
+                for i, label in all_[len(all_) * share // of : len(all_) * (share + 1) // of]:
+                    row = {"archive": path, "name": i.filename, "label": label}
+                    if "pixels" in self.columns:
+                        row["pixels"] = (np.frombuffer(z.read(i), np.uint8) / 255).tolist()
+                    yield tuple(row[c] for c in self.columns)
+            file.close()
+
+
+class ImageSource(DataSource):
+    """Options: path (an archive or folder of them), side (32), split (bytes of an archive for each task, 16 MB)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "image_archive"
+
+    def schema(self) -> str:
+        return "archive string, name string, label string, pixels array<double>"
+
+    def reader(self, schema: T.StructType) -> DataSourceReader:
+        return ImageReader(self.options["path"], int(self.options.get("side", 32)), int(self.options.get("split", 16 << 20)), schema.names)
+
+
+def read_image_archives(spark: SparkSession, path: str, side: int = 32, split: int = 16 << 20, pixels: bool = True) -> DataFrame:
+    """(archive, name, label, pixels array<double> from 0 to 1); large archives are shared out by entries. Without ``pixels`` no entry is read."""
+    columns = "archive string, name string, label string" + ", pixels array<double>" * pixels
+    return files.load(spark, ImageSource, path, columns, side=side, split=split)
 
 
 def balanced(images: DataFrame, least: int = 2, most_classes: int = 32, ratio: float = 100.0) -> list[str]:

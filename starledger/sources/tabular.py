@@ -5,15 +5,17 @@ Cells of CSV files keep a kind each, as one column may mix them. A header is che
 
 from __future__ import annotations
 
-import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from typing import BinaryIO
 from xml.etree import ElementTree
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from . import files
 
 
 def checked_header(names: list[str]) -> list[str]:
@@ -95,17 +97,16 @@ def read_parquet(spark: SparkSession, path: str, iso: bool = False) -> DataFrame
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
-def sheet_rows(raw: bytes) -> list[list[str | None]]:
-    """Cells of a workbook's only sheet as text, cached values; rows without a value are left out."""
-    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+def sheet_rows(file: BinaryIO) -> Iterator[list[str | None]]:
+    """Cells of a workbook's only sheet as text, cached values, a row at a time; rows without a value are left out."""
+    with zipfile.ZipFile(file) as z:
         sheets = [n for n in z.namelist() if n.startswith("xl/worksheets/sheet")]
         if len(sheets) != 1:
             raise ValueError("a workbook must have one sheet")
-        shared = []
+        shared: list[str] = []
         if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in s.iter(f"{_MAIN}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si")]
-        out = []
-        for row in ElementTree.fromstring(z.read(sheets[0])).iter(f"{_MAIN}row"):
+            shared = ["".join(t.text or "" for t in s.iter(f"{_MAIN}t")) for s in _elements(z, "xl/sharedStrings.xml", "si")]
+        for row in _elements(z, sheets[0], "row"):
             cells: dict[int, str | None] = {}
             for c in row.iter(f"{_MAIN}c"):
                 place = 0
@@ -115,20 +116,63 @@ def sheet_rows(raw: bytes) -> list[list[str | None]]:
                 value = "".join(t.text or "" for t in inline.iter(f"{_MAIN}t")) if inline is not None else v.text if v is not None else None
                 cells[(place or len(cells) + 1) - 1] = shared[int(value)] if c.get("t") == "s" and value is not None else value
             if any(v is not None for v in cells.values()):
-                out.append([cells.get(i) for i in range(max(cells) + 1)])
-    return out
+                yield [cells.get(i) for i in range(max(cells) + 1)]
+
+
+def _elements(z: zipfile.ZipFile, name: str, tag: str) -> Iterator[ElementTree.Element]:
+    """Elements of a part one after the other; what was passed is let go."""
+    with z.open(name) as f:
+        events = ElementTree.iterparse(f, ("start", "end"))
+        above: list[ElementTree.Element] = []
+        for kind, e in events:
+            if kind == "start":
+                above.append(e)
+                continue
+            above.pop()
+            if e.tag == f"{_MAIN}{tag}":
+                yield e
+                above[-1].remove(e)
+
+
+class WorkbookReader(DataSourceReader):
+    def __init__(self, path: str, split: int):
+        self.path, self.split = path, split
+
+    def partitions(self) -> Sequence[InputPartition]:
+        # a compressed sheet can't be entered in its middle, so a workbook is one task's, which goes through it row by row
+        whole = [[(p, n)] for p, n in files.visible_files(self.path) if n > self.split]
+        small = files.shares([(p, n) for p, n in files.visible_files(self.path) if n <= self.split], self.split)
+        return [InputPartition([p for p, *_ in part]) for part in [*whole, *small]]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        system, _ = files.opened(self.path)
+        for path in partition.value:
+            file = files.RangeFile(system, path)
+            try:
+                rows = sheet_rows(file)
+                header = checked_header([x or "" for x in next(rows, [])])
+                for i, r in enumerate(rows, 1):
+                    if any(v is not None for v in r[len(header) :]):
+                        raise ValueError(f"{path}: a row has more cells than the header")
+                    yield path, i, {h: v for h, v in zip(header, r, strict=False) if v is not None}
+            finally:
+                file.close()
+
+
+class WorkbookSource(DataSource):
+    """Options: path (a file or folder), split (bytes of small workbooks put together in a task)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "workbook"
+
+    def schema(self) -> str:
+        return "path string, row_no int, cells map<string,string>"
+
+    def reader(self, schema: T.StructType) -> DataSourceReader:
+        return WorkbookReader(self.options["path"], int(self.options.get("split", 16 << 20)))
 
 
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
-    """(path, row_no, cells map) of workbooks, one task a file; the first row is the header, cells beyond it are an error."""
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in it:
-            for name, raw in zip(p["path"], p["content"], strict=True):
-                rows = sheet_rows(bytes(raw))
-                header = checked_header([x or "" for x in rows[0]]) if rows else []
-                if any(len(r) > len(header) for r in rows[1:]):
-                    raise ValueError(f"{name}: a row has more cells than the header")
-                yield pd.DataFrame({"path": name, "row_no": range(1, len(rows)), "cells": [{h: v for h, v in zip(header, r, strict=False) if v is not None} for r in rows[1:]]})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, row_no int, cells map<string,string>")
+    """(path, row_no, cells map) of workbooks; the first row is the header, cells beyond it are an error, and so is a workbook without rows."""
+    return files.load(spark, WorkbookSource, path)

@@ -7,7 +7,7 @@ import zipfile
 
 import pytest
 
-from starledger.sources import catalogs, images, sinks, tabular
+from starledger.sources import catalogs, fits, images, sinks, tabular
 
 
 def test_csv(spark, tmp_path):
@@ -44,7 +44,7 @@ def test_xlsx(spark, tmp_path):
     (tmp_path / "a.xlsx").write_bytes(_xlsx(rows))
     assert [r["cells"] for r in tabular.read_xlsx(spark, str(tmp_path / "a.xlsx")).collect()] == [{"id": "7"}, {"name": "x"}]
     with pytest.raises(ValueError):
-        tabular.sheet_rows(_xlsx(rows, 2))
+        list(tabular.sheet_rows(io.BytesIO(_xlsx(rows, 2))))
 
 
 def test_table_service_files(spark, tmp_path):
@@ -91,6 +91,65 @@ def test_fits(spark, tmp_path):
         catalogs.read_fits(spark, str(tmp_path / "s.fits"), ["nope"]).collect()
 
 
+def test_fits_in_ranges_with_filters(spark, tmp_path):
+    columns = [("N", "J", "i"), ("BIG", "K", "q"), ("X", "D", "d"), ("NAME", "5A", "5s"), ("FLAG", "L", "c"), ("V", "2E", "2f"), ("B", "B", "B"), ("SKIP", "1P", "8s")]
+    rows = [(i - 500, i << 40, i / 3, b"n%d" % (i % 7), (b"T", b"F", b"\0")[i % 3], i, -i, i % 256, b"") for i in range(1000)]
+    raw = _fits(columns, rows)
+    (tmp_path / "a.fits").write_bytes(raw)
+    (tmp_path / "_ignored.fits").write_bytes(b"x")
+    df = fits.read_table(spark, str(tmp_path), split=5000)
+    assert df.dtypes == [("n", "int"), ("big", "bigint"), ("x", "double"), ("name", "string"), ("flag", "boolean"), ("v", "array<float>"), ("b", "smallint")]
+    assert df.rdd.getNumPartitions() > 5
+    want = [(i - 500, i << 40, i / 3, f"n{i % 7}", (True, False, None)[i % 3], [float(i), float(-i)], i % 256) for i in range(1000)]
+    assert sorted(tuple(r) for r in df.collect()) == want
+    for condition, keep in (("n = 3", lambda r: r[0] == 3), ("n in (1, 2) and x > 167.1", lambda r: r[0] in (1, 2) and r[2] > 167.1), ("not (b <= 100) and n is not null", lambda r: r[6] > 100), ("b >= 10 and b < 12", lambda r: 10 <= r[6] < 12), ("n <> 5", lambda r: r[0] != 5), ("n > 100 or b = 3", lambda r: r[0] > 100 or r[6] == 3)):
+        assert sorted(tuple(r) for r in df.where(condition).collect()) == [r for r in want if keep(r)], condition
+        pushed = fits.read_table(spark, str(tmp_path), split=5000, push=True).where(condition)
+        assert sorted(tuple(r) for r in pushed.collect()) == [r for r in want if keep(r)], condition
+    assert df.count() == 1000
+    few = fits.read_table(spark, str(tmp_path), "x double, n int, path string", push=True).where("n = 3 and x > 0")
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "(x#" in plan and "(n#" not in plan and "big" not in plan
+    assert [(r["x"], r["n"], r["path"].endswith("a.fits")) for r in few.collect()] == [(503 / 3, 3, True)]
+    with pytest.raises(Exception, match="lacks"):
+        fits.read_table(spark, str(tmp_path), "nope int").collect()
+    with pytest.raises(Exception, match="not bigint"):
+        fits.read_table(spark, str(tmp_path), "n bigint").collect()
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut" / "a.fits").write_bytes(raw[:-20_000])
+    with pytest.raises(Exception, match="ends before row"):
+        fits.read_table(spark, str(tmp_path / "cut")).collect()
+
+
+def test_fits_scaled_columns_and_missing_cells():
+    head = {"XTENSION": "BINTABLE", "NAXIS": "2", "NAXIS1": "6", "NAXIS2": "3", "TFIELDS": "2", "TTYPE1": "U", "TFORM1": "I", "TZERO1": "32768", "TTYPE2": "K", "TFORM2": "J", "TNULL2": "-1"}
+    text = fits.header([("SIMPLE", "T"), ("NAXIS", 0)]) + fits.header([(k, v if k in ("XTENSION", "TTYPE1", "TTYPE2", "TFORM1", "TFORM2") else int(v)) for k, v in head.items()])
+    layout = fits.Layout.of(lambda at, n: text[at : at + n], 1)
+    u, k = layout.columns
+    assert (layout.rows, layout.width, u.kind.simpleString(), k.kind.simpleString()) == (3, 6, "double", "int")
+    import numpy as np
+
+    assert u.decode(np.array([-32768, 0, 32767], ">i2")).to_pylist() == [0.0, 32768.0, 65535.0]
+    assert k.decode(np.array([5, -1, 0], ">i4")).to_pylist() == [5, None, 0]
+    with pytest.raises(ValueError, match="ends early"):
+        fits.Layout.of(lambda at, n: text[:3000][at : at + n], 1)
+    with pytest.raises(ValueError, match="no binary table"):
+        fits.Layout.of(lambda at, n: text[at : at + n], 0)
+
+
+def test_fits_written(spark, tmp_path):
+    df = spark.range(100).selectExpr("cast(id as int) a", "id b", "id / 7 c", "id % 2 = 0 d", "cast(id as float) e", "cast(id as smallint) f")
+    fits.write_table(df.repartition(3), str(tmp_path / "t"))
+    back = fits.read_table(spark, str(tmp_path / "t"))
+    assert back.dtypes == df.dtypes and sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    assert all(p.name.startswith("part-") for p in (tmp_path / "t").iterdir())
+    with pytest.raises(Exception, match="no nulls"):
+        fits.write_table(spark.sql("select cast(null as int) a"), str(tmp_path / "u"))
+    assert not (tmp_path / "u").exists() or not list((tmp_path / "u").glob("[!.]*"))
+    with pytest.raises(Exception, match="can't be a column"):
+        fits.write_table(spark.sql("select 'x' a"), str(tmp_path / "v"))
+
+
 def test_recorded_pages_and_items(spark, tmp_path):
     import hashlib
 
@@ -116,7 +175,11 @@ def test_image_archive(spark, tmp_path):
     assert images.balanced(got) == ["two images a class"]
     for names, size in ((["../x"], 12), (["a/b/c"], 12), (["a/x", "a/X"], 12), (["a/x"], 11)):
         with pytest.raises(ValueError):
-            images.archive_images(archive(names, size), 2)
+            images.entries(zipfile.ZipFile(io.BytesIO(archive(names, size))), 2)
+    (tmp_path / "b.zip").write_bytes(archive([f"l{i % 3}/{i}.rgb" for i in range(50)]))
+    shared = images.read_image_archives(spark, str(tmp_path / "b.zip"), 2, split=1000)
+    assert shared.rdd.getNumPartitions() > 3 and sorted(r["name"] for r in shared.collect()) == sorted(f"l{i % 3}/{i}.rgb" for i in range(50))
+    assert images.read_image_archives(spark, str(tmp_path / "b.zip"), 2, pixels=False).columns == ["archive", "name", "label"]
 
 
 def test_sinks(spark, tmp_path):
