@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import doppler, finite
 from ..scratch import Scratch
 from .ordering import median, neighbours, positions
+from .periodogram import on_grid
 
 #: Scales a median absolute deviation to a standard deviation.
 MAD_SCALE = 1.4826022185056018
@@ -108,35 +109,8 @@ def frequency_grid(low: float, high: float, duration: float, per_peak: int = 5)
 
 
 def periodogram(df: DataFrame, group: str, time: str, value: str, frequencies: np.ndarray) -> DataFrame:
-    """(group, frequency, power), Lomb–Scargle in standard normalization.
-
-    Sines and cosines are summed in Arrow batches where rows lie; only sums, one row a batch, object and frequency, are shuffled.
-    """
-    grid = np.asarray(frequencies, float)
-    stats = df.groupBy(group).agg(F.avg(value).alias("__m"), F.min(time).alias("__t"), F.var_pop(value).alias("__v"), F.count(value).alias("__n"))
-    rows = df.select(group, F.col(time).cast("double").alias("t"), F.col(value).cast("double").alias("y")).join(stats, group)
-
-    def sums(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in it:
-            for key, g in p.groupby(group):
-                parts = np.zeros((6, len(grid)))
-                for at in range(0, len(g), 512):
-                    x, y = (g["t"] - g["__t"]).to_numpy()[at : at + 512], (g["y"] - g["__m"]).to_numpy()[at : at + 512]
-                    a = 2 * np.pi * np.outer(x, grid)
-                    c, s = np.cos(a), np.sin(a)
-                    parts += np.stack([y @ c, y @ s, (c * c).sum(axis=0), (s * s).sum(axis=0), (c * s).sum(axis=0), np.zeros(len(grid))])
-                yield pd.DataFrame({group: key, "frequency": grid, "yc": parts[0], "ys": parts[1], "cc": parts[2], "ss": parts[3], "cs": parts[4]})
-
-    kind = df.schema[group].dataType.simpleString()
-    s = rows.mapInPandas(sums, f"{group} {kind}, frequency double, yc double, ys double, cc double, ss double, cs double")
-    s = s.groupBy(group, "frequency").agg(*[F.sum(c).alias(c) for c in ("yc", "ys", "cc", "ss", "cs")]).join(stats, group)
-    tau = F.atan2(2 * F.col("cs"), F.col("cc") - F.col("ss")) / 2
-    c, n = F.cos(tau), F.sin(tau)
-    yc, ys = F.col("yc") * c + F.col("ys") * n, F.col("ys") * c - F.col("yc") * n
-    cc = F.col("cc") * c * c + 2 * F.col("cs") * c * n + F.col("ss") * n * n
-    ss = F.col("ss") * c * c - 2 * F.col("cs") * c * n + F.col("cc") * n * n
-    power = (F.coalesce(F.try_divide(yc * yc, cc), F.lit(0.0)) + F.coalesce(F.try_divide(ys * ys, ss), F.lit(0.0))) / (F.col("__n") * F.nullif(F.col("__v"), F.lit(0.0)))
-    return s.select(group, "frequency", F.coalesce(power, F.lit(0.0)).alias("power"))
+    """(group, frequency, power), Lomb–Scargle in standard normalization about the mean."""
+    return on_grid(df, group, time, value, frequencies)
 
 
 def peaks(power: DataFrame, group: str, k: int = 10) -> DataFrame:
