@@ -1,7 +1,7 @@
 """Toxicity by weak supervision.
 
-1. Voters. Lexicon voters are stems (whole words and word beginnings of 4 to 7 bytes) that the labelled sample
-   ties to toxic texts; each votes toxic where its stem occurs and abstains elsewhere. Pattern voters look at the
+1. Voters. Lexicon voters are insults of a fixed list and stems (whole words and word beginnings of 4 to 7 bytes) that the labelled
+   sample ties to toxic texts; each votes toxic where its stem occurs, or occurs in two words or more, and abstains elsewhere. Pattern voters look at the
    form of a text (shouting, exclamation marks, few distinct words, none of these) and at whether two lexicon voters fire, or none.
 2. Label model. A generative model with a latent class over a sample of labelled and other documents, whose labels it doesn't see: from where
    the voters agree, expectation maximisation estimates how often each voter fires in either class, and the
@@ -36,18 +36,26 @@ _STEMS = (4, 5, 6, 7)
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(ord("a"), ord("z") + 1), *range(128, 256)]] = True
 _CHUNK = 1_000_000
+_TWICE = np.uint64(0x5851F42D4C957F2D)
 _PATTERNS = 4
 #: A stem counts from so many texts on.
 _RARE = 3
-#: A lexicon voter has to be right so often where it fires, by the lower end of an interval of so many standard errors.
-_RIGHT, _Z = 0.6, 1.64
+#: A learned voter has to be right so often where it fires, with so many more texts of the sample's toxic share counted to it.
+_RIGHT, _SHRINK = 0.6, 2.0
 #: Classes of the label model whose probabilities in toxic and clean texts differ by less aren't the labels' classes.
 _APART = 0.1
+# Common insults of four languages, each a voter where a word is it or begins with its first 7 bytes.
+INSULTS = """
+abruti arschloch abschaum asqueroso asshole basura bastard bitch blöd cabrón clown connard coward crétin cretino depp disgusting dreckig dégoûtant débile dumb dumm
+ekelhaft erbärmlich escoria estúpido filthy fool freak fuck garbage gilipollas hurensohn hässlich hate idiot imbecile imbécil imbécile inútil jerk liar loser lügner
+mentiroso menteur merde mierda minable mistkerl moron müll nichtsnutz ordure patético pathetic pathétique payaso perdedor putain retard salaud salope scheiß scheiss
+schlampe schwachkopf scum shit slut stupid stupide tarado tonto trash trottel ugly useless vermin versager vollidiot wertlos whore widerlich worthless
+""".split()
 _UPPER = np.fromiter((not 0xD800 <= c <= 0xDFFF and chr(c).isupper() for c in range(0x20000)), bool, 0x20000)
 
 
-def stems(text: str | None) -> np.ndarray:
-    """Hashes of a text's words and word beginnings, distinct and sorted. Words are runs of letters; case is dropped."""
+def _counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of a text's words and word beginnings, sorted, and how many words have each."""
     every = np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), np.uint8)
     inside = _LETTER[every]
     out = []
@@ -61,8 +69,34 @@ def stems(text: str | None) -> np.ndarray:
         for n in _STEMS:
             begun = np.add.reduceat(np.where(since < n, terms, np.uint64(0)), starts)
             part.append((begun * MIX + np.uint64(n))[length > n])
-        out.append(np.unique(np.concatenate(part)))
-    return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
+        out.append(np.unique(np.concatenate(part), return_counts=True))
+    if len(out) < 2:
+        return out[0] if out else (np.empty(0, np.uint64), np.empty(0, np.int64))
+    stem, place = np.unique(np.concatenate([s for s, _ in out]), return_inverse=True)
+    return stem, np.bincount(place, np.concatenate([n for _, n in out]), len(stem)).astype(np.int64)
+
+
+def stems(text: str | None) -> np.ndarray:
+    """Hashes of a text's words and word beginnings, distinct and sorted. Words are runs of letters; case is dropped."""
+    return _counted(text)[0]
+
+
+def signs(text: str | None) -> np.ndarray:
+    """Hashes of a text's stems, and others of those that two words or more have, sorted."""
+    stem, n = _counted(text)
+    return np.unique(np.concatenate([stem, (stem[n > 1] ^ _TWICE) * MIX]))
+
+
+def insults() -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the fixed list's words and word beginnings, and which voter each belongs to."""
+    hashes, owner = [], []
+    for i, word in enumerate(INSULTS):
+        raw = np.frombuffer(word.encode(), np.uint8)
+        terms = starts_and_terms(raw, np.ones(len(raw), bool))[2]
+        n = min(len(raw), _STEMS[-1])
+        hashes += [np.add.reduce(terms[:, None]) * MIX, np.add.reduce(terms[:n, None]) * MIX + np.uint64(n)]
+        owner += [i, i]
+    return np.concatenate(hashes), np.array(owner)
 
 
 def patterns(text: str | None) -> np.ndarray:
@@ -131,7 +165,7 @@ class Model:
         n = len(self.features)
         for i, t in enumerate(texts):
             z = self.bias
-            s = stems(t)
+            s = signs(t)
             if n and len(s):
                 at = np.searchsorted(s, self.features)
                 hit = s[np.minimum(at, len(s) - 1)] == self.features
@@ -160,9 +194,8 @@ def choose(stem: np.ndarray, total: np.ndarray, a: np.ndarray, n: int, toxic: in
     b = total - a
     odds = np.log((a + 0.2) / (toxic + 1)) - np.log((b + 0.2) / (n - toxic + 1))
     sure = odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))  # in standard errors, so that a small sample ties few stems
-    # Wilson's lower bound of the share of toxic texts among those that have the stem
-    z2, m = _Z * _Z, np.maximum(total, 1)
-    right = (a / m + z2 / (2 * m) - _Z * np.sqrt(a * b / m**3 + z2 / (4 * m * m))) / (1 + z2 / m)
+    # the share of toxic texts among those that have the stem, shrunk towards that of all
+    right = (a + _SHRINK * toxic / max(1, n)) / (total + _SHRINK)
     voters = np.flatnonzero((a >= _RARE) & (right >= _RIGHT))
     voters = voters[np.argsort(-right[voters] * np.sqrt(a[voters]), kind="stable")]
     telling = np.flatnonzero((total >= _RARE) & (np.abs(sure) > 2.5))
@@ -175,12 +208,15 @@ def guess(fired: np.ndarray) -> np.ndarray:
     return np.select([fired >= 2, fired == 1], [0.9, 0.2], 0.02)
 
 
-def train(candidates: np.ndarray, telling: np.ndarray, hits: list[np.ndarray], forms: np.ndarray, labels: np.ndarray) -> tuple[Model, LabelModel | None, np.ndarray]:
+def train(
+    candidates: np.ndarray, telling: np.ndarray, hits: list[np.ndarray], forms: np.ndarray, labels: np.ndarray, fixed: np.ndarray | None = None,
+) -> tuple[Model, LabelModel | None, np.ndarray]:
     """The classifier, the label model and its posterior for each text.
 
     hits: for each text the places in ``candidates`` followed by ``telling`` of the stems it has; forms: votes of its patterns; labels: -1
-    where there is none.
+    where there is none. The first candidates belong to the fixed voters that ``fixed`` names, one number for each.
     """
+    fixed = np.empty(0, np.int64) if fixed is None else fixed
     n, known = len(labels), labels >= 0
     toxic = int((labels == 1).sum())
     prior = (toxic + 0.5) / (known.sum() + 1)
@@ -192,21 +228,25 @@ def train(candidates: np.ndarray, telling: np.ndarray, hits: list[np.ndarray], f
     lexical = place < len(candidates)
     by_stem = np.argsort(place[lexical], kind="stable")
     texts = np.split(own[lexical][by_stem], np.cumsum(np.bincount(place[lexical], minlength=len(candidates)))[:-1]) if len(candidates) else []
-    voters = _covering(np.arange(len(candidates)), texts, labels)
+    sets = [np.concatenate([texts[p] for p in np.flatnonzero(fixed == v)]) for v in np.unique(fixed)]
+    sets = [t for t in sets if len(t)]
+    voters = len(fixed) + _covering(np.arange(len(candidates) - len(fixed)), texts[len(fixed) :], labels)
+    sets += [texts[v] for v in voters]
 
-    if not len(voters):
+    if not sets:
         return even
+    voters = np.arange(len(sets))
     votes = np.zeros((n, len(voters) + _PATTERNS + 2), bool)
-    for i, v in enumerate(voters):
-        votes[texts[v], i] = True
+    for i, t in enumerate(sets):
+        votes[t, i] = True
     fired = votes[:, : len(voters)].sum(axis=1)
     votes[:, len(voters) : -2] = forms
     votes[:, -2], votes[:, -1] = fired >= 2, fired == 0
     model, target = label_model(votes, guess(fired))
     apart = target[labels == 1].mean() - target[labels == 0].mean()
-    if abs(apart) < _APART:
-        return even
-    if apart < 0:  # labels say which class is which
+    if abs(apart) < _APART:  # the voters agree on something else than toxicity: the labels themselves are the target
+        model, target = None, np.where(known, labels == 1, prior).astype(float)
+    elif apart < 0:  # labels say which class is which
         model.prior, model.rates, target = 1 - model.prior, model.rates[::-1], 1 - target
 
     row, col = own[~lexical], place[~lexical] - len(candidates)
@@ -234,7 +274,7 @@ def _featurize(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in _slices(it):
         texts = b.column("text").to_pylist()
         yield pa.RecordBatch.from_arrays(
-            [b.column("label"), pa.array([stems(t).tobytes() for t in texts], pa.binary()), pa.array([patterns(t).tobytes() for t in texts], pa.binary())], ["label", "stems", "forms"]
+            [b.column("label"), pa.array([signs(t).tobytes() for t in texts], pa.binary()), pa.array([patterns(t).tobytes() for t in texts], pa.binary())], ["label", "stems", "forms"]
         )
 
 
@@ -262,14 +302,14 @@ def _chosen(counts: pa.Table | None) -> tuple[np.ndarray, np.ndarray]:
     return choose(stem.filter(pa.array(~whole)).to_numpy().view(np.uint64), total[~whole], toxic[~whole], n, bad) if 0 < bad < n else (none, none)
 
 
-def _trainer(candidates: np.ndarray, telling: np.ndarray):
+def _trainer(candidates: np.ndarray, telling: np.ndarray, fixed: np.ndarray):
     def made(found: pa.Table | None) -> Model:
         if found is None:
-            return train(candidates, telling, [], np.empty((0, _PATTERNS), bool), np.empty(0, np.int64))[0]
+            return train(candidates, telling, [], np.empty((0, _PATTERNS), bool), np.empty(0, np.int64), fixed)[0]
         label = found.column("label").fill_null(-1).to_pylist()
         rows = sorted(zip(label, found.column("hits").to_pylist(), found.column("forms").to_pylist(), strict=True))  # as arrival order varies
         forms = np.array([np.frombuffer(f, bool) for _, _, f in rows])
-        return train(candidates, telling, [np.frombuffer(h, np.int32) for _, h, _ in rows], forms, np.array([y for y, _, _ in rows], np.int64))[0]
+        return train(candidates, telling, [np.frombuffer(h, np.int32) for _, h, _ in rows], forms, np.array([y for y, _, _ in rows], np.int64), fixed)[0]
 
     return made
 
@@ -292,7 +332,7 @@ def _finder(candidates: np.ndarray, telling: np.ndarray):
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn, most: int = SAMPLE, unlabelled: int = UNLABELLED) -> Model:
-    """Learn from at most ``most`` labelled and ``unlabelled`` other documents; without both labels among them, or voters that tell them apart, scores are the prior.
+    """Learn from at most ``most`` labelled and ``unlabelled`` other documents; without both labels among them, or any voter that fires, scores are the prior.
 
     Null texts, ids and labels aren't learned from, a document labelled or present twice counts once, and columns other than
     doc_id, text and the label are ignored. Empty tables give an even prior. Stems of very few texts don't leave the executors.
@@ -301,6 +341,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn, most: int = SAMPLE, unlabelle
     sample = scratch.keep(labelled_sample(docs, labels, "toxic", learn, most, unlabelled).mapInArrow(_featurize, "label int, stems binary, forms binary"), "sample")
     counts = sample.mapInArrow(_count, "stem long, n long, toxic long").groupBy("stem").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
     candidates, telling = fitted(counts.where(f"n >= {_RARE} or stem is null"), _chosen)
-    model = fitted(sample.mapInArrow(_finder(candidates, telling), "label int, hits binary, forms binary"), _trainer(candidates, telling))
+    known, fixed = insults()
+    # whatever votes is a feature too
+    candidates, telling = np.concatenate([known, candidates]), np.unique(np.concatenate([known, candidates[:VOTERS], telling]))
+    model = fitted(sample.mapInArrow(_finder(candidates, telling), "label int, hits binary, forms binary"), _trainer(candidates, telling, fixed))
     scratch.drop("sample")
     return model

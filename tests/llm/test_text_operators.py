@@ -341,6 +341,39 @@ def test_classifiers_held_out(spark, model, label, modulus, out, least):
     assert 0 <= score(odd, none).first()["score"] <= 1
 
 
+@pytest.mark.parametrize(("sf", "recall", "precision", "scores"), [("sf0.001", 0.5, 1.0, 10), ("sf0.01", 0.6, 1.0, 100), ("sf0.1", 0.92, 0.9, 1000)])
+def test_toxic_texts_held_out(spark, sf, recall, precision, scores):
+    d = f"/root/testdata/{sf}"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{d}/labels.parquet")
+    out = score(docs, toxicity.fit(docs, labels, remainder(4) != 2))
+    assert out.select(F.round("score", 6)).distinct().count() >= scores
+    rows = [(r["toxic"], r["score"] >= 0.3) for r in out.join(labels, "doc_id").where((remainder(4) == 2) & F.col("toxic").isNotNull()).collect()]
+    caught = sum(t and p for t, p in rows)
+    assert caught >= recall * sum(t for t, _ in rows) and caught >= precision * sum(p for _, p in rows)
+
+
+def test_insults_are_stems_of_their_words():
+    hashes, owner = toxicity.insults()
+    known = dict(zip(hashes.tolist(), owner.tolist(), strict=True))
+    for word, ending in (("idiot", ""), ("idiot", "en"), ("worthless", ""), ("worthless", "ness"), ("müll", ""), ("müll", "haufen")):
+        assert {known[h] for h in toxicity.stems(f"das {word}{ending} und").tolist() if h in known} == {toxicity.INSULTS.index(word)}
+    assert not set(toxicity.stems("ein worth und dumb-").tolist()) & (set(hashes.tolist()) - {h for h, o in known.items() if toxicity.INSULTS[o] == "dumb"})
+
+
+def test_signs_tell_repeated_stems():
+    assert set(toxicity.stems("ab abcdef").tolist()) == set(toxicity.signs("ab abcdef").tolist())
+    once, twice = set(toxicity.signs("abcdx abcdy ab").tolist()), set(toxicity.signs("abcdx abcdy ab abcdx").tolist())
+    assert len(once) == len(toxicity.stems("abcdx abcdy ab")) + 1 and len(twice - once) == 1
+
+
+def test_voters_that_agree_on_something_else_give_way_to_the_labels():
+    rng = np.random.default_rng(6)
+    n, y, other = 2000, np.arange(2000) % 2, rng.random(2000) < 0.3
+    hits = [np.flatnonzero(np.append(rng.random(4) < (0.7 if o else 0.01), [t == 1])) for t, o in zip(y, other, strict=True)]
+    model, label_model, target = toxicity.train(np.arange(4, dtype=np.uint64), np.arange(10, 11, dtype=np.uint64), hits, np.zeros((n, 4), bool), y.astype(np.int64))
+    assert label_model is None and (target == y).all() and model.weights[0] > 0
+
+
 def test_label_model_finds_planted_voters():
     """Accuracies, correlations and posteriors of planted voters, without labels; the posterior against Bayes' rule over the true rates."""
     rng = np.random.default_rng(3)
