@@ -14,8 +14,10 @@ from ..functions.numbers import ratio
 from .papers import first_failure
 
 
-def route(chars: Column, graphics: Column, minimum: int = 64, ceiling: int = 400) -> Column:
-    """Native text, unless a page has too little of it, or graphics and not much."""
+def route(chars: Column, graphics: Column, minimum: int = 80, ceiling: int = 256) -> Column:
+    """Native text, unless a page has too little of it, or graphics and not much; ValueError for a ceiling below the minimum."""
+    if not 1 <= minimum <= ceiling:
+        raise ValueError("the ceiling must not be below the minimum, which is 1 at least")
     return F.when((chars < minimum) | (graphics & (chars < ceiling)), "visual").otherwise("native")
 
 

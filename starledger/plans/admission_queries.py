@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers, text
 from ..functions.hashing import has_duplicates, sorted_set
-from ..operators import admission, documents, fusion
+from ..operators import admission, documents, fusion, match
 from ..operators.admission import Field
 from ..scratch import new_path, table
 from ..sources import catalogs
@@ -113,11 +113,24 @@ def tap_votable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogs.read_votable(spark, path, _TAP)
 
 
-@query("SELECT * FROM (VALUES ('char', 'string'), ('varchar(20)', 'string'), ('BIGINT', 'integer'), ('short', 'integer'), ('double', 'number'), ('decimal(18,2)', 'number'), ('blob', NULL)) t(token, category)")
+#: Columns whose types are told apart; their services' type names are those of the tables.
+_TYPED = {"part": ["p_partkey", "p_name", "p_size", "p_retailprice"], "events": ["event_id", "ts", "value", "props"], "embeddings": ["vec_id", "embedding", "label"]}
+_CATEGORY = "CASE WHEN t IN ('VARCHAR', 'TIMESTAMP', 'DATE') THEN 'string' WHEN t IN ('BIGINT', 'INTEGER', 'SMALLINT') THEN 'integer' WHEN t IN ('DOUBLE', 'FLOAT') OR t LIKE 'DECIMAL%' THEN 'number' END"
+
+
+@query("SELECT field, " + _CATEGORY + " AS category, n FROM (" + " UNION ALL ".join(
+    f"SELECT '{name}.{c}' AS field, max(CASE WHEN typeof({c}) LIKE 'TIMESTAMP%' THEN 'TIMESTAMP' ELSE typeof({c}) END) AS t, count({c}) AS n FROM {name}" for name, columns in _TYPED.items() for c in columns
+) + ")")
 def type_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S14"""
-    tokens = ["char", "varchar(20)", "BIGINT", "short", "double", "decimal(18,2)", "blob"]
-    return spark.createDataFrame([(t, catalogs.type_category(t)) for t in tokens], "token string, category string")
+    """Columns of three tables by the category of their type, with their values counted; a list has none"""
+    out = None
+    for name, columns in _TYPED.items():
+        t = table(spark, sf_dir, name)
+        kinds = {f.name: catalogs.type_category(f.dataType.simpleString().replace("timestamp_ntz", "timestamp")) for f in t.schema}
+        counts = t.agg(*[F.count(c).alias(c) for c in columns])
+        rows = counts.select(F.explode(F.array(*[F.struct(F.lit(f"{name}.{c}").alias("field"), F.lit(kinds[c]).cast("string").alias("category"), F.col(c).alias("n")) for c in columns])).alias("r")).select("r.*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query("SELECT unnest(['missing n_code', 'n_nationkey is integer, not string', 'unexpected n_regionkey']) AS finding")
@@ -190,6 +203,26 @@ def admitted_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admission.admitted(table(spark, sf_dir, "customer"), "customers", admission.projection(["c_name", "c_acctbal", "c_mktsegment"], manifest))
 
 
+@query("SELECT case_id, CASE WHEN n > most THEN 'CROSSMATCH_CAPACITY_EXCEEDED' ELSE 'accepted' END AS outcome, CASE WHEN n <= most THEN n END AS pairs FROM (SELECT count(*) AS n FROM supplier), (VALUES ('tight', 1), ('wide', 1000000000)) l(case_id, most)")
+def guarded_crossmatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A match that its capacity rejects before any pair is formed, and one that it lets through; each supplier meets itself by identifier"""
+    s = table(spark, sf_dir, "supplier")
+    none = F.lit(None)
+    c = s.select(
+        F.concat(F.lit("s"), "s_suppkey").alias("id"), F.lit("host_star").alias("level"), F.lit("a").alias("source"), F.lit(True).alias("complete"), F.col("s_suppkey").cast("string").alias("tic_id"),
+        none.cast("string").alias("gaia_id"), F.col("s_name").alias("name"), none.cast("double").alias("ra"), none.cast("double").alias("dec"),
+    )
+    out = None
+    for name, most in (("tight", 1), ("wide", 10**9)):
+        try:
+            found = match.catalog_crossmatch(c, c.withColumn("source", F.lit("b")), limits=(most, 10**18))["metrics"].select(F.lit("accepted").alias("outcome"), F.col("edges").alias("pairs"))
+        except match.CapacityExceeded as e:
+            found = spark.createDataFrame([(e.code, None)], "outcome string, pairs long")
+        one = found.select(F.lit(name).alias("case_id"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("""
     WITH a AS (SELECT count(*) AS n, count_if(c_custkey % 3 = 0) AS h, count_if(c_custkey % 3 = 1) AS p FROM customer), b AS (SELECT count(*) AS n, count_if(s_suppkey % 3 = 0) AS h, count_if(s_suppkey % 3 = 2) AS q FROM supplier), l(case_id, most_rows, most_pairs) AS (VALUES ('small', 500, 250000), ('tight', 1000000000, 1), ('wide', 1000000000, 1000000000000))
     SELECT case_id, a.n AS left_rows, b.n AS right_rows, CAST(a.h * b.h + a.p * b.q AS BIGINT) AS eligible_pairs, CASE WHEN greatest(a.n, b.n) > most_rows OR a.h * b.h + a.p * b.q > most_pairs THEN 'capacity_exceeded' ELSE 'accepted' END AS verdict FROM a, b, l

@@ -137,7 +137,7 @@ def chronological_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- documents ------------------------------------------------------------------------------------------
 
 
-@query("SELECT CASE WHEN n_chars < 64 OR (doc_id % 3 = 0 AND n_chars < 400) THEN 'visual' ELSE 'native' END AS route, count(*) AS n FROM documents GROUP BY 1")
+@query("SELECT CASE WHEN n_chars < 80 OR (doc_id % 3 = 0 AND n_chars < 256) THEN 'visual' ELSE 'native' END AS route, count(*) AS n FROM documents GROUP BY 1")
 def page_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G14"""
     return table(spark, sf_dir, "documents").groupBy(documents.route(F.col("n_chars"), F.col("doc_id") % 3 == 0).alias("route")).agg(F.count(F.lit(1)).alias("n"))

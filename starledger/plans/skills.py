@@ -77,6 +77,11 @@ def _model(rows: DataFrame, key: str, fields: list[str], label: str, folds: int
     return learning.cross_validate(rows, key, fields, label, folds, model)
 
 
+def _crossmatch(rows: DataFrame, other: DataFrame, most_rows: int, most_pairs: int) -> DataFrame:
+    match.within_capacity(rows, other, (most_rows, most_pairs))
+    return match.edges(rows, other)
+
+
 SKILLS: dict[str, Skill] = {
     "data_profile": Skill(lambda rows: profile.data_profile(rows)),
     "statistical_analysis": Skill(lambda rows, fields, alpha: _tests(rows, fields, alpha), {"fields": _FIELDS, "alpha": Parameter("number", False, 0.05, 1e-12, 1 - 1e-12)}),
@@ -84,7 +89,7 @@ SKILLS: dict[str, Skill] = {
     "clustering_analysis": Skill(_clusters, {"key": _KEY, "fields": _FIELDS, "algorithm": Parameter("string", False, "kmeans"), "k": Parameter("integer", False, 3, 2, 20), "eps": Parameter("number", False, 0.5, 1e-12, 20), "min_samples": Parameter("integer", False, 5, 2, 100)}),
     "anomaly_detection": Skill(_anomalies, {"key": _KEY, "fields": _FIELDS, "algorithm": Parameter("string", False, "isolation_forest"), "threshold": Parameter("number", False, 3.5, 0), "contamination": Parameter("number", False, 0.05, 1e-12, 0.25)}),
     "chart_visualization": Skill(lambda rows, x, y: profile.chart(rows, x, y), {"x": _KEY, "y": _KEY}),
-    "catalog_crossmatch": Skill(lambda rows, other: match.edges(rows, other)),
+    "catalog_crossmatch": Skill(_crossmatch, {"most_rows": Parameter("integer", False, 500, 1), "most_pairs": Parameter("integer", False, 250_000, 1)}),
     "gaia_cone_search": Skill(lambda rows, ra, dec, radius, key: catalogs.cone(rows, ra, dec, radius, key), {"ra": Parameter("number", low=0, high=360), "dec": Parameter("number", low=-90, high=90), "radius": Parameter("number", low=0, high=5), "key": _KEY}),
     "vizier_tap": Skill(lambda rows, ra, dec, radius, key: catalogs.cone(rows, ra, dec, radius, key), {"ra": Parameter("number", low=0, high=360), "dec": Parameter("number", low=-90, high=90), "radius": Parameter("number", low=0, high=5), "key": _KEY}),
     "simbad_lookup": Skill(lambda rows, column, name: catalogs.find_object(rows, column, name), {"column": _KEY, "name": _KEY}),

@@ -308,3 +308,27 @@ def test_capacity_at_its_limit(spark):
     verdict = lambda rows, pairs: admission.capacity(a, b, "kind", [("h", "h"), ("p", "q")], rows, pairs).first()
     assert verdict(3, 4)["verdict"] == "accepted" and verdict(3, 4)["eligible_pairs"] == 4
     assert verdict(2, 4)["verdict"] == verdict(3, 3)["verdict"] == "capacity_exceeded"
+
+
+def test_routing_thresholds(spark):
+    from starledger.operators.documents import route
+
+    rows = [(79, False), (80, False), (80, True), (255, True), (256, True), (255, False)]
+    got = spark.createDataFrame(rows, "chars int, graphics boolean").select(route(F.col("chars"), F.col("graphics")).alias("r")).collect()
+    assert [r["r"] for r in got] == ["visual", "native", "visual", "visual", "native", "native"]
+    with pytest.raises(ValueError):
+        route(F.col("chars"), F.col("graphics"), 100, 99)
+
+
+def test_crossmatch_rejects_what_exceeds_its_capacity(spark):
+
+    kind = "id string, level string, source string, complete boolean, tic_id string, gaia_id string, name string, ra double, dec double"
+    c = spark.createDataFrame([(f"s{i}", "host_star", "a", True, str(i), None, None, None, None) for i in range(3)], kind)
+    other = c.withColumn("source", F.lit("b"))
+    assert match.catalog_crossmatch(c, other, limits=(3, 9))["edges"].count() == 3
+    for limits in ((2, 9), (3, 8)):
+        with pytest.raises(match.CapacityExceeded, match="CROSSMATCH_CAPACITY_EXCEEDED"):
+            match.catalog_crossmatch(c, other, limits=limits)
+    assert skills.run("catalog_crossmatch", c, right=other).count() == 3
+    with pytest.raises(match.CapacityExceeded):
+        skills.run("catalog_crossmatch", c, {"most_pairs": 8}, right=other)
