@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import learning
-from ..scratch import table
+from ..operators import learning, portable
+from ..scratch import new_path, table
 from .catalog import query
 
 _Z = """
@@ -139,3 +139,18 @@ def forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T19"""
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "value")
     return learning.forecast(e, "user_id", "event_id", "value")
+
+
+@query("""
+    WITH o AS (SELECT l_partkey, avg(l_quantity) AS x, avg(l_discount) AS d, avg(l_extendedprice) AS y FROM lineitem GROUP BY l_partkey),
+    c AS (SELECT avg(x) AS mx, avg(d) AS md, avg(y) AS my, covar_pop(x, x) AS xx, covar_pop(x, d) AS xd, covar_pop(d, d) AS dd, covar_pop(x, y) AS xy, covar_pop(d, y) AS dy FROM o),
+    w AS (SELECT *, (xy * dd - dy * xd) / (xx * dd - xd * xd) AS a, (dy * xx - xy * xd) / (xx * dd - xd * xd) AS b FROM c)
+    SELECT l_partkey, round(my + a * (x - mx) + b * (d - md), 3) AS prediction FROM o, w
+""")
+def portable_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A linear model written as a table, loaded under its hash and applied"""
+    o = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.avg("l_quantity").alias("q"), F.avg("l_discount").alias("d"), F.avg("l_extendedprice").alias("price"))
+    path = new_path(spark, "portable")
+    card = portable.export(learning.fit(o, ["q", "d"], "price", "regression", "linear"), spark, ["q", "d"], "regression", path)
+    got = portable.infer(portable.load(spark, path, card.content_hash), o, "l_partkey", ["q", "d"])
+    return got.withColumn("prediction", F.round("prediction", 3))
