@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import eclipses
 from ..operators import celestial
 from ..scratch import table
 from .catalog import query
@@ -47,3 +49,37 @@ def celestial_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def first_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first hundred of all kinds, and whether there are more"""
     return celestial.earliest(_events(spark, sf_dir), ["t", "user_id", "event", "state"], 100)
+
+
+_ECLIPSES = """
+    k AS (SELECT c_custkey, 357000::DOUBLE + c_custkey % 50 * 1000 AS mx, (c_custkey % 37 - 18)::DOUBLE * 800 AS my, (c_custkey % 41 - 20)::DOUBLE * 700 AS mz, 149600000::DOUBLE AS sx, 695700::DOUBLE AS rs, 1737.4::DOUBLE AS rm, 6378.137::DOUBLE AS a, 6378.137::DOUBLE * (1 - 1 / 298.257223563::DOUBLE) AS b FROM customer),
+    n AS (SELECT *, sqrt((mx - sx) ** 2 + my ** 2 + mz ** 2) AS dist FROM k),
+    x AS (SELECT *, (mx - sx) / dist AS ax, my / dist AS ay, mz / dist AS az, (rs + rm) / dist AS wide, (rm - rs) / dist AS narrow, dist * rm / (rs - rm) AS apex FROM n),
+    c AS (SELECT *, (mx * mx + my * my) / (a * a) + mz * mz / (b * b) - 1 AS q0, (mx * ax + my * ay) / (a * a) + mz * az / (b * b) AS q1, (ax * ax + ay * ay) / (a * a) + az * az / (b * b) AS q2 FROM x),
+    t AS (SELECT *, CASE WHEN q1 * q1 >= q2 * q0 THEN (-q1 - sqrt(greatest(q1 * q1 - q2 * q0, 0))) / q2 END AS t FROM c),
+    r AS (
+        SELECT c_custkey, a, b, rm, wide, narrow, apex, mx + rm * ux AS ox, my + rm * uy AS oy, mz + rm * uz AS oz, ax + wide * ux AS px, ay + wide * uy AS py, az + wide * uz AS pz, ax + narrow * ux AS nx, ay + narrow * uy AS ny, az + narrow * uz AS nz FROM (
+            SELECT *, ay / f * cos(g) + az * ax / f * sin(g) AS ux, -ax / f * cos(g) + az * ay / f * sin(g) AS uy, (-ax * ax / f - ay * ay / f) * sin(g) AS uz FROM (SELECT *, sqrt(ax * ax + ay * ay) AS f, i * (2 * pi() / 72) AS g FROM x, (SELECT unnest(range(72)) AS i)))
+    ), q AS (
+        SELECT *, (ox * ox + oy * oy) / (a * a) + oz * oz / (b * b) - 1 AS q0, (ox * px + oy * py) / (a * a) + oz * pz / (b * b) AS p1, (px * px + py * py) / (a * a) + pz * pz / (b * b) AS p2, (ox * nx + oy * ny) / (a * a) + oz * nz / (b * b) AS n1, (nx * nx + ny * ny) / (a * a) + nz * nz / (b * b) AS n2 FROM r
+    ), e AS (
+        SELECT c_custkey, count_if(p1 * p1 >= p2 * q0) AS penumbra_points, count_if(n1 * n1 >= n2 * q0 AND (-n1 - sqrt(greatest(n1 * n1 - n2 * q0, 0))) / n2 <= apex AND rm + narrow * (-n1 - sqrt(greatest(n1 * n1 - n2 * q0, 0))) / n2 > 0.000001) AS umbra_points FROM q GROUP BY 1
+    ), o AS (
+        SELECT c_custkey, t, rm + wide * t AS penumbra, rm + narrow * t AS umbra, mx + ax * t AS x, my + ay * t AS y, mz + az * t AS z, a, b, ((mx + ax * apex) ** 2 + (my + ay * apex) ** 2) / (a * a) + (mz + az * apex) ** 2 / (b * b) < 1 AS inside FROM t
+    )
+"""
+
+
+@query(f"""
+    WITH {_ECLIPSES} SELECT c_custkey, CASE WHEN t IS NULL THEN CASE WHEN penumbra_points > 0 THEN 'partial' ELSE 'none' END WHEN inside THEN 'hybrid' WHEN umbra > 0.000001 THEN 'total' ELSE 'annular' END AS kind,
+        round(degrees(atan2(z, sqrt(x * x + y * y) * (b / a) ** 2)), 6) AS latitude, round(degrees(atan2(y, x)), 6) AS longitude, round(penumbra, 4) AS penumbra, round(umbra, 4) AS umbra, CAST(penumbra_points AS INTEGER) AS penumbra_points, CAST(umbra_points AS INTEGER) AS umbra_points
+    FROM o JOIN e USING (c_custkey)
+""")
+def eclipse_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as positions of the Moon: every kind of eclipse occurs"""
+    k = F.col("c_custkey")
+    where = table(spark, sf_dir, "customer").select(
+        k, eclipses.vector(F.lit(149_600_000.0), F.lit(0.0), F.lit(0.0)).alias("sun"), eclipses.vector(k % 50 * 1000 + 357_000.0, (k % 37 - 18) * 800.0, (k % 41 - 20) * 700.0).alias("moon"),
+    )
+    got = eclipses.eclipses(where)
+    return got.select(k, "kind", *[F.round(c, 6).alias(c) for c in ("latitude", "longitude")], *[F.round(c, 4).alias(c) for c in ("penumbra", "umbra")], F.size("penumbra_edge").alias("penumbra_points"), F.size("umbra_edge").alias("umbra_points"))

@@ -56,3 +56,44 @@ def test_merged_sorted_and_cut(spark):
     assert [(r["t"], r["event"], r["truncated"]) for r in few] == [(0.5, "again", True), (0.5, "rise_set", True), (1.5, "again", True)]
     assert not any(r["truncated"] for r in C.earliest(every, ["t", "event"], 22).collect())
     assert C.earliest(every.where(F.lit(False)), ["t"], 3).count() == 0
+
+
+def positions(spark, rows):
+    from starledger.functions import eclipses
+
+    df = spark.createDataFrame(rows, "name string, s array<double>, m array<double>")
+    at = lambda c: eclipses.vector(*[F.get(c, F.lit(i)) for i in range(3)])
+    return eclipses.eclipses(df.select("name", at("s").alias("sun"), at("m").alias("moon")))
+
+
+def test_kinds_of_eclipses(spark):
+    sun = [149_600_000.0, 0.0, 0.0]
+    rows = [("total", sun, [360_000.0, 0.0, 0.0]), ("annular", sun, [400_000.0, 0.0, 0.0]), ("hybrid", sun, [374_000.0, 0.0, 0.0]), ("partial", sun, [360_000.0, 8000.0, 0.0]), ("none", sun, [360_000.0, 12_000.0, 0.0]), ("away", sun, [-360_000.0, 0.0, 0.0]), (None, None, None)]
+    got = {r["name"]: r for r in positions(spark, rows).collect()}
+    assert {n: r["kind"] for n, r in got.items()} == {"total": "total", "annular": "annular", "hybrid": "hybrid", "partial": "partial", "none": "none", "away": "none", None: None}
+    t = got["total"]
+    distance, apart = 360_000 - 6378.137, 149_600_000 - 360_000
+    assert t["umbra"] == pytest.approx(1737.4 - (695_700 - 1737.4) / apart * distance) and t["penumbra"] == pytest.approx(1737.4 + (695_700 + 1737.4) / apart * distance)
+    assert (t["latitude"], t["longitude"]) == (0, 0) and got["annular"]["umbra"] < 0 and got["partial"]["umbra"] is None
+    assert len(t["penumbra_edge"]) == len(t["umbra_edge"]) == 72 and 0 < len(got["partial"]["penumbra_edge"]) < 72 and not got["none"]["penumbra_edge"]
+    assert max(abs(p["latitude"]) for p in t["umbra_edge"]) == pytest.approx(math.degrees(t["umbra"] / 6378.137), rel=0.02)
+    # every point of the edge lies on the cone
+    for p in got["partial"]["penumbra_edge"]:
+        lat, lon, e2 = math.radians(p["latitude"]), math.radians(p["longitude"]), 1 - (6356.752314 / 6378.137) ** 2
+        n = 6378.137 / math.sqrt(1 - e2 * math.sin(lat) ** 2)
+        x, y, z = n * math.cos(lat) * math.cos(lon), n * math.cos(lat) * math.sin(lon), n * (1 - e2) * math.sin(lat)
+        axis = [360_000 - sun[0], 8000.0, 0.0]
+        length = math.hypot(*axis)
+        axis = [v / length for v in axis]
+        rel = [x - 360_000, y - 8000, z]
+        along = sum(a * b for a, b in zip(axis, rel, strict=True))
+        off = math.sqrt(sum(v * v for v in rel) - along * along)
+        assert off == pytest.approx(p["radius"], rel=1e-4)
+
+
+def test_every_kind_occurs(spark):
+
+    from starledger.plans.queries import QUERIES
+
+    kinds = {r["kind"] for r in QUERIES["eclipse_kinds"](spark, "/root/testdata/sf0.01").select("kind").distinct().collect()}
+    assert kinds == {"none", "partial", "annular", "total", "hybrid"}
