@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers
-from ..operators import anchors, benchmarks, match
-from ..scratch import Scratch, table
+from ..operators import anchors, benchmarks, bundles, match
+from ..scratch import Scratch, new_path, table
 from . import match_queries
 from .catalog import query
 
@@ -209,3 +209,21 @@ def graph_benchmark_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def graph_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every rate with its own numerator, denominator and scope"""
     return benchmarks.graph_rates(_graph_results(spark, sf_dir)).withColumn("rate", F.round("rate", 6))
+
+
+@query("""
+    SELECT 'customer' AS part, 'changed_cell' AS problem, '=[' || c_custkey || ']' AS key, 'c_acctbal' AS "column" FROM customer WHERE c_custkey % 50 = 5
+    UNION ALL SELECT 'customer', 'changed_cell', '=[' || c_custkey || ']', 'c_name' FROM customer WHERE c_custkey % 200 = 5
+    UNION ALL SELECT 'orders', 'missing_row', '=[' || o_orderkey || ']', NULL FROM orders WHERE o_orderkey % 300 = 7
+    UNION ALL SELECT 'supplier', 'extra_row', '=[' || (s_suppkey + 1000000) || ']', NULL FROM supplier WHERE s_suppkey % 9 = 1
+""")
+def bundle_readmission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three tables sealed as a bundle, and what differs in altered copies of them"""
+    customers, orders, suppliers = (table(spark, sf_dir, n) for n in ("customer", "orders", "supplier"))
+    path = new_path(spark, "bundle")
+    root = bundles.build(spark, [bundles.Part("customer", customers, ("c_custkey",)), bundles.Part("orders", orders, ("o_orderkey",)), bundles.Part("supplier", suppliers, ("s_suppkey",))], path)
+    k = F.col("c_custkey")
+    changed = customers.withColumn("c_acctbal", F.when(k % 50 == 5, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal")))
+    changed = changed.withColumn("c_name", F.when(k % 200 == 5, F.concat("c_name", F.lit("?"))).otherwise(F.col("c_name")))
+    more = suppliers.unionByName(suppliers.where("s_suppkey % 9 = 1").withColumn("s_suppkey", F.col("s_suppkey") + 1_000_000))
+    return bundles.readmit(spark, [bundles.Part("customer", changed, ("c_custkey",)), bundles.Part("orders", orders.where("o_orderkey % 300 != 7"), ("o_orderkey",)), bundles.Part("supplier", more, ("s_suppkey",))], path, root)
