@@ -86,7 +86,11 @@ def layout_of(paths) -> Layout | None:
 
 
 def table_turns(df: DataFrame, id_column: str, order: str = "turn") -> DataFrame:
-    """Canonical turns (id, turn, role, text) of a table of one layout; ValueError if its fingerprint is unknown."""
+    """Canonical turns (id, turn, role, text) of a table of one layout; ValueError if its fingerprint is unknown.
+
+    Rows that are turns already keep their roles; lists of turns get canonical ones. Null roles and texts are empty, an empty table gives no
+    turns, other columns are left out.
+    """
     layout = layout_of(schema_paths(df.schema))
     if layout is None:
         raise ValueError(f"no mapping for the fields {sorted(set(schema_paths(df.schema)) & _KNOWN)}")
@@ -100,7 +104,7 @@ def table_turns(df: DataFrame, id_column: str, order: str = "turn") -> DataFrame
         made = [F.struct(F.lit(r).alias("role"), F.array_join(F.filter(F.array(*[text(p) for p in paths]), lambda x: x != ""), "\n\n").alias("text")) for r, paths in layout.fixed]
         turns = df.select(i, F.posexplode(F.array(*made)).alias("turn", "t")).where("t.role != 'system' or t.text != ''")
         return turns.select("id", F.col("turn").cast("long"), "t.role", "t.text")
-    return df.select(i, F.col(order).cast("long").alias("turn"), role(layout.role).alias("role"), text(layout.text).alias("text"))
+    return df.select(i, F.col(order).cast("long").alias("turn"), text(layout.role).alias("role"), text(layout.text).alias("text"))
 
 
 _TURNS = pa.schema([("id", pa.int64()), ("layout", pa.string()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())])
@@ -124,7 +128,7 @@ def record_turns_of(record: str | None) -> tuple[str | None, list[tuple[str, str
     if layout.fixed:
         turns = [(r, "\n\n".join(x for p in paths if (x := _plain(value.get(p))))) for r, paths in layout.fixed]
         return layout.name, [t for t in turns if t[0] != "system" or t[1]]
-    return layout.name, [(ROLES.get(_plain(value.get(layout.role)), _plain(value.get(layout.role))), _plain(value.get(layout.text)))]
+    return layout.name, [(_plain(value.get(layout.role)), _plain(value.get(layout.text)))]
 
 
 def record_turns(df: DataFrame, id_column: str, record: str) -> DataFrame:
@@ -184,7 +188,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
 
     A conversation's text is its rows' ``formatted`` in turn; spans count code points of their row. Conversations
     are streamed, so one with very many turns fits too. Turns are ordered by turn, role and text, so repeated
-    rows stay; a null id is a conversation of its own.
+    rows stay; a null id is a conversation of its own. An empty table gives no rows; a text of any length is one value.
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +229,7 @@ _READ = pa.schema([("id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256",
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests of roles, texts and masked texts read from the rows of ``format_turns``, one row for each conversation."""
+    """Digests of roles, texts and masked texts read from the rows of ``format_turns``, one row for each conversation; none of an empty table."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: _Digest | None = None

@@ -9,11 +9,12 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from starledger.llm import chat, ngram_jaccard, packing, sentencepieces, sharding, warc
 from starledger.llm.ngram_jaccard import jaccard_join, near_duplicates
-from starledger.llm.queries import QUERIES
+from starledger.llm.queries import QUERIES, SHARDS
 from starledger.llm.scoring import score
 from starledger.llm import quality, toxicity
 from starledger.llm.folds import remainder
@@ -187,6 +188,44 @@ def test_sharding(spark):
     assert sharding.place(rows.limit(0), "doc_id", names).count() == 0
 
 
+def brute_fill(shards, size):
+    """Whole preference lists; in turns each shard takes the first slot of its list that is free."""
+    prefer = [[(xxhash.xxh64(s, seed=1).intdigest() + j * (xxhash.xxh64(s, seed=2).intdigest() % (size - 1) + 1)) % size for j in range(size)] for s in shards]
+    owner = {}
+    while len(owner) < size:
+        for i, slots in enumerate(prefer):
+            if len(owner) < size:
+                owner[next(s for s in slots if s not in owner)] = i
+    return [owner[s] for s in range(size)]
+
+
+@pytest.mark.parametrize(("n", "size"), [(1, 2), (5, 101), (13, 499), (101, 101)])
+def test_fill_equals_brute_force(n, size):
+    assert sharding.fill(sharding.names(n), size) == brute_fill(sharding.names(n), size)
+
+
+def test_op2_places_every_document_by_the_slot_of_its_hash(spark):
+    size, n = sharding.SIZE, len({r["shard"] for r in sharding.lookup(spark, sharding.names(SHARDS)).collect()})
+    assert n == SHARDS
+    owner = sharding.fill(sharding.names(SHARDS), size)
+    got = {r["doc_id"]: (r["slot"], r["shard"]) for r in QUERIES["op2_sharding"](spark, SMALL).collect()}
+    ids = [r["doc_id"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id").collect()]
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    slots = {i: signed(xxhash.xxh64(str(i), seed=42).intdigest()) % size for i in ids}
+    assert got == {i: (s, owner[s]) for i, s in slots.items()}
+
+
+def test_op5_keeps_the_roles_of_rows(spark):
+    rows = spark.createDataFrame([(1, 0, "human", "a"), (1, 1, "gpt", "b"), (2, 0, None, None)], "conv_id long, turn long, role string, text string")
+    got = {r["id"]: r for r in chat.read_back(chat.format_turns(chat.table_turns(rows, "conv_id"))).collect()}
+    assert got[1]["turns_sha256"] == hashlib.sha256(b"human\na\ngpt\nb\n").hexdigest() and got[1]["loss_chars"] == 0
+    assert got[2]["turns_sha256"] == hashlib.sha256(b"\n\n").hexdigest()
+    assert chat.read_back(chat.format_turns(chat.table_turns(rows.limit(0), "conv_id"))).count() == 0
+    long = "ä</s>" * 300_000
+    one = chat.read_back(chat.format_turns(chat.table_turns(spark.createDataFrame([(1, 0, "assistant", long)], rows.schema), "conv_id"))).first()
+    assert one["loss_chars"] == len(long) and one["loss_sha256"] == hashlib.sha256(long.encode()).hexdigest()
+
+
 def test_sharding_writes_a_folder_each(spark, tmp_path):
     placed = sharding.place(spark.range(200).withColumnRenamed("id", "doc_id"), "doc_id", sharding.names(5), 1009)
     sharding.write(placed, str(tmp_path / "out"), 2)
