@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers
-from ..operators import data_quality, fusion
+from ..operators import contract_gate, data_quality, fusion
 from ..scratch import Scratch, table
 from .catalog import query
 
@@ -128,8 +128,15 @@ _OBSERVED = f"""{_SELECTED.replace("l_partkey % 31 <> 0 AS aligned FROM", "l_par
 """)
 def quality_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 32 metrics of the fused prices, with parts as match records, orders as edges and regions as sources"""
+    return _evaluated(spark, sf_dir, _observed_values(spark, sf_dir)).withColumn("value", F.col("value").cast("double"))
+
+
+def _observed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     order, line = F.expr("cell_id div 10"), F.col("cell_id") % 10
-    values = _cells(spark, sf_dir).withColumns({"in_snapshot": order % 97 != 0, "retained": order % 89 != 0, "unit": F.when(line == 5, "other").otherwise("usual"), "target_unit": F.lit("usual")})
+    return _cells(spark, sf_dir).withColumns({"in_snapshot": order % 97 != 0, "retained": order % 89 != 0, "unit": F.when(line == 5, "other").otherwise("usual"), "target_unit": F.lit("usual")})
+
+
+def _evaluated(spark: SparkSession, sf_dir: str, values: DataFrame) -> DataFrame:
     k = F.col("p_partkey")
     kind = F.when(k % 5 == 0, "unpaired").when(k % 5 == 1, "conflict_group").otherwise("paired")
     status = F.when(k % 5 == 1, "conflict").when(k % 3 != 0, "accepted").when(k % 5 == 0, "inconclusive").otherwise("review_required")
@@ -137,8 +144,45 @@ def quality_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = table(spark, sf_dir, "part").select(k.alias("row_id"), kind.alias("record_type"), status.alias("status"), band.alias("band"))
     edges = table(spark, sf_dir, "orders").select(F.when(F.col("o_orderpriority") == "5-LOW", "low").otherwise("high").alias("band"), (F.col("o_custkey") % 7 != 0).alias("with_evidence"))
     sources = table(spark, sf_dir, "region").select(F.lit(True).alias("complete"))
-    out = data_quality.evaluate(data_quality.observed_cells(values, _UNIT_FIELDS), records, edges, sources, _UNIT_FIELDS)
-    return out.withColumn("value", F.col("value").cast("double"))
+    return data_quality.evaluate(data_quality.observed_cells(values, _UNIT_FIELDS), records, edges, sources, _UNIT_FIELDS)
+
+
+#: A check of each metric: rates of what is wrong are to be 0, the others at least 0.9; then the conditions.
+_CHECKS = [
+    contract_gate.Check(f"{m}.limit", m, *(("equals", "0") if m.endswith(("rate", "flag", "missingness")) else ("gte", "0.9")), "insufficient" if m.endswith("flag") else "pass") for m in contract_gate.SCOPES
+] + [contract_gate.Check(f"candidate.{c}", condition=c) for c in contract_gate.CONDITIONS]
+_LIMITS = ", ".join(f"({i}, '{c.constraint_id}', '{c.metric_id}', '{c.operator}', {c.threshold}, '{c.not_applicable}')" for i, c in enumerate(_CHECKS) if c.metric_id)
+_CHECKED = f"""{_OBSERVED}, x AS (SELECT *, metric_id LIKE '%_flag' AND d = 0 OR metric_id = 'field_unit_consistency' AND target = 'discount' AS none FROM u),
+    b(place, constraint_id, metric_id, operator, threshold, other) AS (VALUES {_LIMITS}),
+    one AS (SELECT b.*, CASE WHEN none THEN other WHEN d = 0 THEN 'insufficient' WHEN CASE operator WHEN 'gte' THEN round_even(n / d, 6) >= threshold ELSE round_even(n / d, 6) = threshold END THEN 'pass' ELSE 'fail' END AS r FROM x JOIN b USING (metric_id)),
+    checks AS (
+        SELECT place, constraint_id, metric_id, NULL AS condition, count(*) AS targets, count_if(r = 'fail')::BIGINT AS failed, count_if(r = 'insufficient')::BIGINT AS insufficient FROM one GROUP BY place, constraint_id, metric_id
+        UNION ALL SELECT 32, 'candidate.unit_policy_canonical', NULL, 'unit_policy_canonical', 1, 0, 0
+        UNION ALL SELECT 33, 'candidate.requested_fields_exact', NULL, 'requested_fields_exact', 1, CASE WHEN count(*) > 0 THEN 0 ELSE 1 END, 0 FROM lineitem
+        UNION ALL SELECT 34, 'candidate.source_scope_allowed', NULL, 'source_scope_allowed', 1, max((r_name NOT IN ('AFRICA', 'AMERICA', 'ASIA'))::INT), 0 FROM region
+        UNION ALL SELECT 35, 'candidate.evidence_locator_present', NULL, 'evidence_locator_present', 1, 1 - max((l_orderkey % 89 <> 0)::INT), 0 FROM lineitem
+        UNION ALL SELECT 36, 'candidate.source_snapshot_present', NULL, 'source_snapshot_present', 1, 1 - max((l_orderkey % 97 <> 0)::INT), 0 FROM lineitem
+        UNION ALL SELECT 37, 'candidate.document_source_authorized', NULL, 'document_source_authorized', 1, max((l_returnflag = 'R')::INT), 0 FROM lineitem
+    ), results AS (SELECT *, CASE WHEN failed > 0 THEN 'fail' WHEN insufficient > 0 THEN 'insufficient' ELSE 'pass' END AS result FROM checks)"""
+
+
+def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = _observed_values(spark, sf_dir)
+    contract = contract_gate.Contract(tuple(FIELDS), ("AFRICA", "AMERICA", "ASIA"))
+    held = contract_gate.conditions(values, table(spark, sf_dir, "region").withColumnRenamed("r_name", "source_id"), contract)
+    return contract_gate.checked(_evaluated(spark, sf_dir, values), held, _CHECKS)
+
+
+@query(f"WITH {_CHECKED} SELECT place, constraint_id, metric_id, condition, targets, failed::BIGINT AS failed, insufficient::BIGINT AS insufficient, result FROM results")
+def contract_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 32 metrics and six conditions against a contract"""
+    return _checked(spark, sf_dir)
+
+
+@query(f"WITH {_CHECKED} SELECT count(*) AS checks, count_if(result = 'fail')::BIGINT AS failed, count_if(result = 'insufficient')::BIGINT AS insufficient, CASE WHEN count_if(result = 'fail') > 0 THEN 'fail' WHEN count_if(result = 'insufficient') > 0 THEN 'insufficient' ELSE 'pass' END AS result FROM results")
+def contract_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A29 A43"""
+    return contract_gate.verdict(_checked(spark, sf_dir))
 
 
 def _rules(spark: SparkSession) -> DataFrame:
