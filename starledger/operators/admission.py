@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import fusion
+
 RA, DEC = "ra", "dec"
 
 
@@ -79,6 +81,23 @@ def admitted(table: DataFrame, source: str, fields: list[Field]) -> DataFrame:
     return table.select(row.alias("row_id"), F.explode(F.array(*cells)).alias("c")).select("row_id", "c.*")
 
 
+def table_metrics(cells: DataFrame, status: str) -> DataFrame:
+    """The three metrics of an admitted table's cells, as rows of ``data_quality.evaluate`` for ``contract_gate.checked``.
+
+    Scope is complete if the source says so and there are rows; units are consistent by admission, counted where a value has one; every cell
+    has its locator as evidence. An incomplete answer leaves all three undetermined, a table without such cells its ratio empty.
+    """
+    if status not in ("complete", "empty", "truncated"):
+        raise ValueError(f"unknown status {status}")
+    long = lambda c: c.cast("long")
+    n = cells.agg(F.count(F.lit(1)).alias("cells"), F.count_if(F.col("value").isNotNull() & F.col("unit").isNotNull()).alias("units"), F.count_if(F.col("locator").isNotNull()).alias("located"))
+    whole = long(F.lit(status == "complete") & (F.col("cells") > 0))
+    each = {"source_scope_completeness": (whole, long(F.lit(1))), "dataset_unit_consistency": (F.col("units"), F.col("units")), "dataset_evidence_coverage": (F.col("located"), F.col("cells"))}
+    rows = n.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric_id"), a.alias("numerator"), b.alias("denominator")) for m, (a, b) in each.items()])))
+    out = rows.withColumn("r", fusion.metric(F.col("numerator"), F.col("denominator"), F.lit(False), F.lit(status != "complete")))
+    return out.select(F.lit("dataset").alias("scope"), F.lit("dataset").alias("target"), "metric_id", "numerator", "denominator", "r.status", "r.value")
+
+
 def capacity(left: DataFrame, right: DataFrame, kind: str, pairs: list[tuple[str, str]], most_rows: int, most_pairs: int) -> DataFrame:
     """One row (left_rows, right_rows, eligible_pairs, verdict) on a match's input; verdict is accepted or capacity_exceeded.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .data_quality import METRICS
@@ -76,6 +76,11 @@ def conditions(values: DataFrame, sources: DataFrame, contract: Contract) -> Dat
     return v.crossJoin(s).select(F.inline(F.array(*[F.struct(F.lit(k).alias("condition"), c.alias("holds")) for k, c in holds.items()])))
 
 
+def no_conditions(spark: SparkSession) -> DataFrame:
+    """What holds where only metrics are checked."""
+    return spark.createDataFrame([], "condition string, holds boolean")
+
+
 def checked(metrics: DataFrame, held: DataFrame, checks: list[Check]) -> DataFrame:
     """(place, constraint_id, metric_id, condition, targets, failed, insufficient, result), a row for each check in order.
 

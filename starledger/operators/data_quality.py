@@ -50,8 +50,6 @@ METRICS = {
     },
 }
 FLAGS = ("row_low_confidence_flag", "row_review_required_flag", "row_inconclusive_flag")
-#: Metrics that say how complete the sources are, so that incomplete ones don't make them undetermined.
-OF_SOURCES = ("source_scope_completeness", "validation_integrity")
 
 _COUNTS = ("applicable", "mapped", "missing", "unresolved", "provenance", "evidence", "unit_consistent", "unit_applicable", "conflict", "same_source", "cross_source")
 _RECORD = ("low_confidence", "with_confidence", "review_required", "adjudicable", "inconclusive", "unpaired")
@@ -110,7 +108,7 @@ def evaluate(cells: DataFrame, records: DataFrame, edges: DataFrame, sources: Da
 
     cells as ``observed_cells`` gives them, records as for ``record_flags`` (none for a plain source table), edges (band, with_evidence)
     and sources (complete). A flag without a record of its kind and the units of a field without units don't apply; with an incomplete source
-    only the metrics of sources are determined. An empty dataset has the dataset's metrics only, with empty denominators.
+    no metric is determined. An empty dataset has the dataset's metrics only, with empty denominators.
     """
     # kept, so that the cells are counted once for the three scopes
     counts = Scratch(cells.sparkSession, "quality").keep(cell_counts(cells), "counts")
@@ -135,6 +133,6 @@ def evaluate(cells: DataFrame, records: DataFrame, edges: DataFrame, sources: Da
     unitless = (F.col("metric_id") == "field_unit_consistency") & ~F.col("target").isin(*unit_fields)
     broken = F.when(F.col("numerator") > F.col("denominator"), F.raise_error(F.concat(F.lit("more counted than there is: "), F.col("metric_id"))).cast("long"))
     long = long.withColumn("numerator", F.coalesce(broken, F.col("numerator")))
-    out = long.withColumn("r", fusion.metric(F.col("numerator"), F.col("denominator"), flag | unitless, F.col("incomplete") & ~F.col("metric_id").isin(*OF_SOURCES)))
+    out = long.withColumn("r", fusion.metric(F.col("numerator"), F.col("denominator"), flag | unitless, F.col("incomplete")))
     none = F.col("r.status") == "not_applicable"
     return out.select("scope", "target", "metric_id", *[F.when(none, F.lit(0).cast("long")).otherwise(F.col(c)).alias(c) for c in ("numerator", "denominator")], "r.status", "r.value")

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import neighbours
+
 
 def latest(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     """The last row of each group. A maximum, so partial results meet and not a group's rows."""
@@ -135,13 +137,13 @@ def completion(paged: DataFrame, source: str, size: int, limit: int) -> DataFram
 def unstable_pages(df: DataFrame, page: str, index: str, keys: list[str]) -> DataFrame:
     """Rows whose key does not come after that of the row before on their page, or whose page starts before the last page's end.
 
-    Windows hold one page; page ends are one row a page.
+    Windows hold one page; page ends are one row a page, and neighbouring ends meet in blocks of pages.
     """
     key = F.struct(*keys)
     w = Window.partitionBy(page).orderBy(index)
     inside = df.withColumn("__last", F.lag(key).over(w)).where(F.col("__last").isNotNull() & (key <= F.col("__last"))).select(page, index, F.lit("within_page").alias("where"))
     ends = df.groupBy(page).agg(F.min_by(key, index).alias("first"), F.max_by(key, index).alias("last"), F.min(index).alias("at"))
-    across = ends.withColumn("__last", F.lag("last").over(Window.orderBy(page))).where("first <= __last").select(page, F.col("at").alias(index), F.lit("between_pages").alias("where"))
+    across = neighbours(ends, [], [page], {"__last": lambda w: F.lag("last").over(w)}, before=1).where("first <= __last").select(page, F.col("at").alias(index), F.lit("between_pages").alias("where"))
     return inside.unionByName(across)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers, text
 from ..functions.hashing import has_duplicates, sorted_set
-from ..operators import admission, documents, fusion, match
+from ..operators import admission, contract_gate, documents, fusion, match
 from ..operators.admission import Field
 from ..scratch import new_path, table
 from ..sources import catalogs
@@ -199,10 +199,31 @@ def table_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def admitted_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cells of a table in canonical units, with locators"""
+    return _admitted(spark, sf_dir)
+
+
+def _admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = [Field("c_name", "identity", nullable=False), Field("c_acctbal", "balance", unit="usd", canonical_unit="cent", factor="100"), Field("c_mktsegment", "segment")]
     return admission.admitted(table(spark, sf_dir, "customer"), "customers", admission.projection(["c_name", "c_acctbal", "c_mktsegment"], manifest))
 
 
+@query("""
+    WITH m(metric_id, n) AS (SELECT 'source_scope_completeness', 1 UNION ALL SELECT 'dataset_unit_consistency', count(c_acctbal) FROM customer UNION ALL SELECT 'dataset_evidence_coverage', 3 * count(*) FROM customer)
+    SELECT answer, metric_id, CASE answer WHEN 'complete' THEN 'determinate' ELSE 'insufficient_source' END AS status, (CASE WHEN answer = 'complete' OR metric_id <> 'source_scope_completeness' THEN n ELSE 0 END)::BIGINT AS numerator,
+        n::BIGINT AS denominator, CASE answer WHEN 'complete' THEN 'pass' ELSE 'insufficient' END AS result FROM m, (VALUES ('complete'), ('truncated')) a(answer)
+""")
+def admitted_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of the admitted table and their checks, for a complete answer and for a truncated one"""
+    limits = [contract_gate.Check(m, m, "gte", "1") for m in ("source_scope_completeness", "dataset_unit_consistency", "dataset_evidence_coverage")]
+    out = None
+    for answer in ("complete", "truncated"):
+        metrics = admission.table_metrics(_admitted(spark, sf_dir), answer)
+        checks = contract_gate.checked(metrics, contract_gate.no_conditions(spark), limits).select("metric_id", "result")
+        one = metrics.join(checks, "metric_id").select(F.lit(answer).alias("answer"), "metric_id", "status", "numerator", "denominator", "result")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("SELECT case_id, CASE WHEN n > most THEN 'CROSSMATCH_CAPACITY_EXCEEDED' ELSE 'accepted' END AS outcome, CASE WHEN n <= most THEN n END AS pairs FROM (SELECT count(*) AS n FROM supplier), (VALUES ('tight', 1), ('wide', 1000000000)) l(case_id, most)")
 def guarded_crossmatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A match that its capacity rejects before any pair is formed, and one that it lets through; each supplier meets itself by identifier"""

@@ -284,11 +284,21 @@ def test_quality_metrics_of_incomplete_and_empty_sources(spark):
     assert got["r", "row_low_confidence_flag"] == (1, 1, "determinate") and got["s", "row_low_confidence_flag"] == (0, 0, "not_applicable") and got["s", "row_inconclusive_flag"] == (0, 1, "determinate")
     assert got["dataset", "dataset_evidence_coverage"] == (1, 4, "determinate") and got["dataset", "object_match_coverage"] == (1, 2, "determinate")
     part = run(values, [True, False])
-    assert part["dataset", "source_scope_completeness"] == (1, 2, "determinate") and part["a", "field_completeness"] == (1, 2, "insufficient_source") and part["b", "field_unit_consistency"][2] == "not_applicable"
+    assert part["dataset", "source_scope_completeness"] == (1, 2, "insufficient_source") and part["dataset", "validation_integrity"] == (1, 1, "insufficient_source") and part["a", "field_completeness"] == (1, 2, "insufficient_source") and part["b", "field_unit_consistency"][2] == "not_applicable"
     empty = run([], [True])
     assert len(empty) == 14 and empty["dataset", "dataset_completeness"] == (0, 0, "empty_denominator")
 
 
+def test_metrics_of_an_admitted_table(spark):
+    cells = spark.createDataFrame([("a", "x", "1", "m", "s/a/x"), ("a", "y", None, "m", "s/a/y"), ("a", "z", "t", None, "s/a/z")], "row_id string, field_id string, value string, unit string, locator string")
+    run = lambda d, status: {r["metric_id"]: (r["numerator"], r["denominator"], r["status"]) for r in admission.table_metrics(d, status).collect()}
+    assert run(cells, "complete") == {"source_scope_completeness": (1, 1, "determinate"), "dataset_unit_consistency": (1, 1, "determinate"), "dataset_evidence_coverage": (3, 3, "determinate")}
+    assert {s for _, _, s in run(cells, "truncated").values()} == {s for _, _, s in run(cells.limit(0), "empty").values()} == {"insufficient_source"}
+    assert run(cells.limit(0), "complete") == {"source_scope_completeness": (0, 1, "determinate"), "dataset_unit_consistency": (0, 0, "empty_denominator"), "dataset_evidence_coverage": (0, 0, "empty_denominator")}
+    with pytest.raises(ValueError):
+        run(cells, "partial")
+
+
 def test_admission_of_tables(spark):
     manifest = [admission.Field("k", "id", nullable=False), admission.Field("v", "v", nullable=False), admission.Field("ra", "ra"), admission.Field("dec", "dec")]
     for bad in ([], ["v", "k"], ["k", "v", "v"], ["k", "w"], ["k", "ra"]):
