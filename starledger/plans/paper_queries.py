@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import papers
+from ..operators import papers, search_requests
 from ..scratch import Scratch, table
 from .catalog import query
 
@@ -299,3 +299,25 @@ def chunk_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     chunks = c.groupBy(F.col("conv_id").alias("chunk_id")).agg(F.collect_list("turn").alias("evidence"))
     return papers.uncovered(chunks, c.where("role = 'user'").select(F.col("conv_id").alias("chunk_id"), F.array("turn").alias("evidence")))
+
+
+@query("""
+    WITH r AS (
+        SELECT p_partkey, list_sort(list_distinct(list_filter([lower(trim(x)) FOR x IN string_split(p_name, ' ') || [upper(p_type), ' ']], lambda x: x <> ''))) AS k, CASE WHEN p_partkey % 3 = 0 THEN array_to_string(string_split(p_name, ' ') || [upper(p_type)], ' ') ELSE '  ' || p_brand || '  No ' END AS q,
+            CASE WHEN p_partkey % 4 > 0 THEN 1970 + p_size ELSE 1900 END AS a, CASE WHEN p_partkey % 5 > 0 THEN 2010 ELSE 2100 END AS b, CASE p_partkey % 7 WHEN 0 THEN [] WHEN 1 THEN ['crossref', 'other'] ELSE ['crossref'] END AS s, p_size AS size FROM part
+    ), v AS (
+        SELECT *, lower(trim(regexp_replace(q, '\\s+', ' ', 'g'))) AS n, CASE WHEN size > 40 THEN 'page_size' WHEN len(s) = 0 THEN 'sources_missing' WHEN len(s) = 2 THEN 'source_unsupported' WHEN a > b THEN 'years_reversed' END AS reason FROM r
+    ) SELECT p_partkey, reason, CASE WHEN reason IS NULL THEN array_to_string(k, '|') END AS keywords, CASE WHEN reason IS NULL THEN n END AS normal_query, CASE WHEN reason IS NULL THEN ceil(50 / size)::INT END AS max_pages,
+        CASE WHEN reason IS NULL THEN 'query.' || sha256(array_to_string(k, chr(31)) || chr(31) || n || chr(31) || a || chr(31) || b || chr(31) || 'crossref' || chr(31) || 50 || chr(31) || size)[1:24] END AS query_id FROM v
+""".replace("\\\\", "\\"))
+def search_requests_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as search requests, some of them refused"""
+    k = F.col("p_partkey")
+    words = F.split("p_name", " ")
+    requests = table(spark, sf_dir, "part").select(
+        "p_partkey", F.concat(words, F.array(F.upper("p_type"), F.lit(" "), F.lit(None).cast("string"))).alias("keywords"), F.when(k % 3 > 0, F.concat(F.lit("  "), "p_brand", F.lit("  No "))).alias("query"),
+        F.when(k % 4 > 0, F.col("p_size") + 1970).alias("year_from"), F.when(k % 5 > 0, F.lit(2010)).alias("year_to"),
+        F.when(k % 7 == 1, F.array(F.lit("other"), F.lit("crossref"), F.lit("other"))).when(k % 7 > 1, F.array(F.lit("crossref"))).alias("sources"), F.lit(50).alias("candidate_limit"),
+        F.when(F.col("p_size") > 40, F.col("p_size") + 100).otherwise(F.col("p_size")).alias("page_size"),
+    )
+    return search_requests.normalized(requests, ("crossref",)).select("p_partkey", "reason", F.array_join("normal_keywords", "|").alias("keywords"), "normal_query", "max_pages", "query_id")
