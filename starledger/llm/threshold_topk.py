@@ -17,7 +17,7 @@ from .vector_cells import best, ranked, search, usable
 _FIRST_DEPTH, _GROWTH = 16, 4
 
 
-def sorted_lists(x: np.ndarray, _model=None) -> tuple[np.ndarray, np.ndarray]:
+def sorted_lists(x: np.ndarray, _codes=None, _model=None) -> tuple[np.ndarray, np.ndarray]:
     """For each dimension the places in ascending order of value, and the values in that order."""
     order = np.argsort(x, axis=0, kind="stable").T.copy()
     return order, np.take_along_axis(x.T, order, axis=1)

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a pack, and of either side of a cell at most (on average).
 PACK, COLUMN, ROW = 2048, 32_768, 8_192
-#: Candidates of a cell where they are codes, a few bytes each.
-CODED_COLUMN = 262_144
+#: Components of a cell's candidates at most (on average): longer vectors get more cells.
+COLUMN_PARTS = 64 * COLUMN
 
 _ARROW = pa.schema([("cell", pa.int32()), ("dim", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary()), ("codes", pa.binary())])
 _SCHEMA = "cell int, dim int, ids binary, vectors binary, codes binary"
@@ -61,23 +61,23 @@ def _packer(cells: int, code: Code | None, sent):
                     made += 1
                     codes = code(v, sent.value) if code else None
                     yield pa.RecordBatch.from_pylist([{
-                        "cell": ((place ^ place >> 15) * 0x2C1B3C6D % (1 << 32) >> 8) % cells, "dim": dim, "ids": own.tobytes(), "vectors": v.tobytes() if codes is None else None, "codes": codes.tobytes() if codes is not None else None,
+                        "cell": ((place ^ place >> 15) * 0x2C1B3C6D % (1 << 32) >> 8) % cells, "dim": dim, "ids": own.tobytes(), "vectors": v.tobytes(), "codes": codes.tobytes() if codes is not None else None,
                     }], schema=_ARROW)
 
     return pack
 
 
-def _joined(t: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows by id, and their vectors or codes, of one dimension."""
+def _joined(t: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Rows by id, their vectors and, where they have some, their codes, of one dimension."""
     packs = [r for r in t.to_pylist() if r["dim"] == dim]
     if not packs:
-        return np.empty(0, _ROW), np.empty((0, dim))
+        return np.empty(0, _ROW), np.empty((0, dim)), None
     rows = [np.frombuffer(r["ids"], _ROW) for r in packs]
-    coded = packs[0]["codes"] is not None
-    x = np.concatenate([(np.frombuffer(r["codes"], np.uint8) if coded else np.frombuffer(r["vectors"])).reshape(len(i), -1) for r, i in zip(packs, rows, strict=True)])
+    x = np.concatenate([np.frombuffer(r["vectors"]).reshape(-1, dim) for r in packs])
+    codes = np.concatenate([np.frombuffer(r["codes"], np.uint8).reshape(len(i), -1) for r, i in zip(packs, rows, strict=True)]) if packs[0]["codes"] is not None else None
     rows = np.concatenate(rows)
     order = np.argsort(rows["id"], kind="stable")
-    return rows[order], x[order]
+    return rows[order], x[order], codes[order] if codes is not None else None
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -94,17 +94,19 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 def search(vectors: DataFrame, asked: str, most: int, score_type: str, prepare: Callable, find: Callable, code: Code | None = None, model=None) -> DataFrame:
     """(query_id, query_hash, times, vec_id, hash, score): candidates with the ``most`` best scores for every row that satisfies ``asked``, its own row among them.
 
-    ``vectors`` is what ``usable`` returns. ``prepare(rows' vectors or codes, model)`` makes what a cell's candidates need,
-    ``find(prepared, ids, vectors or codes, query, most, model)`` returns places and scores of a query's best. With ``code``, codes are sent
-    instead of vectors. Equal rows that ask are asked once, and ``times`` says how many they are; vectors meet only vectors of their length.
+    ``vectors`` is what ``usable`` returns. ``prepare(rows' vectors, codes, model)`` makes what a cell's candidates need,
+    ``find(prepared, ids, vectors, query, most, model)`` returns places and scores of a query's best. ``code(vectors, model)``, if given, makes
+    the bytes that are sent beside each vector. Equal rows that ask are asked once, and ``times`` says how many they are; vectors meet only
+    vectors of their length.
     """
     spark = vectors.sparkSession
     # the model has a fixed size
     sent = spark.sparkContext.broadcast(model)
     queries = vectors.where(asked).groupBy("vec_id", "hash").agg(F.min("embedding").alias("embedding"), F.count(F.lit(1)).alias("times"))
-    n, q = vectors.count(), queries.count()
+    n, parts = vectors.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()
+    q = queries.count()
     width = 2 * spark.sparkContext.defaultParallelism
-    columns = max(1, math.ceil(n / (COLUMN if code is None else CODED_COLUMN)), min(math.ceil(n / PACK), width))
+    columns = max(1, math.ceil(n / COLUMN), math.ceil(parts / COLUMN_PARTS), min(math.ceil(n / PACK), width))
     rows = max(1, math.ceil(q / ROW))
     left = vectors.mapInArrow(_packer(columns, code, sent), _SCHEMA).withColumnRenamed("cell", "g").withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
     right = queries.mapInArrow(_packer(rows, None, sent), _SCHEMA).withColumnRenamed("cell", "h").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
@@ -113,11 +115,11 @@ def search(vectors: DataFrame, asked: str, most: int, score_type: str, prepare:
     def meet(candidates: pa.Table, asked_here: pa.Table) -> pa.Table:
         parts = [[] for _ in out]
         for dim in sorted(set(asked_here.column("dim").to_pylist())):
-            ids, x = _joined(candidates, dim)
-            own, y = _joined(asked_here, dim)
+            ids, x, codes = _joined(candidates, dim)
+            own, y, _ = _joined(asked_here, dim)
             if not len(ids):
                 continue
-            ready = prepare(x, sent.value)
+            ready = prepare(x, codes, sent.value)
             for i, v in zip(own, y, strict=True):
                 places, scores = find(ready, ids["id"], x, v, most, sent.value)
                 for part, value in zip(parts, (*i.tolist(), ids["id"][places], ids["hash"][places], scores), strict=True):

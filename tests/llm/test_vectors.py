@@ -69,6 +69,32 @@ def test_nearest_ranks_ties_and_repeated_rows(spark):
     assert all([i for _, i in sorted(g)] == sorted(i for _, i in g) for (q, _), g in by_score.items() if q not in (40, 60))
 
 
+def unlike_their_sample(kind):
+    """Vectors that four bits a component tell apart badly, or whose products leave single precision."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(1200, 16))
+    if kind == "near copies":
+        x[:600] = x[0] + 1e-4 * rng.normal(size=(600, 16))
+    else:
+        x *= {"huge": 3e37, "tiny": 1e-38}[kind]
+    return [(i, [float(v) for v in row], 0.5, 1) for i, row in enumerate(x.astype(np.float32))]
+
+
+@pytest.mark.parametrize("kind", ["near copies", "huge", "tiny"])
+def test_nearest_misses_none_whatever_the_rows(spark, kind):
+    data = unlike_their_sample(kind)
+    got = sorted(tuple(r) for r in anisotropic.nearest(spark.createDataFrame(data, KIND).repartition(3), k=20).collect())
+    want = sorted(brute(data, 20, False, False))
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+    assert np.allclose([r[3] for r in got], [r[3] for r in want], rtol=1e-12, atol=0)
+
+
+def test_nearest_misses_none_when_the_sample_shows_nothing(spark):
+    data = repeated(rows(4, 900, 8))
+    got = anisotropic.nearest(spark.createDataFrame(data, KIND).repartition(3), k=5, sample=1, rerank=1).collect()
+    assert sorted((r["query_id"], r["rank"], round(r["score"], 9)) for r in got) == sorted((q, r, round(s, 9)) for q, r, _, s in brute(data, 5, False, False))
+
+
 def test_nearest_recall_on_the_embeddings(spark):
     d = "/root/testdata/sf0.1/embeddings.parquet"
     table = spark.read.parquet(d)
