@@ -6,6 +6,7 @@ import zipfile
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,10 +14,14 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.numbers import finite
 from ..operators.components import components
-from ..operators.series import robust_scale
+from ..operators.series import MAD_SCALE, robust_scale
+from ..operators.tiles import groups, links, packed, unpacked
 from ..scratch import Scratch
 from . import files
 
+#: Pixels of an image that one task sorts.
+WHOLE = 1 << 22
+
 
 def entries(z: zipfile.ZipFile, side: int) -> list[tuple[zipfile.ZipInfo, str]]:
     """(entry, label) of raw ``side`` x ``side`` RGB files in a folder for each label; ValueError for unsafe or repeated paths and other sizes."""
@@ -83,11 +88,36 @@ def balanced(images: DataFrame, least: int = 2, most_classes: int = 32, ratio: f
     return [k for k, ok in checks.items() if not ok]
 
 
-def background(pixels: DataFrame, image: str, rounds: int = 3, sigma: float = 3.0) -> DataFrame:
-    """(image, center, scale) of pixel values (x, y, v), clipped ``rounds`` times."""
-    rows = pixels.where(finite(F.col("v"))).select(image, "v")
+def background(pixels: DataFrame, image: str, rounds: int = 3, sigma: float = 3.0, whole: int = WHOLE) -> DataFrame:
+    """(image, center, scale) of pixel values (x, y, v), clipped ``rounds`` times.
+
+    The values of an image of up to ``whole`` pixels are clipped by one task, those of a larger one in ranges of many tasks.
+    """
+    rows = pixels.where(finite(F.col("v")) & F.col(image).isNotNull()).select(image, F.col("v").cast("double").alias("v"))
+    large = pixels.groupBy(image).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > whole).select(image)
+    kind = pixels.schema[image].dataType.simpleString()
+
+    def clip(t: pa.Table) -> pa.Table:
+        v = unpacked(t, "v")
+        for _ in range(rounds):
+            center = float(np.median(v))
+            scale = float(np.median(np.abs(v - center))) * MAD_SCALE
+            if scale > 0:
+                v = v[np.abs(v - center) <= sigma * scale]
+        return pa.table([t.column(image).slice(0, 1), pa.array([center]), pa.array([scale])], [image, "center", "scale"])
+
+    def clipped(some: DataFrame) -> DataFrame:
+        return packed(some, [image], ["v"]).groupBy(image).applyInArrow(clip, f"`{image}` {kind}, center double, scale double")
+
+    if large.isEmpty():
+        return clipped(rows)
+    large = Scratch(pixels.sparkSession, "background").keep(large, "large")
+    return clipped(rows.join(large, image, "left_anti")).unionByName(_spread_background(rows.join(large, image, "left_semi"), image, rounds, sigma))
+
+
+def _spread_background(rows: DataFrame, image: str, rounds: int, sigma: float) -> DataFrame:
     for i in range(rounds):
-        s = Scratch(pixels.sparkSession, f"background{i}")
+        s = Scratch(rows.sparkSession, f"background{i}")
         scale = s.keep(robust_scale(rows, [image], "v", s), "scale")
         rows = rows.join(scale, image).where((F.col("mad") == 0) | (F.abs(F.col("v") - F.col("center")) <= sigma * F.col("mad"))).select(image, "v")
     return scale.withColumnRenamed("mad", "scale")
