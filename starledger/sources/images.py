@@ -129,16 +129,53 @@ def centroid(pixels: DataFrame, image: str) -> DataFrame:
     return pixels.groupBy(image).agg(F.try_divide(F.sum(v * F.col("x")), F.sum(v)).alias("cx"), F.try_divide(F.sum(v * F.col("y")), F.sum(v)).alias("cy"), F.sum(v).alias("light"))
 
 
-def aperture(pixels: DataFrame, sources: DataFrame, image: str, radius: float, inner: float, outer: float) -> DataFrame:
-    """Light in a circle around each source (image, source, cx, cy) less the mean of a ring; sources meet pixels by cells as wide as the ring."""
-    w = float(outer)
-    p = pixels.select(image, "x", "y", "v", F.floor(F.col("x") / w).alias("gx"), F.floor(F.col("y") / w).alias("gy"))
-    s = sources
-    for g, c in (("gx", "cx"), ("gy", "cy")):
-        s = s.withColumn(g, F.explode(F.array(*[F.floor(F.col(c) / w) + d for d in (-1, 0, 1)])))
-    r = F.sqrt((F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2)
-    j = p.join(s, [image, "gx", "gy"]).withColumn("r", r)
-    g = j.groupBy(image, "source").agg(F.sum(F.when(F.col("r") <= radius, F.col("v"))).alias("total"), F.count_if(F.col("r") <= radius).alias("n"), F.avg(F.when(F.col("r").between(inner, outer), F.col("v"))).alias("ring"))
+def aperture(pixels: DataFrame, sources: DataFrame, image: str, radius: float, inner: float, outer: float, side: int = 128) -> DataFrame:
+    """Light in a circle around each source (image, source, cx, cy) less the mean of a ring.
+
+    Sources go to the tiles that they reach into; in a tile they meet pixels by cells as wide as the ring, and what tiles find is summed.
+    """
+    w = float(max(outer, radius))
+    kind, named = pixels.schema[image].dataType.simpleString(), sources.schema["source"].dataType.simpleString()
+    tile = lambda c: F.floor(c / side)
+    p = pixels.where(F.col(image).isNotNull()).select(image, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("v").cast("double").alias("v"), F.col("v").isNull().cast("double").alias("gap"))
+    p = packed(p.withColumn("tx", tile(F.col("x"))).withColumn("ty", tile(F.col("y"))).where("tx is not null and ty is not null"), [image, "tx", "ty"], ["x", "y", "v", "gap"])
+    s = sources.select(image, "source", F.col("cx").cast("double").alias("cx"), F.col("cy").cast("double").alias("cy"))
+    for t, c in (("tx", "cx"), ("ty", "cy")):
+        s = s.withColumn(t, F.explode(F.sequence(tile(F.col(c) - 2 * w), tile(F.col(c) + 2 * w))))
+
+    names = [image, "source", "total", "lit", "n", "ring", "rings"]
+
+    def light(src: pa.Table, pix: pa.Table) -> pa.Table:
+        cx, cy = src.column("cx").to_numpy(), src.column("cy").to_numpy()
+        x, y, v, gap = (unpacked(pix, c) for c in ("x", "y", "v", "gap"))
+        cell = lambda a, b: np.floor(b / w).astype(np.int64) * (1 << 32) + np.floor(a / w).astype(np.int64)
+        key = cell(x, y)
+        order = np.argsort(key, kind="stable")
+        key, x, y, v, known = key[order], x[order], y[order], v[order], gap[order] == 0
+        middle = cell(cx, cy)
+        rows = [middle + d * (1 << 32) for d in (-1, 0, 1)]
+        low = np.concatenate([np.searchsorted(key, r - 1) for r in rows])
+        many = np.concatenate([np.searchsorted(key, r + 1, "right") for r in rows]) - low
+        of = np.tile(np.arange(len(cx)), 3)
+        got, met = np.zeros((5, len(cx))), np.zeros(len(cx), bool)
+        cuts = np.flatnonzero(np.diff(np.cumsum(many) // (1 << 20), prepend=-1))  # about a million pairs at a time
+        for a, z in zip(cuts, [*cuts[1:], len(many)], strict=False):
+            n = many[a:z]
+            i = np.repeat(of[a:z], n)
+            at = np.arange(len(i)) + np.repeat(low[a:z] - np.cumsum(n) + n, n)
+            r = np.sqrt((x[at] - cx[i]) ** 2 + (y[at] - cy[i]) ** 2)
+            inside, ring = r <= radius, (r >= inner) & (r <= outer) & known[at]
+            sure = inside & known[at]
+            met[i] = True
+            got += [np.bincount(i[k], weights, len(cx)) for k, weights in ((sure, v[at[sure]]), (sure, None), (inside, None), (ring, v[at[ring]]), (ring, None))]
+        some = pa.array(np.flatnonzero(met))
+        total, lit, n, light_, rings = got[:, met]
+        columns = [src.column(image).take(some), src.column("source").take(some), pa.array(total), pa.array(lit.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(light_), pa.array(rings.astype(np.int64))]
+        return pa.table(columns, names)
+
+    part = s.groupBy(image, "tx", "ty").cogroup(p.groupBy(image, "tx", "ty")).applyInArrow(light, f"`{image}` {kind}, source {named}, total double, lit long, n long, ring double, rings long")
+    g = part.groupBy(image, "source").agg(*[F.sum(c).alias(c) for c in names[2:]])
+    g = g.withColumn("total", F.when(F.col("lit") > 0, F.col("total"))).withColumn("ring", F.try_divide(F.col("ring"), F.col("rings")))
     return g.select(image, "source", (F.col("total") - F.col("n") * F.coalesce("ring", F.lit(0.0))).alias("flux"), "n", "ring")
 
 

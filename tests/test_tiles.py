@@ -19,6 +19,21 @@ def test_large_images_have_the_same_level(spark):
     assert set(one) == {"a", "b", "c"} and one["c"] == (7.0, 0.0) and one == many
 
 
+def test_apertures_meet_pixels_without_a_broadcast(spark, capsys):
+    pixels = spark.createDataFrame([*rows(), ("a", 3, 4, None)], KIND)
+    where = [("a", "p", 1.2, 7.9), ("b", "q", 15.5, 16.0), ("a", "r", 33.9, 39.0), ("b", "far", 90.0, 90.0)]
+    got = images.aperture(pixels, spark.createDataFrame(where, "image string, source string, cx double, cy double"), "image", 3.0, 4.0, 5.0, side=16)
+    found = {r["source"]: r for r in got.collect()}
+    assert set(found) == {"p", "q", "r"}
+    for i, name, cx, cy in where[:3]:
+        near = [(((x - cx) ** 2 + (y - cy) ** 2) ** 0.5, v) for j, x, y, v in [*rows(), ("a", 3, 4, None)] if i == j]
+        ring = [v for r, v in near if 4 <= r <= 5 and v is not None]
+        inside = [v for r, v in near if r <= 3]
+        assert found[name]["n"] == len(inside) and abs(found[name]["flux"] - (sum(v or 0 for v in inside) - len(inside) * sum(ring) / len(ring))) < 1e-8
+    got.explain()
+    assert "Broadcast" not in capsys.readouterr().out
+
+
 def test_groups_of_places():
     r = np.random.default_rng(6)
     x, y = r.integers(-20, 20, 150), r.integers(-20, 20, 150)
