@@ -179,18 +179,37 @@ def aperture(pixels: DataFrame, sources: DataFrame, image: str, radius: float, i
     return g.select(image, "source", (F.col("total") - F.col("n") * F.coalesce("ring", F.lit(0.0))).alias("flux"), "n", "ring")
 
 
-def segments(pixels: DataFrame, image: str, sigma: float = 5.0, least: int = 5) -> DataFrame:
-    """(image, source, pixels, cx, cy, flux): connected pixels above the background by ``sigma`` scales."""
+def segments(pixels: DataFrame, image: str, sigma: float = 5.0, least: int = 5, side: int = 512) -> DataFrame:
+    """(image, source, pixels, cx, cy, flux): connected pixels above the background by ``sigma`` scales.
+
+    Pixels are connected within tiles first; what lies at tiles' borders then connects what the tiles found.
+    """
     scratch = Scratch(pixels.sparkSession, "segments")
-    lit_ = pixels.join(background(pixels, image), image).where(F.col("v") > F.col("center") + sigma * F.col("scale")).withColumn("net", F.col("v") - F.col("center"))
-    name = F.concat_ws(":", F.col(image).cast("string"), F.lpad(F.col("y").cast("string"), 6, "0"), F.lpad(F.col("x").cast("string"), 6, "0"))
-    bright = scratch.keep(lit_.select(image, "x", "y", "net", name.alias("p")), "bright")
-    e = None
-    for dx, dy in ((1, 0), (0, 1), (1, 1), (1, -1)):
-        other = bright.select(image, (F.col("x") - dx).alias("x"), (F.col("y") - dy).alias("y"), F.col("p").alias("b"))
-        one = bright.select(image, "x", "y", F.col("p").alias("a")).join(other, [image, "x", "y"]).select("a", "b")
-        e = one if e is None else e.union(one)
-    comp = components(e, scratch, "pixels")
-    named = bright.join(comp.toDF("p", "source"), "p", "left").withColumn("source", F.coalesce("source", "p"))
-    g = named.groupBy(image, "source").agg(F.count(F.lit(1)).alias("pixels"), (F.sum(F.col("net") * F.col("x")) / F.sum("net")).alias("cx"), (F.sum(F.col("net") * F.col("y")) / F.sum("net")).alias("cy"), F.sum("net").alias("flux"))
+    level = scratch.keep(background(pixels, image), "background")
+    kind = pixels.schema[image].dataType.simpleString()
+    p = pixels.where(finite(F.col("v"))).select(image, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col("v").cast("double").alias("v"))
+    p = p.withColumn("tx", F.floor(F.col("x") / side)).withColumn("ty", F.floor(F.col("y") / side)).where("tx is not null and ty is not null")
+    # joined when many pixels are one row
+    tiles = packed(p, [image, "tx", "ty"], ["x", "y", "v"]).join(level, image)
+
+    def connect(t: pa.Table) -> pa.Table:
+        x, y, v = (unpacked(t, c) for c in ("x", "y", "v"))
+        net = v - t.column("center")[0].as_py()
+        lit = v > t.column("center")[0].as_py() + sigma * t.column("scale")[0].as_py()
+        x, y, net = x[lit].astype(np.int64), y[lit].astype(np.int64), net[lit]
+        first, of = np.unique(groups(x, y, 1), return_inverse=True)
+        n = len(first)
+        edge = np.flatnonzero((x % side == 0) | (x % side == side - 1) | (y % side == 0) | (y % side == side - 1))
+        edge = edge[np.argsort(of[edge], kind="stable")]
+        places = pa.StructArray.from_arrays([pa.array(x[edge]), pa.array(y[edge])], ["x", "y"])
+        offsets = pa.array(np.append(0, np.cumsum(np.bincount(of[edge], minlength=n))).astype(np.int32))
+        columns = [t.column(image).take(pa.array(np.zeros(n, np.int64))), pa.array(x[first]), pa.array(y[first]), pa.array(np.bincount(of, minlength=n)), *(pa.array(np.bincount(of, m, n)) for m in (net * x, net * y, net)), pa.ListArray.from_arrays(offsets, places)]
+        return pa.table(columns, [image, "x", "y", "pixels", "sx", "sy", "flux", "edge"])
+
+    found = tiles.groupBy(image, "tx", "ty").applyInArrow(connect, f"`{image}` {kind}, x long, y long, pixels long, sx double, sy double, flux double, edge array<struct<x:long,y:long>>")
+    digits = lambda c: F.when(F.length(c.cast("string")) < 6, F.lpad(c.cast("string"), 6, "0")).otherwise(c.cast("string"))
+    found = scratch.keep(found.withColumn("p", F.concat_ws(":", F.col(image).cast("string"), digits(F.col("y")), digits(F.col("x")))).drop("x", "y"), "found")
+    comp = components(links(found.select(image, "p", F.inline("edge")), image, "p", 1), scratch, "pixels")
+    named = found.join(comp.toDF("p", "source"), "p", "left").withColumn("source", F.coalesce("source", "p"))
+    g = named.groupBy(image, "source").agg(F.sum("pixels").alias("pixels"), (F.sum("sx") / F.sum("flux")).alias("cx"), (F.sum("sy") / F.sum("flux")).alias("cy"), F.sum("flux").alias("flux"))
     return g.where(F.col("pixels") >= least)

@@ -34,6 +34,12 @@ def test_apertures_meet_pixels_without_a_broadcast(spark, capsys):
     assert "Broadcast" not in capsys.readouterr().out
 
 
+def test_segments_do_not_depend_on_tiles(spark):
+    df = spark.createDataFrame(rows(), KIND)
+    found = [sorted((r["image"], r["pixels"], round(r["cx"], 6), round(r["cy"], 6), round(r["flux"], 6)) for r in images.segments(df, "image", least=1, side=side).collect()) for side in (4, 16, 512)]
+    assert found[0] == found[1] == found[2] and 1 < len(found[0])
+
+
 def test_groups_of_places():
     r = np.random.default_rng(6)
     x, y = r.integers(-20, 20, 150), r.integers(-20, 20, 150)
