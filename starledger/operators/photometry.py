@@ -10,12 +10,15 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import finite
 from ..scratch import Scratch
 from .components import components
+from .tiles import groups, links, packed, starts, unpacked
 
 SIDE = 128
 #: Standard deviation of a Gaussian of full width 1 at half its height.
@@ -133,78 +136,149 @@ def _solved(row: np.ndarray, col: np.ndarray, a: np.ndarray, b: np.ndarray, n: i
     return scale * x
 
 
-def fit(pixels: DataFrame, stars: DataFrame, image: str, fwhm: float, level: float | str = 0.0, box: int = 5, moves: int = 3, integrated: bool = True, wings: int = 3) -> DataFrame:
+def _solved_crowds(crowd: np.ndarray, rows: np.ndarray, stars: np.ndarray, pix: np.ndarray, at: np.ndarray, parts: list[np.ndarray], light: np.ndarray) -> np.ndarray:
+    """``_solved`` for each crowd with unknowns for each part of a star: [part, star].
+
+    Stars and pixels are numbered crowd by crowd; ``crowd`` is by star, ``rows`` and ``stars`` are a crowd's numbers of pixels and stars. Small crowds of one size are solved together.
+    """
+    n, first_pix, first_star = len(parts), np.cumsum(rows) - rows, np.cumsum(stars) - stars
+    of = crowd[at]
+    out = np.zeros((n, len(crowd)))
+    cells = np.cumsum(np.bincount(of, minlength=len(rows)))
+    by_size = np.lexsort((rows, stars))
+    begin = starts(stars[by_size], rows[by_size])
+    for a, z in zip(begin, np.append(begin[1:], len(by_size)), strict=True):
+        m, k = int(rows[by_size[a]]), int(stars[by_size[a]])
+        together = max(1, (1 << 21) // (m * k * n)) if k <= _DIRECT // 8 else 1
+        for low in range(a, z, together):
+            some = np.sort(by_size[low : min(z, low + together)])
+            e = np.concatenate([np.arange(cells[c - 1] if c else 0, cells[c]) for c in some])
+            where = np.searchsorted(some, of[e])
+            row, col = pix[e] - first_pix[of[e]], at[e] - first_star[of[e]]
+            b = light[first_pix[some][:, None] + np.arange(m)]
+            mine = first_star[some][:, None] + np.arange(k)
+            if len(some) == 1:
+                got = _solved(np.tile(row, n), np.concatenate([col + i * k for i in range(n)]), np.concatenate([p[e] for p in parts]), b[0], n * k)[None]
+            else:
+                dense = np.zeros((len(some), m, n * k))
+                for i, p in enumerate(parts):
+                    dense[where, row, col + i * k] = p[e]
+                got = (np.linalg.pinv(dense, rcond=np.finfo(float).eps * max(m, n * k)) @ b[:, :, None])[:, :, 0]
+            for i in range(n):
+                out[i, mine] = got[:, i * k : (i + 1) * k]
+    return out
+
+
+def fit(pixels: DataFrame, stars: DataFrame, image: str, fwhm: float, level: float | str = 0.0, box: int = 5, moves: int = 3, integrated: bool = True, wings: int = 3, side: int = SIDE) -> DataFrame:
     """(image, star, cx, cy, flux, residual, pixels): the light of stars (image, star, cx, cy), fitted together where their boxes overlap.
 
     A star is a round Gaussian, by default as a pixel collects it. The fit is to a box of ``box`` x ``box`` pixels around each star's middle; ``wings``
     pixels beyond its own box a star still lights the boxes of others. With ``moves`` each
     step fits flux and position at once (Gauss–Newton, at most half a pixel a step), a last one the fluxes alone; with 0 positions stay. The
     residual is the root of the mean square over the star's pixels. Stars without a pixel have no row; two of one name and image are an error;
-    stars at exactly one place share its light. Stars that overlap one after the other are one task's.
+    stars at exactly one place share its light. Crowds are found in tiles and then across their borders, and a star gets its pixels from the tiles that
+    it lights; stars that overlap one after the other are one task's.
     """
     scratch = Scratch(pixels.sparkSession, "photometry")
     kind, named = pixels.schema[image].dataType.simpleString(), stars.schema["star"].dataType.simpleString()
     of = F.col(level) if isinstance(level, str) else F.lit(float(level))
-    half, reach = box // 2, box // 2 + wings
-    steps = lambda: F.explode(F.sequence(F.lit(-reach), F.lit(box - 1 - half + wings)))
+    half, wide = box // 2, box + 2 * wings
+    span = box - 1 + wings  # farther apart, stars share no pixel
+    tile = lambda c: F.floor(c / side)
     s = stars.select(image, "star", F.col("cx").cast("double").alias("cx"), F.col("cy").cast("double").alias("cy")).withColumn("name", F.concat_ws(":", F.col(image).cast("string"), F.col("star").cast("string")))
-    cells = s.withColumn("dx", steps()).withColumn("dy", steps())
-    inside = lambda c: F.col(c).between(-half, box - 1 - half)
-    cells = cells.select(image, "star", "name", "cx", "cy", (inside("dx") & inside("dy")).alias("own"), (F.round("cx") + F.col("dx")).cast("long").alias("x"), (F.round("cy") + F.col("dy")).cast("long").alias("y"))
-    own = pixels.select(image, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), (F.col("v").cast("double") - of).alias("v")).where(finite(F.col("v")))
-    boxes = own.join(cells.where("own").select(image, "x", "y").distinct(), [image, "x", "y"]) if wings else own
-    cells = scratch.keep(cells.join(boxes, [image, "x", "y"]), "cells")
-    # each star of a pixel is linked to one of them
-    first = cells.groupBy(image, "x", "y").agg(F.min("name").alias("a"))
-    links = cells.join(first, [image, "x", "y"]).where(F.col("a") != F.col("name")).select("a", F.col("name").alias("b")).distinct()
-    group = components(links, scratch, "stars").toDF("name", "crowd")
-    cells = cells.join(group, "name", "left").withColumn("crowd", F.coalesce("crowd", "name"))
+    s = s.withColumn("x", F.round("cx").cast("long")).withColumn("y", F.round("cy").cast("long")).where(F.col(image).isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull())
+
+    def near(t: pa.Table) -> pa.Table:
+        """A tile's stars with the name of the crowd that they form in it, and whether it may go on beyond."""
+        x, y = t.column("x").to_numpy(), t.column("y").to_numpy()
+        order = pa.array(np.argsort(t.column("name").to_numpy(zero_copy_only=False).astype(str), kind="stable"))
+        t, x, y = t.take(order), x[order], y[order]
+        crowd = np.unique(groups(x, y, span), return_inverse=True)[1]
+        first = np.full(len(x), len(x))
+        np.minimum.at(first, crowd, np.arange(len(x)))
+        rim = np.minimum.reduce([x % side, side - 1 - x % side, y % side, side - 1 - y % side]) < span
+        return t.append_column("crowd", t.column("name").take(pa.array(first[crowd]))).append_column("rim", pa.array(rim))
+
+    s = s.withColumn("tx", tile(F.col("x"))).withColumn("ty", tile(F.col("y")))
+    shape = f"`{image}` {kind}, star {named}, cx double, cy double, name string, x long, y long, tx long, ty long"
+    s = scratch.keep(s.groupBy(image, "tx", "ty").applyInArrow(near, f"{shape}, crowd string, rim boolean"), "stars")
+    if not s.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        raise ValueError("two stars of an image have one name")
+    joined = components(links(s.where("rim").select(image, "x", "y", "crowd"), image, "crowd", span), scratch, "stars").toDF("crowd", "whole")
+    s = s.join(joined, "crowd", "left").withColumn("crowd", F.coalesce("whole", "crowd")).select(image, "star", "name", "crowd", "cx", "cy", "x", "y")
+    for t, c in (("tx", "x"), ("ty", "y")):
+        s = s.withColumn(t, F.explode(F.sequence(tile(F.col(c) - half - wings), tile(F.col(c) + box - 1 - half + wings))))
+    p = pixels.select(image, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), (F.col("v").cast("double") - of).alias("v")).where(finite(F.col("v")))
+    p = packed(p.withColumn("tx", tile(F.col("x"))).withColumn("ty", tile(F.col("y"))), [image, "tx", "ty"], ["x", "y", "v"])
     sigma = fwhm * PER_FWHM
+    step_y, step_x = (g.ravel() - half - wings for g in np.mgrid[:wide, :wide])
+    in_box = (step_x >= -half) & (step_x <= box - 1 - half) & (step_y >= -half) & (step_y <= box - 1 - half)
+
+    def cut(src: pa.Table, pix: pa.Table) -> pa.Table:
+        """Of each star the pixels of a tile in the square that it lights, row by row, NaN where there is none or no star's box is."""
+        x, y, v = (unpacked(pix, c) for c in ("x", "y", "v"))
+        place = (y.astype(np.int64) % side) * side + x.astype(np.int64) % side
+        light = np.full(side * side + 1, np.nan)
+        light[place] = v
+        tx, ty = (src.column(c)[0].as_py() * side if src.num_rows else 0 for c in ("tx", "ty"))
+        px = src.column("x").to_numpy()[:, None] - tx + step_x
+        py = src.column("y").to_numpy()[:, None] - ty + step_y
+        at = np.where((px >= 0) & (px < side) & (py >= 0) & (py < side), py * side + px, side * side)
+        boxed = np.zeros(side * side + 1, bool)
+        boxed[at[:, in_box]] = True
+        if (boxed[:-1] & (np.bincount(place, minlength=side * side) > 1)).any():
+            raise ValueError("two pixels of an image have one place")
+        light[~boxed] = np.nan
+        light[-1] = np.nan
+        got = light[at]
+        some = np.flatnonzero(~np.isnan(got).all(axis=1))
+        out = src.select([image, "star", "name", "crowd", "cx", "cy", "x", "y"]).take(pa.array(some))
+        return out.append_column("light", pa.array([r.tobytes() for r in got[some]], pa.binary()))
+
+    cells = s.groupBy(image, "tx", "ty").cogroup(p.groupBy(image, "tx", "ty")).applyInArrow(cut, f"`{image}` {kind}, star {named}, name string, crowd string, cx double, cy double, x long, y long, light binary")
 
     def one(f, d: np.ndarray) -> np.ndarray:
         return f(d, sigma, integrated)
 
-    def crowd(at: np.ndarray, pix: np.ndarray, x: np.ndarray, y: np.ndarray, light: np.ndarray, cx: np.ndarray, cy: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Places, fluxes and what is left in each row, of stars that are fitted together."""
-        n, m = len(cx), int(pix.max()) + 1
-        v = np.zeros(m)
-        v[pix] = light
+    def solve(t: pa.Table) -> pa.Table:
+        t = t.take(pc.sort_indices(t, [("crowd", "ascending"), ("name", "ascending")]))
+        got = np.frombuffer(b"".join(t.column("light").to_pylist())).reshape(t.num_rows, wide * wide)
+        name = t.column("name").combine_chunks().dictionary_encode().indices.to_numpy()
+        heads = starts(name)
+        # a star has a row for each tile that it lights
+        got = np.fmax.reduceat(got, heads)
+        t = t.take(pa.array(heads))
+        n = t.num_rows
+        crowd = t.column("crowd").combine_chunks().dictionary_encode().indices.to_numpy()
+        cx, cy, x0, y0 = (t.column(c).to_numpy() for c in ("cx", "cy", "x", "y"))
+        at, step = np.nonzero(~np.isnan(got))
+        mine, v = in_box[step], got[at, step]
+        x, y = x0[at] + step_x[step], y0[at] + step_y[step]
+        order = np.lexsort((x, y, crowd[at]))
+        at, mine, v, x, y = at[order], mine[order], v[order], x[order], y[order]
+        begin = starts(crowd[at], y, x)
+        pix = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(at))))
+        light = v[begin]
+        sizes = (np.bincount(crowd[at[begin]]), np.bincount(crowd))
         flux = None
         for k in range(moves + 1):
             px, py = one(_profile, x - cx[at]), one(_profile, y - cy[at])
             if flux is None or k == moves:
-                flux = _solved(pix, at, px * py, v, n)
+                flux = _solved_crowds(crowd, *sizes, pix, at, [px * py], light)[0]
             if k < moves:
                 sx, sy = flux[at] * one(_slope, x - cx[at]) * py, flux[at] * px * one(_slope, y - cy[at])
-                got = _solved(np.tile(pix, 3), np.concatenate([at, at + n, at + 2 * n]), np.concatenate([px * py, sx, sy]), v, 3 * n)
-                flux, cx, cy = got[:n], cx + np.clip(got[n : 2 * n], -0.5, 0.5), cy + np.clip(got[2 * n :], -0.5, 0.5)
-        return cx, cy, flux, (v - np.bincount(pix, flux[at] * px * py, m))[pix]
-
-    def solve(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(["crowd", "name", "y", "x"], kind="stable")
-        mine, head = t["own"].to_numpy(), t.drop_duplicates("name")
-        if (t[mine].groupby("name").size() > box * box).any():
-            raise ValueError("two stars of an image have one name")
-        star = pd.factorize(t["name"])[0]
-        pixel = pd.factorize(pd.MultiIndex.from_arrays([t["crowd"], t["x"], t["y"]]))[0]
-        x, y, v = (t[c].to_numpy() for c in ("x", "y", "v"))
-        places = [head["cx"].to_numpy(), head["cy"].to_numpy()]
-        fitted, left = np.zeros((3, len(head))), np.zeros(len(t))
-        cuts = np.flatnonzero(np.append(True, np.diff(pd.factorize(t["crowd"])[0]) != 0))
-        for a, z in zip(cuts, np.append(cuts[1:], len(t)), strict=True):
-            first, last = star[a], star[z - 1] + 1
-            local = np.unique(pixel[a:z], return_inverse=True)[1]
-            *found, left[a:z] = crowd(star[a:z] - first, local, x[a:z], y[a:z], v[a:z], *(c[first:last] for c in places))
-            fitted[:, first:last] = found
-        count = np.bincount(star[mine], minlength=len(head))
-        residual = np.sqrt(np.bincount(star[mine], (left * left)[mine], len(head)) / np.maximum(count, 1))
-        out = pd.DataFrame({image: head[image].to_numpy(), "star": head["star"].to_numpy(), "cx": fitted[0], "cy": fitted[1], "flux": fitted[2], "residual": residual, "pixels": count})
-        return out[count > 0]
+                flux, dx, dy = _solved_crowds(crowd, *sizes, pix, at, [px * py, sx, sy], light)
+                cx, cy = cx + np.clip(dx, -0.5, 0.5), cy + np.clip(dy, -0.5, 0.5)
+        left = (light - np.bincount(pix, flux[at] * px * py, len(light)))[pix]
+        count = np.bincount(at[mine], minlength=n)
+        residual = np.sqrt(np.bincount(at[mine], (left * left)[mine], n) / np.maximum(count, 1))
+        out = pa.table([t.column(image), t.column("star"), pa.array(cx), pa.array(cy), pa.array(flux), pa.array(residual), pa.array(count)], [image, "star", "cx", "cy", "flux", "residual", "pixels"])
+        return out.filter(pa.array(count > 0))
 
     # many small crowds to a task
-    packs = max(1, math.ceil(cells.where("own").count() / (box * box * _TOGETHER)))
+    packs = max(1, math.ceil(s.count() / _TOGETHER))
     cells = cells.withColumn("pack", F.pmod(F.xxhash64("crowd"), F.lit(packs)))
-    return cells.groupBy("pack").applyInPandas(solve, f"{image} {kind}, star {named}, cx double, cy double, flux double, residual double, pixels long")
+    return cells.groupBy("pack").applyInArrow(solve, f"`{image}` {kind}, star {named}, cx double, cy double, flux double, residual double, pixels long")
 
 
 def measure(pixels: DataFrame, image: str, fwhm: float = 3.0, sigmas: float = 5.0, background: DataFrame | None = None, box: int = 5) -> DataFrame:

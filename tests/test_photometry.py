@@ -89,3 +89,17 @@ def test_names_must_differ(spark):
     stars = spark.createDataFrame([("i", "a", 10.0, 10.0), ("i", "a", 30.0, 30.0)], "image string, star string, cx double, cy double")
     with pytest.raises(Exception, match="one name"):
         P.fit(spark.createDataFrame(image(), KIND), stars, "image", 3.0, 20.0).collect()
+
+
+def test_fits_do_not_depend_on_tiles(spark):
+    """A chain of stars over several tiles is fitted as one crowd."""
+    chain = [(f"s{k}", 6.3 + 3.9 * k, 20.2 + 0.7 * k, 100.0 + 10 * k) for k in range(11)]
+    rows = [("i", x, y, sum(collected(x, y, cx, cy, f) for _, cx, cy, f in chain)) for x in range(56) for y in range(12, 40)]
+    stars = spark.createDataFrame([("i", s, cx + 0.2, cy - 0.1) for s, cx, cy, _ in chain], "image string, star string, cx double, cy double")
+    found = [{r["star"]: (r["cx"], r["cy"], r["flux"], r["pixels"]) for r in P.fit(spark.createDataFrame(rows, KIND), stars, "image", 3.0, side=side).collect()} for side in (16, 128)]
+    assert set(found[0]) == {s for s, *_ in chain} and all(np.allclose(found[0][s], found[1][s], rtol=1e-8) for s in found[0])
+    assert all(np.allclose(found[0][s][:3], (cx, cy, f), atol=0.05) for s, cx, cy, f in chain)
+    many = stars.limit(0).unionByName(spark.range(400).selectExpr("'i' AS image", "cast(id AS string) AS star", "id * 30.0 AS cx", "10.0D AS cy"))
+    level = spark.range(400).selectExpr("'i' AS image", "cast(id * 30 AS int) AS x", "10 AS y", "cast(id + 1 AS double) AS v")
+    alone = P.fit(level, many, "image", 3.0, moves=0, wings=0).collect()
+    assert len(alone) == 400 and all(abs(r["flux"] * collected(0, 0, 0, 0, 1.0) - int(r["star"]) - 1) < 1e-6 and r["pixels"] == 1 for r in alone)
