@@ -203,7 +203,7 @@ def segments(pixels: DataFrame, image: str, sigma: float = 5.0, least: int = 5,
         edge = edge[np.argsort(of[edge], kind="stable")]
         places = pa.StructArray.from_arrays([pa.array(x[edge]), pa.array(y[edge])], ["x", "y"])
         offsets = pa.array(np.append(0, np.cumsum(np.bincount(of[edge], minlength=n))).astype(np.int32))
-        columns = [t.column(image).take(pa.array(np.zeros(n, np.int64))), pa.array(x[first]), pa.array(y[first]), pa.array(np.bincount(of, minlength=n)), *(pa.array(np.bincount(of, m, n)) for m in (net * x, net * y, net)), pa.ListArray.from_arrays(offsets, places)]
+        columns = [t.column(image).take(pa.array(np.zeros(n, np.int64))), pa.array(x[first]), pa.array(y[first]), pa.array(np.bincount(of, minlength=n)), *(pa.array(np.bincount(of, m, n).astype(float)) for m in (net * x, net * y, net)), pa.ListArray.from_arrays(offsets, places)]
         return pa.table(columns, [image, "x", "y", "pixels", "sx", "sy", "flux", "edge"])
 
     found = tiles.groupBy(image, "tx", "ty").applyInArrow(connect, f"`{image}` {kind}, x long, y long, pixels long, sx double, sy double, flux double, edge array<struct<x:long,y:long>>")
