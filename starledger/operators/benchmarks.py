@@ -92,7 +92,7 @@ def _share(df: DataFrame, ok: Column) -> DataFrame:
 
 
 def _held(expected: DataFrame, observed: DataFrame, keys: list[str]) -> DataFrame:
-    """Expected rows with whether their keys are observed."""
+    """Expected rows with whether their keys are observed; a null key never is."""
     return expected.join(observed.select(*keys).distinct().withColumn("seen", F.lit(True)), keys, "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
 
 
@@ -119,12 +119,12 @@ def integration(spark: SparkSession, cases: list[Case], expected: dict[str, Data
     if len({c.case_id for c in cases}) < len(cases):
         raise ValueError("two cases have one id")
     outcomes = [observe(spark, c) for c in cases]
-    seen = {n: Scratch(spark, "benchmark").keep(_all(outcomes, n, shape, spark), n) for n, shape in OBSERVED.items()}
+    seen = {n: _all(outcomes, n, shape, spark) for n, shape in OBSERVED.items()}
     pairs = _all(outcomes, "pairs", OBSERVED["pairs"], spark, ("integration",)).distinct()
     known = [c.case_id for c in cases if c.category == "integration"]
     truth = expected["pairs"].where(F.col("case_id").isin(known)).select("case_id", "left_id", "right_id").distinct()
-    match = _held(truth, pairs, ["case_id", "left_id", "right_id"])
-    hits = match.agg(F.count_if("seen").alias("numerator"))
+    # pairs and expectations are gone through once for both metrics
+    match = Scratch(spark, "benchmark").keep(_held(truth, pairs, ["case_id", "left_id", "right_id"]).agg(F.count_if("seen").alias("numerator"), F.count(F.lit(1)).alias("denominator")), "pairs")
     conflict = _held(expected["conflicts"], seen["conflicts"], ["case_id", "code", "left_id", "right_id"])
     repaired = expected["repairs"].join(seen["repairs"].select("case_id", "defect", "outcome"), ["case_id", "defect"], "left")
     resolved = F.coalesce(F.col("outcome") == "resolved", F.lit(False))
@@ -135,8 +135,8 @@ def integration(spark: SparkSession, cases: list[Case], expected: dict[str, Data
     found = {
         "source_retrieval_completeness": _share(_held(expected["rows"], seen["rows"], ["case_id", "side", "key"]), F.col("seen")),
         "field_value_correctness": _share(_held(expected["fields"], seen["fields"], ["case_id", "key", "field", "value"]), F.col("seen")),
-        "entity_alignment_precision": hits.crossJoin(pairs.agg(F.count(F.lit(1)).alias("denominator"))),  # one row each
-        "entity_alignment_recall": hits.crossJoin(truth.agg(F.count(F.lit(1)).alias("denominator"))),
+        "entity_alignment_precision": match.select("numerator").crossJoin(pairs.agg(F.count(F.lit(1)).alias("denominator"))),  # one row each
+        "entity_alignment_recall": match,
         "unit_normalization_success": _share(_held(expected["units"], seen["units"], ["case_id", "probe", "value"]), F.col("seen")),
         "conflict_detection": _share(conflict, F.col("seen") == F.col("detected")),
         "repair_success": _share(repaired.where("repairable"), resolved),
