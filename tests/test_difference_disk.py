@@ -1,0 +1,31 @@
+"""Versions are compared without keeping a table longer than it is read."""
+
+from starledger.operators import graph
+from starledger.scratch import Scratch
+
+
+def test_tables_go_when_they_are_read(spark, monkeypatch):
+    live, most = {}, []
+    keep, drop = Scratch.keep, Scratch.drop
+
+    def kept(self, df, name):
+        out = keep(self, df, name)
+        live[self.paths[name]] = out.count()
+        most.append(sum(live.values()))
+        return out
+
+    def dropped(self, *names):
+        for n in names:
+            live.pop(self.paths[n])
+        drop(self, *names)
+
+    monkeypatch.setattr(Scratch, "keep", kept)
+    monkeypatch.setattr(Scratch, "drop", dropped)
+    kind = "category string, key string, value string, semantic string, match_group string"
+    before = [("c", f"k{i}", f"v{i}", f"s{i}", f"g{i % 3}") for i in range(100)] + [("c", None, "v", "s", None)]
+    after = [("c", f"k{i}" if i % 2 else f"new{i}", f"v{i}" if i % 5 else "w", f"s{i}" if i % 3 else f"t{i}", f"g{i % 3}") for i in range(10, 110)]
+    got = graph.difference(spark.createDataFrame(before, kind), spark.createDataFrame(after, kind)).collect()
+    n = {c: sum(r["change"] == c for r in got) for c in ("changed", "unchanged", "removed", "added")}
+    assert len(got) == n["changed"] + n["unchanged"] + n["removed"] + n["added"] and n["changed"] + n["unchanged"] + n["removed"] == 101 and n["changed"] + n["unchanged"] + n["added"] == 100
+    # two versions and twice one of them while it is placed
+    assert max(most) <= 410
